@@ -137,6 +137,25 @@ class Lenses:
             ).alias("days"),
         )
 
+    @cached_property
+    def forecasts(self) -> DataFrame:
+        """Forecast documents, one per order: most with 24 hours, some short, some empty."""
+        key = F.col("o_orderkey")
+        hours = F.when(key % 50 == 0, 0).when(key % 10 == 0, 23).otherwise(24)
+
+        def hour(step: Column) -> Column:
+            return F.struct(
+                (key % 60 - 20 + step * 0.5).cast("double").alias("temp"),
+                (F.col("o_custkey") % 101).cast("double").alias("humidity"),
+                (step * 8 + key % 20).cast("double").alias("windspeed"),
+                (870 + key % 220).cast("double").alias("pressure"),
+                (step * 4).cast("double").alias("cloudcover"),
+                F.when((key % 7 != 0) | (step != 5), step.cast("double")).alias("visibility"),
+            )
+
+        steps = F.filter(F.sequence(F.lit(0), F.lit(23)), lambda step: step < hours)
+        return self.table("orders").select(key.alias("file"), F.transform(steps, hour).alias("forecast"))
+
     @cached_property
     def reports(self) -> DataFrame:
         html = (
@@ -272,6 +291,13 @@ VIEWS = {
                round(hour_humidity, 1)::VARCHAR AS hour_humidity, round(hour_windspeed, 1)::VARCHAR AS hour_windspeed,
                round(hour_pressure, 1)::VARCHAR AS hour_pressure, round(hour_cloudcover, 1)::VARCHAR AS hour_cloudcover
         FROM weather""", ["weather"]),
+    "forecast_hours": ("""
+        SELECT o_orderkey AS file, step, CAST(o_orderkey % 60 - 20 + step * 0.5 AS DOUBLE) AS temp,
+               CAST(o_custkey % 101 AS DOUBLE) AS humidity, CAST(step * 8 + o_orderkey % 20 AS DOUBLE) AS windspeed,
+               CAST(870 + o_orderkey % 220 AS DOUBLE) AS pressure, CAST(step * 4 AS DOUBLE) AS cloudcover,
+               CASE WHEN o_orderkey % 7 <> 0 OR step <> 5 THEN CAST(step AS DOUBLE) END AS visibility
+        FROM orders LEFT JOIN (SELECT unnest(range(0, 24)) AS step)
+          ON step < CASE WHEN o_orderkey % 50 = 0 THEN 0 WHEN o_orderkey % 10 = 0 THEN 23 ELSE 24 END""", []),
     "keyed_alarms": ("""
         SELECT *, lower(trim(center_city_en)) AS join_city, CAST(start_ts AS DATE) AS day_key,
                CAST(hour(start_ts) AS INT) AS hour_key
