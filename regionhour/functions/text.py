@@ -11,7 +11,7 @@ import unicodedata
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -103,24 +103,31 @@ def fold_spaces(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, rf"(?U){SPACE}+", " "))
 
 
-def page_title(page: Column) -> Column:
-    """Title text of a page, cut to the title limit."""
-    has_title = page.rlike(r"(?i)<title[\s>]")
-    title = fold_spaces(unescape(F.regexp_extract(page, r"(?is)<title(?:\s[^>]*)?>(.*?)(?:</title|\z)", 1)))
-    cut = F.when(
-        F.length(title) > TITLE_LIMIT, F.concat(F.substring(title, 1, TITLE_LIMIT - 3), F.lit("..."))
-    ).otherwise(title)
-
-    meta = F.regexp_extract(page, r"""(?is)<meta\s(?=[^>]*property\s*=\s*["']?og:title["'\s/>])[^>]*>""", 0)
-    content = F.regexp_extract(meta, r"""(?is)\scontent\s*=\s*(?:"([^"]*)"|'([^']*)')""", 0)
-    quoted = unescape(F.regexp_replace(content, r"""(?is)\A\scontent\s*=\s*["']|["']\z""", ""))
-    og = F.substring(fold_spaces(quoted), 1, TITLE_LIMIT)
-
-    return (
-        F.when(has_title, F.when(title == "", "[EMPTY TITLE]").otherwise(cut))
-        .when(content.rlike(r"""=\s*(?:"[^"]|'[^'])"""), og)
+def with_page_title(df: DataFrame, page: str = "html", title: str = "title") -> DataFrame:
+    """Add the title of a page, cut to the title limit.
+
+    The page is matched in a first step and the short results are worked on in
+    later ones, so the patterns run once per page.
+    """
+    found = df.withColumns({
+        "_tag": F.regexp_extract(page, r"(?is)<title(?:\s[^>]*)?>(?:.*?)(?:</title|\z)", 0),
+        "_meta": F.regexp_extract(page, r"""(?is)<meta\s(?=[^>]*property\s*=\s*["']?og:title["'\s/>])[^>]*>""", 0),
+    })
+    raw = found.withColumns({
+        "_raw": F.regexp_replace("_tag", r"(?is)\A<title[^>]*>|</title\z", ""),
+        "_og": F.regexp_extract("_meta", r"""(?is)\scontent\s*=\s*(?:"[^"]*"|'[^']*')""", 0),
+    })
+    plain = raw.withColumns({
+        "_title": unescape(F.col("_raw")),
+        "_og": unescape(F.regexp_replace("_og", r"""(?is)\A\scontent\s*=\s*["']|["']\z""", "")),
+    }).withColumns({"_title": fold_spaces(F.col("_title")), "_has_og": F.col("_og") != ""})
+    cut = F.regexp_replace("_title", rf"(?s)\A(.{{{TITLE_LIMIT - 3}}}).{{4,}}\z", "$1...")
+    chosen = (
+        F.when(F.col("_tag") != "", F.when(F.col("_title") == "", "[EMPTY TITLE]").otherwise(cut))
+        .when(F.col("_has_og"), F.substring(fold_spaces(F.col("_og")), 1, TITLE_LIMIT))
         .otherwise("[NO TITLE]")
     )
+    return plain.withColumn(title, chosen).select(*[c for c in df.columns if c != title], title)
 
 
 def words(c: Column) -> Column:

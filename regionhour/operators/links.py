@@ -14,8 +14,8 @@ from regionhour.constants import (
     REQUEST_TIMEOUT_SECONDS,
 )
 from regionhour.functions.markup import content_links
-from regionhour.functions.text import page_title
-from regionhour.functions.urls import clean_url, is_internal, is_valid_url, special_title, url_domain
+from regionhour.functions.text import with_page_title
+from regionhour.functions.urls import clean_url, is_internal, is_valid_url, url_domain, with_special_title
 
 ENTRY = ["url", "title", "status", "http_code", "content_type", "final_url", "error_detail"]
 
@@ -109,7 +109,7 @@ def classify_fetch(log: DataFrame) -> DataFrame:
         return chain.otherwise(default)
 
     ok_body = F.when(F.col("_rule") == len(rules), F.col("body"))
-    titled = numbered.withColumn("_title", page_title(F.coalesce(ok_body, F.lit(""))))
+    titled = with_page_title(numbered.withColumn("_body", F.coalesce(ok_body, F.lit(""))), "_body", "_title")
     after_retries = F.col("_rule") == 12
     failed = F.col("_rule") <= 5
     detail = (
@@ -136,8 +136,7 @@ def classify_fetch(log: DataFrame) -> DataFrame:
 
 def special_entries(urls: DataFrame) -> DataFrame:
     """Entries of addresses that need no fetch."""
-    title, status = special_title(F.col("url"))
-    return urls.select("url", title.alias("title"), status.alias("status")).where(F.col("title").isNotNull())
+    return with_special_title(urls.select("url")).where(F.col("title").isNotNull())
 
 
 def resolve_with_cache(urls: DataFrame, cache: DataFrame, fetched: DataFrame, force: bool = False) -> DataFrame:
@@ -149,9 +148,10 @@ def resolve_with_cache(urls: DataFrame, cache: DataFrame, fetched: DataFrame, fo
     def side(df: DataFrame, name: str) -> DataFrame:
         return df.select("url", F.struct(*[c for c in ENTRY if c != "url"]).alias(name))
 
-    title, status = special_title(F.col("url"))
     nothing = F.lit(None).cast("string")
-    joined = urls.join(side(fetched, "_fetched"), "url", "left")
+    titled = with_special_title(urls, "url", "_special_title", "_special_status")
+    title, status = F.col("_special_title"), F.col("_special_status")
+    joined = titled.join(side(fetched, "_fetched"), "url", "left")
     known = F.lit(None).cast(side(cache, "_c").schema["_c"].dataType)
     if not force:
         joined = joined.join(side(cache, "_cached"), "url", "left")

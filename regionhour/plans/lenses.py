@@ -170,10 +170,10 @@ class Lenses:
             html.alias("html"), "url",
         )
 
-    @cached_property
-    def links(self) -> DataFrame:
-        at, url, page = F.col("pos"), F.col("url"), F.col("page_id")
-        placed = self.table("pages").select("page_id", "url", F.explode(F.sequence(F.lit(0), F.lit(7)).cast("array<bigint>")).alias("pos"))
+    @staticmethod
+    def _link(at: Column) -> Column:
+        """Address and text of the link at a position of a page."""
+        url, page = F.col("url"), F.col("page_id")
         number = (page * 8 + at).cast("string")
         kind = (page + at) % 10
         href = (
@@ -188,12 +188,33 @@ class Lenses:
             .when(kind == 8, F.concat(F.lit("  "), url, F.lit(").  ")))
             .otherwise(url)
         )
-        return placed.select(
-            "page_id", "pos", href.alias("href"),
-            F.when(page % 3 == 0, F.concat(F.lit("["), at.cast("string"), F.lit("]"))).otherwise("link").alias("link_text"),
-            ((page + at) % 17 == 0).alias("parent_marked"),
-            ((page + at) % 19 == 0).alias("in_list"),
+        text = F.when(page % 3 == 0, F.concat(F.lit("["), at.cast("string"), F.lit("]"))).otherwise("link")
+        return F.struct(
+            at.alias("pos"), href.alias("href"), text.alias("link_text"),
+            ((page + at) % 17 == 0).alias("parent_marked"), ((page + at) % 19 == 0).alias("in_list"),
+        )
+
+    @property
+    def _positions(self) -> Column:
+        return F.sequence(F.lit(0), F.lit(7)).cast("array<bigint>")
+
+    @cached_property
+    def links(self) -> DataFrame:
+        found = F.transform(self._positions, self._link)
+        return self.table("pages").select("page_id", F.explode(found).alias("link")).select("page_id", "link.*")
+
+    @cached_property
+    def linked_pages(self) -> DataFrame:
+        """Pages whose article ends with a list of endnotes holding those links."""
+        def item(at: Column) -> Column:
+            link = self._link(at)
+            before = F.when(link["parent_marked"], "<li>see [4] ").otherwise("<li>")
+            return F.concat(before, F.lit('<a href="'), link["href"], F.lit('">'), link["link_text"], F.lit("</a></li>"))
+
+        notes = F.concat(
+            F.lit("<h3>Endnotes</h3><ol>"), F.array_join(F.transform(self._positions, item), ""), F.lit("</ol></article>")
         )
+        return self.table("pages").select("page_id", F.replace("html", F.lit("</article>"), notes).alias("html"))
 
     @cached_property
     def fetch_log(self) -> DataFrame:

@@ -201,7 +201,7 @@ QUERIES = {
         FROM (SELECT *, row_number() OVER (ORDER BY report_date) - row_number() OVER (PARTITION BY blocked ORDER BY report_date) AS run
               FROM results) WHERE blocked GROUP BY run""", "reports", extra={"results": _RESULTS})),
     "extract_title": (
-        lambda v: v.table("pages").select("page_id", text.page_title(F.col("html")).alias("title")),
+        lambda v: text.with_page_title(v.table("pages")).select("page_id", "title"),
         r"""
         SELECT page_id, CASE WHEN length(t) > 200 THEN concat(substr(t, 1, 197), '...') WHEN t = '' THEN '[EMPTY TITLE]' ELSE t END AS title
         FROM (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1, 's'),
