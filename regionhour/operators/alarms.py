@@ -18,7 +18,7 @@ from regionhour.constants import (
 from regionhour.functions.calendar import weekday, year_month
 from regionhour.functions.numeric import duration_minutes
 from regionhour.operators.profile import box_summary
-from regionhour.operators.running import exact_quantiles, value_bin, value_counts
+from regionhour.operators.running import exact_quantiles, value_bin, value_counts, with_facts
 
 
 def with_region(alarms: DataFrame, regions: DataFrame) -> DataFrame:
@@ -132,17 +132,14 @@ def daily_kde(daily: DataFrame, points: int = 200) -> DataFrame:
 
 def duration_box(alarms: DataFrame) -> DataFrame:
     """Quartiles, whiskers and outliers of positive durations."""
-    minutes = valid_durations(alarms).withColumn("label", F.lit("duration_minutes"))
-    return box_summary(value_counts(minutes, ["label"], "duration_minutes"), ["label"], "duration_minutes")
+    return box_summary(value_counts(valid_durations(alarms), [], "duration_minutes"), [], "duration_minutes")
 
 
 def duration_summary(alarms: DataFrame) -> DataFrame:
     """Median minutes and longest hours of positive durations."""
-    minutes = valid_durations(alarms).withColumn("label", F.lit("duration_minutes"))
-    counts = value_counts(minutes, ["label"], "duration_minutes")
-    median = exact_quantiles(counts, ["label"], "duration_minutes", {"median_minutes": 0.5})
-    longest = counts.groupBy("label").agg((F.max("duration_minutes") / 60).alias("max_hours"))
-    return median.join(longest, "label").drop("label")
+    counts = value_counts(valid_durations(alarms), [], "duration_minutes")
+    longest = counts.agg((F.max("duration_minutes") / 60).alias("max_hours"))
+    return with_facts(exact_quantiles(counts, [], "duration_minutes", {"median_minutes": 0.5}), longest, [])
 
 
 def top_regions(counts: DataFrame, name: str = "center_city_ua", k: int = 10) -> DataFrame:

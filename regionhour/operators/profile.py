@@ -7,7 +7,7 @@ from itertools import combinations_with_replacement
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regionhour.operators.running import exact_quantiles, group_moments, sample_std, value_counts
+from regionhour.operators.running import exact_quantiles, group_moments, sample_std, value_counts, with_facts
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
@@ -90,9 +90,10 @@ def box_summary(counts: DataFrame, by: list[str], value: str) -> DataFrame:
     v = F.col(value)
     inside = (v >= F.col("q1") - reach) & (v <= F.col("q3") + reach)
     return (
-        counts.join(quartiles, by)
-        .groupBy(*by, *QUARTILES)
+        with_facts(counts, quartiles, by)
+        .groupBy(*by)
         .agg(
+            *[F.max(q).alias(q) for q in QUARTILES],
             F.min(F.when(inside, v)).alias("whisker_low"),
             F.max(F.when(inside, v)).alias("whisker_high"),
             F.sum("n").alias("n"),

@@ -80,14 +80,14 @@ def weather_hour_rows(rows: DataFrame) -> DataFrame:
     return rows.where(F.coalesce("hour_datetime", F.lit("")) != "").select(*DAY_KEY, "line_no", *hourly)
 
 
-def nest_weather_days(rows: DataFrame, hours_per_document: int = 10_000) -> DataFrame:
+def nest_weather_days(rows: DataFrame, days: DataFrame, hours_per_document: int = 10_000) -> DataFrame:
     """Nested documents per city and date, hours sorted by time.
 
     A day has 24 hours. Should one key hold far more rows, its hours are spread
     over several documents (``part`` 0, 1, ...) by line number, so no task ever
     gathers more than about ``hours_per_document`` rows into one value.
     """
-    days = weather_day_table(rows).withColumn(
+    days = days.withColumn(
         "parts", F.greatest(F.ceil(F.col("n_hours") / hours_per_document), F.lit(1))
     )
     daily = [c for c in DAILY_FIELDS if c in rows.columns]
@@ -185,11 +185,15 @@ def weather_day_issues(days: DataFrame, hours: DataFrame, strict: bool = False)
     return day_level_issues(days, strict).unionByName(hour_level_issues(hours))
 
 
-def csv_day_issues(rows: DataFrame, strict: bool = False) -> DataFrame:
-    """Issues straight from wide rows; hours meet their day through an equi-join, nothing is nested."""
-    days = weather_day_table(rows).withColumn("file", F.concat("date", F.lit(".json")))
-    hours = weather_hour_rows(rows).join(days.select(*DAY_KEY, "file", "day_tempmax", "day_tempmin"), DAY_KEY)
-    return weather_day_issues(days, hours, strict)
+def csv_day_issues(rows: DataFrame, days: DataFrame, strict: bool = False) -> DataFrame:
+    """Issues straight from wide rows; hours meet their day through an equi-join, nothing is nested.
+
+    ``days`` is the table of ``weather_day_table``. It is read more than once, so
+    long runs hand in a stored one.
+    """
+    filed = days.withColumn("file", F.concat("date", F.lit(".json")))
+    hours = weather_hour_rows(rows).join(filed.select(*DAY_KEY, "file", "day_tempmax", "day_tempmin"), DAY_KEY)
+    return weather_day_issues(filed, hours, strict)
 
 
 def city_coverage(days: DataFrame, date: Column) -> DataFrame:

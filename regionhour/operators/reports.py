@@ -146,9 +146,9 @@ def block_runs(results: DataFrame, every: int = BLOCKS_PER_TRIGGER) -> DataFrame
     blocked = (F.col("status") == "no_content") & F.contains(F.lower("error_message"), F.lit("blocked"))
     flagged = results.select("report_date", F.coalesce(blocked, F.lit(False)).alias("blocked"))
     placed = running_totals(
-        flagged.withColumn("_all", F.lit(1)),
+        flagged,
         {"position": F.lit(1), "blocked_so_far": F.col("blocked").cast("int")},
-        ["report_date"], F.year("report_date"), ["_all"],
+        ["report_date"], F.year("report_date"), [],
     )
     return (
         placed.where("blocked")

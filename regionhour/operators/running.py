@@ -16,6 +16,13 @@ from pyspark.sql.window import Window
 BINS = 4096
 
 
+def with_facts(df: DataFrame, facts: DataFrame, by: list[str]) -> DataFrame:
+    """Add the facts of each row's group; those of the whole table come from its one-row scalar subquery."""
+    if by:
+        return df.join(facts, by)
+    return df.withColumns({name: facts.select(name).scalar() for name in facts.columns})
+
+
 def running_totals(
     df: DataFrame, amounts: dict[str, Column], order: list[str], chunk: Column, by: list[str]
 ) -> DataFrame:
@@ -70,15 +77,15 @@ def exact_quantiles(counts: DataFrame, by: list[str], value: str, probs: dict[st
     split by value range; distinct values, not rows, are ordered.
     """
     moments = group_moments(counts, by, value)
-    binned = counts.join(moments, by).withColumn("_bin", value_bin(F.col(value), F.col("low"), F.col("high")))
+    binned = with_facts(counts, moments, by).withColumn("_bin", value_bin(F.col(value), F.col("low"), F.col("high")))
 
     def rank(p: float) -> Column:
         return (F.col("total") - 1) * F.lit(p)
 
     to_here = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
     bins = (
-        binned.groupBy(*by, "_bin", "total")
-        .agg(F.sum("n").alias("_bin_n"))
+        binned.groupBy(*by, "_bin")
+        .agg(F.sum("n").alias("_bin_n"), F.max("total").alias("total"))
         .withColumn("_bin_end", F.sum("_bin_n").over(to_here))
         .withColumn("_bin_start", F.col("_bin_end") - F.col("_bin_n"))
     )
@@ -97,7 +104,8 @@ def exact_quantiles(counts: DataFrame, by: list[str], value: str, probs: dict[st
     def at(position: Column) -> Column:
         return F.max(F.when((F.col("_start") <= position) & (position < F.col("_end")), F.col(value)))
 
-    picked = ranked.groupBy(*by, "total").agg(
+    picked = ranked.groupBy(*by).agg(
+        F.max("total").alias("total"),
         *[at(F.floor(rank(p))).alias(f"_lo_{name}") for name, p in probs.items()],
         *[at(F.ceil(rank(p))).alias(f"_hi_{name}") for name, p in probs.items()],
     )
@@ -114,7 +122,7 @@ def sample_std(counts: DataFrame, moments: DataFrame, by: list[str], value: str)
     """Standard deviation with n-1, from counted values and their mean."""
     off = F.col(value) - F.col("mean")
     return (
-        counts.join(moments, by)
+        with_facts(counts, moments, by)
         .groupBy(*by)
         .agg(F.sum(F.col("n") * off * off).alias("_ss"), F.sum("n").alias("_n"))
         .select(*by, F.sqrt(F.col("_ss") / F.nullif(F.col("_n") - 1, F.lit(0))).alias("std"))
@@ -123,11 +131,10 @@ def sample_std(counts: DataFrame, moments: DataFrame, by: list[str], value: str)
 
 def percent_rank_by_value(df: DataFrame, value: str) -> DataFrame:
     """Add ``pct_rank``: rows with a smaller value over all other rows; 0 for a single row."""
-    counts = value_counts(df.withColumn("_all", F.lit(1)), ["_all"], value)
-    moments = group_moments(counts, ["_all"], value)
-    spread = counts.join(moments, "_all")
+    counts = value_counts(df, [], value)
+    spread = with_facts(counts, group_moments(counts, [], value), [])
     ranked = running_totals(
-        spread, {"_upto": F.col("n")}, [value], value_bin(F.col(value), F.col("low"), F.col("high")), ["_all"]
+        spread, {"_upto": F.col("n")}, [value], value_bin(F.col(value), F.col("low"), F.col("high")), []
     ).select(
         value,
         F.coalesce((F.col("_upto") - F.col("n")) / F.nullif(F.col("total") - 1, F.lit(0)), F.lit(0.0)).alias("pct_rank"),

@@ -58,36 +58,39 @@ def _alarms_per_key(alarms: DataFrame) -> DataFrame:
     return alarms.groupBy(*KEY).agg(F.count(F.lit(1)).alias("alarms"))
 
 
-def weather_values_during_alarms(alarms: DataFrame, weather: DataFrame, value: Column, name: str) -> DataFrame:
-    """Counted weather values over the alarm-weather join, without building the join.
+def value_hours(alarms: DataFrame, weather: DataFrame, value: Column, name: str) -> DataFrame:
+    """Per weather value, the rows of the alarm-weather join (``during``) and all weather rows (``overall``).
 
-    Both sides shrink to counts per key first: alarms times equal weather rows
-    is the number of joined rows.
+    The join itself is not built: both sides shrink to counts per key first, and
+    alarms times equal weather rows is the number of joined rows.
     """
-    readings = weather.select(*KEY, value.alias(name)).groupBy(*KEY, name).agg(F.count(F.lit(1)).alias("readings"))
+    readings = weather.select(*KEY, value.alias(name)).where(F.col(name).isNotNull())
+    counted = readings.groupBy(*KEY, name).agg(F.count(F.lit(1)).alias("readings"))
     return (
-        readings.join(_alarms_per_key(alarms), KEY)
-        .where(F.col(name).isNotNull())
+        counted.join(_alarms_per_key(alarms), KEY, "left")
         .groupBy(name)
-        .agg(F.sum(F.col("readings") * F.col("alarms")).alias("n"))
+        .agg(
+            F.sum(F.col("readings") * F.coalesce("alarms", F.lit(0))).alias("during"),
+            F.sum("readings").alias("overall"),
+        )
     )
 
 
 def counts_by_temperature(alarms: DataFrame, weather: DataFrame) -> DataFrame:
     """Joined alarms by temperature rounded half to even."""
     rounded = round_half_even(F.col("hour_temp")) + F.lit(0.0)
-    return weather_values_during_alarms(alarms, weather, rounded, "temp_rounded").withColumnRenamed("n", "alarms")
+    hours = value_hours(alarms, weather, rounded, "temp_rounded")
+    return hours.where("during > 0").select("temp_rounded", F.col("during").alias("alarms"))
 
 
 def visibility_boxes(alarms: DataFrame, weather: DataFrame) -> DataFrame:
-    """Box of visibility during alarms against all hours."""
-    during = weather_values_during_alarms(alarms, weather, F.col("hour_visibility"), "hour_visibility")
-    overall = (
-        weather.where(F.col("hour_visibility").isNotNull())
-        .groupBy("hour_visibility")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    both = during.withColumn("state", F.lit("during alarms")).unionByName(overall.withColumn("state", F.lit("overall")))
+    """Box of visibility during alarms against all hours, from one pass over the weather."""
+    states = F.explode(F.array(
+        F.struct(F.lit("during alarms").alias("state"), F.col("during").alias("n")),
+        F.struct(F.lit("overall").alias("state"), F.col("overall").alias("n")),
+    )).alias("s")
+    counts = value_hours(alarms, weather, F.col("hour_visibility"), "hour_visibility")
+    both = counts.select("hour_visibility", states).select("hour_visibility", "s.*").where("n > 0")
     return box_summary(both, ["state"], "hour_visibility")
 
 

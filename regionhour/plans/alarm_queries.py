@@ -237,7 +237,7 @@ QUERIES = {
                    (SELECT unnest(range(0, 200)) AS point))
         GROUP BY point, x""", "order_starts", extra=ORDER_DAILY)),
     "duration_box": (duration_box, with_views("""
-        SELECT 'duration_minutes' AS label, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3,
+        SELECT round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3,
                round(min(m) FILTER (m >= q1 - 1.5 * (q3 - q1)), 6) AS whisker_low,
                round(max(m) FILTER (m <= q3 + 1.5 * (q3 - q1)), 6) AS whisker_high,
                count(*) AS n, count(*) FILTER (m < q1 - 1.5 * (q3 - q1) OR m > q3 + 1.5 * (q3 - q1)) AS outliers,

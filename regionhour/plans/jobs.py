@@ -1,4 +1,4 @@
-"""Whole jobs: operators chained from raw tables to processed ones. Every job stays lazy."""
+"""Whole jobs: operators chained from raw tables to processed ones. A table that a job reads several times is stored first."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from regionhour.functions.calendar import text_date
 from regionhour.operators import grid, links, quality, reports, weather
+from regionhour.session import stored
 
 
 def report_job(captured: DataFrame, existing: DataFrame | None = None, force: bool = False) -> DataFrame:
@@ -26,17 +27,19 @@ def report_job(captured: DataFrame, existing: DataFrame | None = None, force: bo
 def source_job(
     pages: DataFrame, cache: DataFrame, fetched: DataFrame, report: str = "report_date", force: bool = False
 ) -> tuple[DataFrame, DataFrame]:
-    """(entries per report, next version of the cache)."""
+    """(entries per report, next version of the cache). Pages are parsed once: the entries are stored."""
     chosen = links.select_footnote_links(links.extract_links(pages, [report]), report)
-    entries = links.resolve_with_cache(links.unique_report_urls(chosen, report), cache, fetched, force)
+    urls = links.unique_report_urls(chosen, report)
+    entries = stored(links.resolve_with_cache(urls, cache, fetched, force), "source_entries")
     return entries, links.upsert_cache(cache, entries, force)
 
 
 def weather_quality_job(rows: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(status per city, issues) of wide weather rows."""
+    """(status per city, issues) of wide weather rows. The day table, read three times, is stored."""
     kept = quality.weather_rows(rows)
-    issues = quality.csv_day_issues(kept, strict)
-    coverage = quality.city_coverage(quality.weather_day_table(kept), text_date(F.col("date")))
+    days = stored(quality.weather_day_table(kept), "weather_days")
+    issues = quality.csv_day_issues(kept, days, strict)
+    coverage = quality.city_coverage(days, text_date(F.col("date")))
     return quality.city_quality_status(coverage, issues), issues
 
 

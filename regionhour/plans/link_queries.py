@@ -20,6 +20,7 @@ from regionhour.functions import urls
 from regionhour.operators import links as ops
 from regionhour.plans.alarm_queries import round_columns
 from regionhour.plans.lenses import Lenses, with_views
+from regionhour.session import stored
 
 
 def cleaned(v: Lenses) -> DataFrame:
@@ -247,7 +248,7 @@ QUERIES = {
         WHERE rn = 1""", "fetch_log", extra={"tries": _ATTEMPT_ROWS})),
     "resolve_with_cache": (entries, with_views("SELECT * FROM entries", "links", "fetch_log", extra=ENTRY_VIEWS)),
     "upsert_cache": (
-        lambda v: ops.upsert_cache(cache(v), entries(v)),
+        lambda v: ops.upsert_cache(cache(v), stored(entries(v), "source_entries")),
         with_views(f"""
         SELECT * FROM cached UNION ALL
         SELECT DISTINCT {_ENTRY_COLUMNS} FROM entries WHERE url NOT IN (SELECT url FROM cached)""", "links", "fetch_log", extra=ENTRY_VIEWS)),

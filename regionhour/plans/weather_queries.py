@@ -9,6 +9,7 @@ from regionhour.constants import RANGES, REQUIRED_HOURLY, WEATHER_MAIN
 from regionhour.functions import calendar, numeric, text
 from regionhour.operators import profile, quality
 from regionhour.operators import weather as ops
+from regionhour.plans import jobs
 from regionhour.plans.alarm_queries import day_text, named, r6, round_columns, stamp
 from regionhour.plans.lenses import Lenses, with_views
 
@@ -140,7 +141,7 @@ def rows(v: Lenses) -> DataFrame:
 
 
 def nest_weather_days(v: Lenses) -> DataFrame:
-    nested = quality.nest_weather_days(rows(v))
+    nested = quality.nest_weather_days(rows(v), quality.weather_day_table(rows(v)))
     hour = F.element_at
     return nested.select(
         "city", "date", F.col("daily.day_tempmax").alias("day_tempmax"), F.col("daily.latitude").alias("latitude"),
@@ -150,7 +151,7 @@ def nest_weather_days(v: Lenses) -> DataFrame:
 
 
 def weather_day_issues(v: Lenses) -> DataFrame:
-    return quality.csv_day_issues(rows(v))
+    return quality.csv_day_issues(rows(v), quality.weather_day_table(rows(v)))
 
 
 def coverage(v: Lenses) -> DataFrame:
@@ -163,7 +164,7 @@ def city_coverage(v: Lenses) -> DataFrame:
 
 
 def city_quality_status(v: Lenses) -> DataFrame:
-    status = quality.city_quality_status(coverage(v), weather_day_issues(v))
+    status, _ = jobs.weather_quality_job(v.weather_text)
     return int_flags(status.select("city", "days", "issues", "errors", "clean"), "clean")
 
 
