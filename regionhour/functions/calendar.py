@@ -32,29 +32,23 @@ def calendar_parts(df: DataFrame, ts: str) -> DataFrame:
 
 
 def text_date(c: Column) -> Column:
-    """Date of a ``yyyy-MM-dd`` text, optionally followed by a time; null when it is not one."""
-    return F.to_date(F.try_to_timestamp(F.substring(F.trim(c), 1, 10), F.lit("yyyy-MM-dd")))
+    """Date of a ``yyyy-MM-dd`` text, with or without a time behind it; null when it is not one."""
+    return F.trim(c).try_cast("date")
 
 
 def text_hour(c: Column) -> Column:
-    """Hour of a ``HH:mm:ss`` text, with or without a date before it; null when it is not one."""
-    clock = F.regexp_extract(F.trim(c), r"^(?:\d{4}-\d{2}-\d{2}[T ])?(\d{2}:\d{2}:\d{2})$", 1)
-    return F.hour(F.try_to_timestamp(clock, F.lit("HH:mm:ss")))
+    """Hour of a clock text, with or without a date before it; null when it is not one."""
+    text = F.nullif(F.trim(c), F.lit(""))
+    dated = F.when(F.contains(text, F.lit("-")), text).otherwise(F.concat(F.lit("1970-01-01 "), text))
+    return F.hour(dated.try_cast("timestamp_ntz"))
 
 
 def weather_timestamp(df: DataFrame) -> DataFrame:
-    """Add ``day_date`` (from ``day_datetime``), ``hour`` (from ``hour_datetime``) and date parts.
+    """Add ``day_date`` (from ``day_datetime``) and ``hour`` (from ``hour_datetime``).
 
     The hour column carries a time of day only, so its own date is never used.
     """
-    return df.withColumns({
-        "day_date": text_date(F.col("day_datetime")),
-        "hour": text_hour(F.col("hour_datetime")),
-    }).withColumns({
-        "year": F.year("day_date"),
-        "month": F.month("day_date"),
-        "day": F.dayofmonth("day_date"),
-    })
+    return df.withColumns({"day_date": text_date(F.col("day_datetime")), "hour": text_hour(F.col("hour_datetime"))})
 
 
 def clamp_range(start: Column, end: Column, today: Column, first_day: str = FIRST_DAY) -> dict[str, Column]:

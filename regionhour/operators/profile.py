@@ -28,9 +28,9 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """
     counts = value_counts(unpivot_numbers(df, columns), ["column"], "value")
     moments = group_moments(counts, ["column"], "value")
+    spread = with_facts(moments, sample_std(counts, moments, ["column"], "value"), ["column"])
     return (
-        moments.join(sample_std(counts, moments, ["column"], "value"), "column")
-        .join(exact_quantiles(counts, ["column"], "value", QUARTILES), "column")
+        with_facts(spread, exact_quantiles(counts, ["column"], "value", QUARTILES), ["column"])
         .select(
             "column", F.col("total").alias("count"), "mean", "std", F.col("low").alias("min"),
             "q1", "median", "q3", F.col("high").alias("max"),

@@ -131,8 +131,10 @@ def _text(*parts: str | Column) -> Column:
 
 
 def _explode_issues(df: DataFrame, issues: list[Column]) -> DataFrame:
-    return df.select(*DAY_KEY, "file", F.explode(F.array_compact(F.array(*issues))).alias("issue")).select(
-        *DAY_KEY, "file", "issue.*"
+    return (
+        df.select(*DAY_KEY, "file", F.explode(F.array(*issues)).alias("issue"))
+        .where(F.col("issue").isNotNull())
+        .select(*DAY_KEY, "file", "issue.*")
     )
 
 
@@ -155,8 +157,10 @@ def day_level_issues(days: DataFrame, strict: bool = False) -> DataFrame:
 
 def hour_level_issues(hours: DataFrame) -> DataFrame:
     """Hours beyond the day's extremes, and missing or impossible required values; one pass over the hours."""
-    temp = safe_double(F.col("hour_temp"))
-    top, bottom = safe_double(F.col("day_tempmax")), safe_double(F.col("day_tempmin"))
+    numbers = hours.select(*DAY_KEY, "file", "hour_datetime", *[
+        safe_double(F.col(c)).alias(c) for c in ("day_tempmax", "day_tempmin", *REQUIRED_HOURLY)
+    ])
+    temp, top, bottom = F.col("hour_temp"), F.col("day_tempmax"), F.col("day_tempmin")
     comparable = ~F.isnan(temp) & ~F.isnan(top)
     comparable_low = ~F.isnan(temp) & ~F.isnan(bottom)
     clock = F.coalesce("hour_datetime", F.lit("None"))
@@ -172,13 +176,13 @@ def hour_level_issues(hours: DataFrame) -> DataFrame:
     ]
     for name in REQUIRED_HOURLY:
         bounds = RANGES[name.removeprefix("hour_")]
-        value = safe_double(F.col(name))
+        value = F.col(name)
         issues.append(_issue(value.isNull(), "NULL", F.lit(f"Empty {name}")))
         issues.append(_issue(
             value.isNotNull() & ~between_inclusive(value, bounds), "RANGE",
             _text(f"{name}=", value, f" out of {bounds[0]}..{bounds[1]}"),
         ))
-    return _explode_issues(hours, issues)
+    return _explode_issues(numbers, issues)
 
 
 def weather_day_issues(days: DataFrame, hours: DataFrame, strict: bool = False) -> DataFrame:

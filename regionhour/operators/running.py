@@ -17,9 +17,13 @@ BINS = 4096
 
 
 def with_facts(df: DataFrame, facts: DataFrame, by: list[str]) -> DataFrame:
-    """Add the facts of each row's group; those of the whole table come from its one-row scalar subquery."""
+    """Add the facts of each row's group; those of the whole table come from its one-row scalar subquery.
+
+    ``by`` names labels fixed by the query (columns of a profile, states of a
+    box), so ``facts`` has a handful of rows and is broadcast.
+    """
     if by:
-        return df.join(facts, by)
+        return df.join(F.broadcast(facts), by)
     return df.withColumns({name: facts.select(name).scalar() for name in facts.columns})
 
 
@@ -28,7 +32,8 @@ def running_totals(
 ) -> DataFrame:
     """Add one inclusive running total per entry of ``amounts``, in ``order`` within ``by``.
 
-    ``chunk`` must grow with ``order``; ``order`` must be unique within ``by``.
+    ``chunk`` must grow with ``order`` and take few values (bins, years): its
+    totals are broadcast. ``order`` must be unique within ``by``.
     """
     keys = [*by, "_chunk"]
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -43,7 +48,7 @@ def running_totals(
         ])
     )
     inner = cut.withColumns({f"_in_{name}": F.sum(amount).over(inside) for name, amount in amounts.items()})
-    return inner.join(offsets, keys).select(
+    return inner.join(F.broadcast(offsets), keys).select(
         *df.columns, *[(F.col(f"_in_{name}") + F.col(f"_off_{name}")).alias(name) for name in amounts]
     )
 
@@ -95,8 +100,9 @@ def exact_quantiles(counts: DataFrame, by: list[str], value: str, probs: dict[st
     wanted = bins.where(reduce(lambda a, b: a | b, holds_rank)).select(*by, "_bin", "_bin_start")
 
     in_bin = Window.partitionBy(*by, "_bin").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    # At most two bins per quantile and group: the broadcast drops all other values before the shuffle.
     ranked = (
-        binned.join(wanted, [*by, "_bin"])
+        binned.join(F.broadcast(wanted), [*by, "_bin"])
         .withColumn("_end", F.col("_bin_start") + F.sum("n").over(in_bin))
         .withColumn("_start", F.col("_end") - F.col("n"))
     )

@@ -11,7 +11,7 @@ from regionhour.functions.numeric import between_inclusive, round_half_even
 from regionhour.functions.text import city_key, name_key
 from regionhour.operators.profile import box_summary, drop_incomplete_keys
 
-KEY = ["join_city", "year", "month", "day", "hour"]
+KEY = ["join_city", "day_date", "hour"]
 
 
 def select_weather_main(weather: DataFrame) -> DataFrame:
@@ -33,19 +33,14 @@ def flatten_forecast(documents: DataFrame, first_day_only: bool = False) -> Data
 def weather_keys(weather: DataFrame) -> DataFrame:
     """Rows with a full (city, date, hour) key; the date comes from the day column."""
     keyed = weather_timestamp(weather).withColumn("join_city", city_key(F.col("city_address")))
-    return drop_incomplete_keys(keyed, KEY, ["year", "month", "day", "hour"])
+    return drop_incomplete_keys(keyed, KEY, ["hour"])
 
 
 def alarm_keys(alarms: DataFrame, name: str = "center_city_en") -> DataFrame:
-    start = F.col("start")
     keyed = alarms.withColumns({
-        "join_city": name_key(F.col(name)),
-        "year": F.year(start),
-        "month": F.month(start),
-        "day": F.dayofmonth(start),
-        "hour": F.hour(start),
+        "join_city": name_key(F.col(name)), "day_date": F.to_date("start"), "hour": F.hour("start"),
     })
-    return drop_incomplete_keys(keyed, KEY, ["year", "month", "day", "hour"])
+    return drop_incomplete_keys(keyed, KEY, ["hour"])
 
 
 def alarms_with_weather(alarms: DataFrame, weather: DataFrame) -> DataFrame:

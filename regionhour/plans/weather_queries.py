@@ -27,11 +27,12 @@ def keyed(v: Lenses) -> tuple[DataFrame, DataFrame]:
 
 def weather_timestamp(v: Lenses) -> DataFrame:
     parsed = calendar.weather_timestamp(v.weather.select("line_no", "hour_temp", "day_datetime", "hour_datetime"))
-    return parsed.select("line_no", r6("hour_temp").alias("hour_temp"), day_text("day_date").alias("day_date"), "hour", "year", "month", "day")
+    return parsed.select("line_no", r6("hour_temp").alias("hour_temp"), day_text("day_date").alias("day_date"), "hour")
 
 
 def drop_incomplete_keys(v: Lenses) -> DataFrame:
-    return ops.weather_keys(v.weather).groupBy(*ops.KEY).agg(F.count(F.lit(1)).alias("n"))
+    counted = ops.weather_keys(v.weather).groupBy(*ops.KEY).agg(F.count(F.lit(1)).alias("n"))
+    return counted.withColumn("day_date", day_text("day_date"))
 
 
 def safe_double(v: Lenses) -> DataFrame:
@@ -66,7 +67,8 @@ def alarms_with_weather(v: Lenses) -> DataFrame:
 
 def alarm_start_flag(v: Lenses) -> DataFrame:
     alarms, weather = keyed(v)
-    return ops.alarm_start_flag(weather, alarms).groupBy(*ops.KEY, "is_alarm").agg(F.count(F.lit(1)).alias("n"))
+    counted = ops.alarm_start_flag(weather, alarms).groupBy(*ops.KEY, "is_alarm").agg(F.count(F.lit(1)).alias("n"))
+    return counted.withColumn("day_date", day_text("day_date"))
 
 
 def correlation_matrix(v: Lenses) -> DataFrame:
@@ -214,8 +216,7 @@ QUERIES = {
             f"round({c}, 6) + 0.0 AS {c}" if c in ("hour_temp", "hour_humidity", "hour_precip", "hour_windspeed", "hour_windgust") else c
             for c in WEATHER_MAIN) + " FROM weather", "weather")),
     "weather_timestamp": (weather_timestamp, with_views("""
-        SELECT line_no, round(hour_temp, 6) + 0.0 AS hour_temp, strftime(d, '%Y-%m-%d') AS day_date, CAST(hour(t) AS INT) AS hour,
-               CAST(year(d) AS INT) AS year, CAST(month(d) AS INT) AS month, CAST(day(d) AS INT) AS day
+        SELECT line_no, round(hour_temp, 6) + 0.0 AS hour_temp, strftime(d, '%Y-%m-%d') AS day_date, CAST(hour(t) AS INT) AS hour
         FROM (SELECT line_no, hour_temp, try_strptime(day_datetime, '%Y-%m-%d') AS d, try_strptime(hour_datetime, '%H:%M:%S') AS t
               FROM weather)""", "weather")),
     "city_key": (
@@ -223,9 +224,8 @@ QUERIES = {
         .agg(F.count(F.lit(1)).alias("n")),
         with_views("SELECT lower(trim(split_part(concat('  ', city_address), ',', 1))) AS join_city, count(*) AS n FROM weather GROUP BY 1", "weather")),
     "drop_incomplete_keys": (drop_incomplete_keys, with_views("""
-        SELECT join_city, CAST(year(day_key) AS INT) AS year, CAST(month(day_key) AS INT) AS month,
-               CAST(day(day_key) AS INT) AS day, hour_key AS hour, count(*) AS n
-        FROM keyed_weather GROUP BY 1, 2, 3, 4, 5""", "keyed_weather")),
+        SELECT join_city, strftime(day_key, '%Y-%m-%d') AS day_date, hour_key AS hour, count(*) AS n
+        FROM keyed_weather GROUP BY 1, 2, 3""", "keyed_weather")),
     "safe_double": (safe_double, with_views("""
         SELECT line_no, TRY_CAST(nullif(trim(CASE WHEN line_no % 5 = 0 THEN concat(' ', hour_temp, ' ')
                                                   WHEN line_no % 7 = 0 THEN '   ' ELSE hour_temp END), '') AS DOUBLE) AS value,
@@ -253,9 +253,8 @@ QUERIES = {
         "SELECT state, x AS hour_visibility, count(*) AS n FROM samples GROUP BY 1, 2",
         "keyed_alarms", "keyed_weather", extra={"samples": _SAMPLES})),
     "alarm_start_flag": (alarm_start_flag, with_views("""
-        SELECT join_city, CAST(year(day_key) AS INT) AS year, CAST(month(day_key) AS INT) AS month,
-               CAST(day(day_key) AS INT) AS day, hour_key AS hour, is_alarm, count(*) AS n
-        FROM flagged GROUP BY 1, 2, 3, 4, 5, 6""", "keyed_alarms", "keyed_weather", extra={"flagged": _FLAGGED})),
+        SELECT join_city, strftime(day_key, '%Y-%m-%d') AS day_date, hour_key AS hour, is_alarm, count(*) AS n
+        FROM flagged GROUP BY 1, 2, 3, 4""", "keyed_alarms", "keyed_weather", extra={"flagged": _FLAGGED})),
     "correlation_matrix": (correlation_matrix, with_views(
         " UNION ALL ".join(f"SELECT '{a}' AS column_a, '{b}' AS column_b, round(corr({a}, {b}), 6) AS corr FROM flagged"
                            for a in CORRELATED for b in CORRELATED),
