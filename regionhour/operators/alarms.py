@@ -18,7 +18,7 @@ from regionhour.constants import (
 from regionhour.functions.calendar import weekday, year_month
 from regionhour.functions.numeric import duration_minutes
 from regionhour.operators.profile import box_summary
-from regionhour.operators.running import exact_quantiles, value_bin, value_counts, with_facts
+from regionhour.operators.running import exact_quantiles, one_row, value_bin, value_counts, with_facts
 
 
 def with_region(alarms: DataFrame, regions: DataFrame) -> DataFrame:
@@ -98,7 +98,8 @@ def daily_histogram(daily: DataFrame, bins: int = 50) -> DataFrame:
     bounds = daily.agg(
         F.min("alarms").cast("double").alias("low"), F.max("alarms").cast("double").alias("high")
     )
-    low, high = bounds.select("low").scalar(), bounds.select("high").scalar()
+    row = one_row(bounds)
+    low, high = row["low"], row["high"]
     placed = daily.select(value_bin(F.col("alarms"), low, high, bins).alias("bin"))
     step = (high - low) / bins
     return (
@@ -121,7 +122,8 @@ def daily_kde(daily: DataFrame, points: int = 200) -> DataFrame:
         F.min("alarms").alias("low"),
         F.max("alarms").alias("high"),
     )
-    n, width, low, high = (facts.select(c).scalar() for c in ("n", "width", "low", "high"))
+    row = one_row(facts)
+    n, width, low, high = (row[c] for c in ("n", "width", "low", "high"))
     spread = counts.select(
         "alarms", "days", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point")
     ).withColumn("x", low + F.col("point") * (high - low) / F.lit(float(points - 1)))

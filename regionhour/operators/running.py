@@ -16,6 +16,11 @@ from pyspark.sql.window import Window
 BINS = 4096
 
 
+def one_row(facts: DataFrame) -> Column:
+    """The only row of an aggregate, as a struct from one scalar subquery."""
+    return facts.select(F.struct(*facts.columns)).scalar()
+
+
 def with_facts(df: DataFrame, facts: DataFrame, by: list[str]) -> DataFrame:
     """Add the facts of each row's group; those of the whole table come from its one-row scalar subquery.
 
@@ -24,7 +29,8 @@ def with_facts(df: DataFrame, facts: DataFrame, by: list[str]) -> DataFrame:
     """
     if by:
         return df.join(F.broadcast(facts), by)
-    return df.withColumns({name: facts.select(name).scalar() for name in facts.columns})
+    row = one_row(facts)
+    return df.withColumns({name: row[name] for name in facts.columns})
 
 
 def running_totals(
