@@ -147,7 +147,7 @@ CHAR_REPLACEMENTS = {
     "“": '"', "”": '"', "„": '"', "«": '"', "»": '"',
     "•": " ", "‣": " ", "●": " ", "·": " ",
 }
-CHARS_REMOVED = ["​", "‌", "‍", "‎", "‏", "﻿"]
+CHARS_REMOVED = ["\u200b", "\u200c", "\u200d", "\u200e", "\u200f", "\ufeff"]
 CHAR_EXPANSIONS = {"—": " - ", "―": " - ", "…": "..."}
 
 MONTHS = [

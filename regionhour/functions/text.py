@@ -24,7 +24,7 @@ from regionhour.constants import (
     TITLE_LIMIT,
 )
 
-_BLANKS = r"\x1c-\x20\x85\xa0  -     　"
+_BLANKS = r"\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACE = rf"[\t-\r{_BLANKS}]"
 NOT_SPACE = rf"[^\t-\r{_BLANKS}]"
 SPACE_IN_LINE = rf"[\t\x0b-\r{_BLANKS}]"

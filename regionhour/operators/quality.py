@@ -111,8 +111,9 @@ def nest_weather_days(rows: DataFrame, days: DataFrame, hours_per_document: int
 def split_day_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(days, hours) of nested documents keyed by city, date and file; hours carry the day bounds."""
     days = documents.select(
-        *DAY_KEY, "file", "daily.*", F.coalesce(F.size("hours"), F.lit(0)).alias("n_hours")
-    ).drop("daily.city")
+        *DAY_KEY, "file", *[F.col(f"daily.{c}") for c in (*DAILY_FIELDS, "latitude", "longitude")],
+        F.greatest(F.coalesce(F.size("hours"), F.lit(0)), F.lit(0)).alias("n_hours"),
+    )
     bounds = ["daily.day_tempmax", "daily.day_tempmin"]
     hours = documents.select(*DAY_KEY, "file", *bounds, F.explode("hours").alias("h")).select(
         *DAY_KEY, "file", "day_tempmax", "day_tempmin", "h.*"

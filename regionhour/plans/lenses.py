@@ -249,7 +249,7 @@ class Lenses:
     def typographic_documents(self) -> DataFrame:
         """Documents with plain characters swapped for typographic ones."""
         text = F.translate("text", "-'\"", "–’“")
-        for plain, fancy in ((" de ", " — "), (". ", "… "), (" the ", " • the​ ")):
+        for plain, fancy in ((" de ", " — "), (". ", "… "), (" the ", " • the\u200b ")):
             text = F.replace(text, F.lit(plain), F.lit(fancy))
         return self.table("documents").select("doc_id", text.alias("text"))
 
