@@ -159,12 +159,11 @@ def top_days(daily: DataFrame, k: int = 10) -> DataFrame:
 
 
 def known_events_check(daily: DataFrame, dates: list[str] = KNOWN_DATES) -> DataFrame:
-    """Count of each known date, 0 when absent."""
-    known = F.explode(F.array(*[F.lit(d).cast("date") for d in dates]))
-    spark = daily.sparkSession
-    named = spark.range(1).select(known.alias("date_only"))
+    """Count of each known date, 0 when absent; the dates filter the alarms before they are counted."""
+    wanted = [F.lit(d).cast("date") for d in dates]
+    named = daily.sparkSession.range(1).select(F.explode(F.array(*wanted)).alias("date_only"))
     return (
-        F.broadcast(named).join(daily, "date_only", "left")
+        named.join(daily.where(F.col("date_only").isin(wanted)), "date_only", "left")
         .select("date_only", F.coalesce("alarms", F.lit(0)).alias("alarms"))
         .withColumn("zero", F.col("alarms") == 0)
     )

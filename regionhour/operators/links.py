@@ -25,16 +25,32 @@ def extract_links(pages: DataFrame, keys: list[str], html: str = "html") -> Data
     return pages.select(*keys, F.explode(content_links(F.col(html))).alias("link")).select(*keys, "link.*")
 
 
+def _is_marked(link_text: Column, parent_marked: Column, in_list: Column) -> Column:
+    """A footnote mark opens the link's text or stands beside it, or the link is in a list."""
+    return F.coalesce(link_text.rlike(r"(?U)\A" + FOOTNOTE_MARK), F.lit(False)) | parent_marked | in_list
+
+
+def extract_footnote_links(pages: DataFrame, keys: list[str], html: str = "html") -> DataFrame:
+    """Links marked as footnotes, straight from pages; all links of a page that has none.
+
+    The choice is made on the page's own array of links: each page is parsed
+    once and nothing is shuffled.
+    """
+    def marked(link: Column) -> Column:
+        return _is_marked(link["link_text"], link["parent_marked"], link["in_list"])
+
+    parsed = pages.select(*keys, content_links(F.col(html)).alias("links"))
+    chosen = F.when(F.exists("links", marked), F.filter("links", marked)).otherwise(F.col("links"))
+    return parsed.select(*keys, F.explode(chosen).alias("link")).select(*keys, "link.*")
+
+
 def select_footnote_links(links: DataFrame, report: str) -> DataFrame:
-    """Links marked as footnotes; all links of a report that has none.
+    """The same choice over a stored table of links.
 
     Reports with a mark are found by a combined aggregate and taken out of the
     rest by an anti join, so no report is gathered in one window.
     """
-    marked = (
-        F.coalesce(F.col("link_text").rlike(r"(?U)\A" + FOOTNOTE_MARK), F.lit(False))
-        | F.col("parent_marked") | F.col("in_list")
-    )
+    marked = _is_marked(F.col("link_text"), F.col("parent_marked"), F.col("in_list"))
     flagged = links.withColumn("_marked", marked)
     chosen = flagged.where("_marked")
     rest = flagged.where("not _marked").join(chosen.select(report).distinct(), report, "left_anti")

@@ -225,8 +225,12 @@ def city_quality_status(coverage: DataFrame, issues: DataFrame) -> DataFrame:
 
 
 def global_issues(issues: DataFrame) -> DataFrame:
-    """All issues by severity, then city; the sort is a range-partitioned one."""
-    return issues.orderBy("severity", "city")
+    """All issues by severity, then city.
+
+    The sort is a range-partitioned one; the columns behind let a city with very
+    many issues spread over several ranges.
+    """
+    return issues.orderBy("severity", "city", "date", "category", "message")
 
 
 def issue_total(issues: DataFrame) -> DataFrame:
@@ -234,4 +238,4 @@ def issue_total(issues: DataFrame) -> DataFrame:
 
 
 def sorted_issues(issues: DataFrame) -> DataFrame:
-    return issues.orderBy("city", "severity")
+    return issues.orderBy("city", "severity", "date", "category", "message")

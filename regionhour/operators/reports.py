@@ -59,14 +59,18 @@ def candidate_urls(dates: DataFrame, patterns: list[str] = REPORT_URL_PATTERNS)
 
 
 def first_successful_candidate(candidates: DataFrame, captures: DataFrame) -> DataFrame:
-    """Per date the first address with a captured page; otherwise not found at the first address."""
-    tried = candidates.join(captures.select("url", "html"), "url", "left")
-    hit = F.col("html").isNotNull()
-    return tried.groupBy("report_date").agg(
-        F.coalesce(F.min_by(F.when(hit, F.col("url")), F.when(hit, F.col("priority"))), F.min_by("url", "priority")).alias("url"),
-        F.min_by(F.when(hit, F.col("html")), F.when(hit, F.col("priority"))).alias("html"),
-        F.max(hit).alias("found"),
+    """Per date the first address with a captured page; otherwise not found at the first address.
+
+    The choice is made on addresses alone; only the chosen page is then fetched
+    from the captures, so pages are shuffled once.
+    """
+    pages = captures.select("url", "html").where(F.col("html").isNotNull()).dropDuplicates(["url"])
+    tried = candidates.join(pages.select("url", F.lit(True).alias("hit")), "url", "left")
+    chosen = tried.groupBy("report_date").agg(
+        F.coalesce(F.min_by("url", F.when(F.col("hit"), F.col("priority"))), F.min_by("url", "priority")).alias("url"),
+        F.coalesce(F.max("hit"), F.lit(False)).alias("found"),
     )
+    return chosen.join(pages, "url", "left").select("report_date", "url", "html", "found")
 
 
 def extract_report_text(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:

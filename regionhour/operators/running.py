@@ -81,50 +81,61 @@ def group_moments(counts: DataFrame, by: list[str], value: str) -> DataFrame:
     )
 
 
-def exact_quantiles(counts: DataFrame, by: list[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Linearly interpolated quantiles per group from ``value_counts``, named as in ``probs``.
+def _rank(p: float) -> Column:
+    """Position of a quantile among the sorted rows of its group, counted from 0."""
+    return (F.col("total") - 1) * F.lit(p)
 
-    Only bins that hold a wanted rank are ordered, so a group of any size is
-    split by value range; distinct values, not rows, are ordered.
-    """
-    moments = group_moments(counts, by, value)
-    binned = with_facts(counts, moments, by).withColumn("_bin", value_bin(F.col(value), F.col("low"), F.col("high")))
 
-    def rank(p: float) -> Column:
-        return (F.col("total") - 1) * F.lit(p)
+def _narrow(values: DataFrame, by: list[str], value: str, probs: list[float], bin_name: str) -> DataFrame:
+    """Cut each range ``low .. high`` into bins and keep the bins that hold a wanted rank.
 
-    to_here = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+    ``start`` is the number of rows before the range; range and start of the
+    result are those of its bin. Per group and quantile at most two bins stay,
+    so the table of kept bins is broadcast and drops everything else.
+    """
+    binned = values.withColumn(bin_name, value_bin(F.col(value), F.col("low"), F.col("high")))
+    to_here = Window.partitionBy(*by).orderBy(bin_name).rowsBetween(Window.unboundedPreceding, 0)
     bins = (
-        binned.groupBy(*by, "_bin")
-        .agg(F.sum("n").alias("_bin_n"), F.max("total").alias("total"))
-        .withColumn("_bin_end", F.sum("_bin_n").over(to_here))
-        .withColumn("_bin_start", F.col("_bin_end") - F.col("_bin_n"))
+        binned.groupBy(*by, bin_name)
+        .agg(
+            F.sum("n").alias("_rows"), F.max("total").alias("total"), F.max("start").alias("start"),
+            F.min(value).alias("_low"), F.max(value).alias("_high"),
+        )
+        .withColumn("_end", F.col("start") + F.sum("_rows").over(to_here))
+        .withColumn("_start", F.col("_end") - F.col("_rows"))
     )
-    holds_rank = [
-        (F.col("_bin_start") <= F.ceil(rank(p))) & (F.col("_bin_end") > F.floor(rank(p))) for p in probs.values()
-    ]
-    wanted = bins.where(reduce(lambda a, b: a | b, holds_rank)).select(*by, "_bin", "_bin_start")
-
-    in_bin = Window.partitionBy(*by, "_bin").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    # At most two bins per quantile and group: the broadcast drops all other values before the shuffle.
-    ranked = (
-        binned.join(F.broadcast(wanted), [*by, "_bin"])
-        .withColumn("_end", F.col("_bin_start") + F.sum("n").over(in_bin))
-        .withColumn("_start", F.col("_end") - F.col("n"))
+    holds_rank = [(F.col("_start") <= F.ceil(_rank(p))) & (F.col("_end") > F.floor(_rank(p))) for p in probs]
+    kept = bins.where(reduce(lambda x, y: x | y, holds_rank)).select(
+        *by, bin_name, F.col("_low").alias("low"), F.col("_high").alias("high"), F.col("_start").alias("start")
     )
+    return binned.drop("low", "high", "start").join(F.broadcast(kept), [*by, bin_name])
+
+
+def exact_quantiles(counts: DataFrame, by: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """Linearly interpolated quantiles per group from ``value_counts``, named as in ``probs``.
+
+    The search narrows twice to the bins that hold a wanted rank, so even when
+    an outlier stretches the range only a sliver of the distinct values is
+    sorted, and each bin in its own task.
+    """
+    ranges = with_facts(counts, group_moments(counts, by, value).drop("mean"), by).withColumn("start", F.lit(0).cast("long"))
+    wide = _narrow(ranges, by, value, list(probs.values()), "_bin")
+    fine = _narrow(wide, [*by, "_bin"], value, list(probs.values()), "_sub_bin")
+    in_bin = Window.partitionBy(*by, "_bin", "_sub_bin").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = fine.withColumn("_end", F.col("start") + F.sum("n").over(in_bin)).withColumn("_start", F.col("_end") - F.col("n"))
 
     def at(position: Column) -> Column:
         return F.max(F.when((F.col("_start") <= position) & (position < F.col("_end")), F.col(value)))
 
     picked = ranked.groupBy(*by).agg(
         F.max("total").alias("total"),
-        *[at(F.floor(rank(p))).alias(f"_lo_{name}") for name, p in probs.items()],
-        *[at(F.ceil(rank(p))).alias(f"_hi_{name}") for name, p in probs.items()],
+        *[at(F.floor(_rank(p))).alias(f"_lo_{name}") for name, p in probs.items()],
+        *[at(F.ceil(_rank(p))).alias(f"_hi_{name}") for name, p in probs.items()],
     )
     return picked.select(*by, *[
         (
             F.col(f"_lo_{name}")
-            + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * (rank(p) - F.floor(rank(p)))
+            + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * (_rank(p) - F.floor(_rank(p)))
         ).alias(name)
         for name, p in probs.items()
     ])

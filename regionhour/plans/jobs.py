@@ -28,8 +28,7 @@ def source_job(
     pages: DataFrame, cache: DataFrame, fetched: DataFrame, report: str = "report_date", force: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """(entries per report, next version of the cache). Pages are parsed once: the entries are stored."""
-    chosen = links.select_footnote_links(links.extract_links(pages, [report]), report)
-    urls = links.unique_report_urls(chosen, report)
+    urls = links.unique_report_urls(links.extract_footnote_links(pages, [report]), report)
     entries = stored(links.resolve_with_cache(urls, cache, fetched, force), "source_entries")
     return entries, links.upsert_cache(cache, entries, force)
 

@@ -10,6 +10,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from regionhour.session import apply_defaults
+
 BASE_DAY = "2024-01-01"
 
 
@@ -17,7 +19,7 @@ class Lenses:
     """Lazily built views over one data folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        apply_defaults(spark)
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
 

@@ -214,6 +214,9 @@ QUERIES = {
         SELECT page_id, pos, href, link_text, CAST(link_text LIKE '[%' OR (page_id + pos) % 17 = 0 AS INT) AS parent_marked, 1 AS in_list
         FROM links""", "links")),
     "extract_page_links": (lambda v: flag(ops.extract_links(v.table("pages"), ["page_id"]), "parent_marked", "in_list"), None),
+    "extract_footnote_links": (
+        lambda v: ops.extract_footnote_links(v.linked_pages, ["page_id"]).select("page_id", "pos", "href", "link_text"),
+        with_views("SELECT page_id, pos, href, link_text FROM links", "links")),
     "select_footnote_links": (
         lambda v: ops.select_footnote_links(v.links, "page_id").select("page_id", "pos", "href"),
         with_views("SELECT page_id, pos, href FROM chosen", "links", extra={"chosen": _CHOSEN})),

@@ -17,6 +17,8 @@ DEFAULTS = {
     # Split a hot key even where the next step has to shuffle again for it.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Report pages are large: small batches keep Python workers within their memory.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
@@ -33,6 +35,12 @@ def build_session(app_name: str = "regionhour", master: str | None = None, **con
     return builder.getOrCreate()
 
 
+def apply_defaults(spark: SparkSession) -> None:
+    """The same settings on a session made elsewhere; all of them can change at run time."""
+    for key, value in DEFAULTS.items():
+        spark.conf.set(key, value)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
