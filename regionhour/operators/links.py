@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from regionhour.constants import (
     DEAD_STATUSES,
@@ -64,6 +65,27 @@ def unique_report_urls(links: DataFrame, report: str) -> DataFrame:
     return kept.groupBy(report, "url").agg(F.min("pos").alias("pos"))
 
 
+def _is_file_type() -> Column:
+    prefixes = "^(?:" + "|".join(NON_HTML_CONTENT_TYPES) + ")"
+    return F.coalesce(F.lower("content_type").rlike(prefixes), F.lit(False))
+
+
+def _is_too_large() -> Column:
+    return F.coalesce(F.col("content_length") > MAX_RESPONSE_BYTES, F.lit(False))
+
+
+def body_to_title(log: DataFrame) -> DataFrame:
+    """Replace ``body`` by ``page_title``, read where a title will be asked for.
+
+    Bodies are the bulk of a log; done first, they are never shuffled.
+    """
+    readable = F.col("failure").isNull() & (F.col("http_code") == 200)
+    if "content_type" in log.columns:
+        readable = readable & ~_is_file_type() & ~_is_too_large()
+    shown = log.withColumn("_body", F.coalesce(F.when(readable, F.col("body")), F.lit("")))
+    return with_page_title(shown, "_body", "page_title").drop("_body", "body")
+
+
 def collapse_attempts(log: DataFrame, attempts: int = MAX_ATTEMPTS) -> DataFrame:
     """Last attempt per address, with the last retryable error seen up to then."""
     error = (
@@ -71,6 +93,8 @@ def collapse_attempts(log: DataFrame, attempts: int = MAX_ATTEMPTS) -> DataFrame
         .when(F.col("failure") == "connection", F.concat(F.lit("Connection error: "), F.substring("failure_detail", 1, 80)))
         .when(F.col("http_code") >= 500, F.concat(F.lit("HTTP "), F.col("http_code").cast("string")))
     )
+    if "body" in log.columns:
+        log = body_to_title(log)
     kept = [c for c in log.columns if c not in ("url", "attempt")]
     tried = log.where(F.col("attempt") <= attempts).withColumn("_error", error)
     return tried.groupBy("url").agg(
@@ -83,8 +107,10 @@ def classify_fetch(log: DataFrame) -> DataFrame:
     """Source entry of each captured fetch: one ordered chain of rules over the log.
 
     ``log`` has url, http_code, content_type, content_length, failure,
-    failure_detail, final_url, body and optionally last_error.
+    failure_detail, final_url and body, or the form ``collapse_attempts`` gives it.
     """
+    if "body" in log.columns:
+        log = body_to_title(log)
     if "last_error" not in log.columns:
         log = log.withColumn(
             "last_error",
@@ -93,8 +119,6 @@ def classify_fetch(log: DataFrame) -> DataFrame:
     failure, code = F.col("failure"), F.col("http_code")
     raw_type = F.coalesce("content_type", F.lit(""))
     kind = F.trim(F.substring_index(raw_type, ";", 1))
-    file_type = F.lower(raw_type).rlike("^(?:" + "|".join(NON_HTML_CONTENT_TYPES) + ")")
-    too_large = F.coalesce(F.col("content_length") > MAX_RESPONSE_BYTES, F.lit(False))
     retried_out = (code == 429) | (code >= 500)
 
     rules = [
@@ -104,8 +128,8 @@ def classify_fetch(log: DataFrame) -> DataFrame:
         (failure == "connection", "[CONNECTION ERROR]", "connection_error"),
         (failure == "request", "[REQUEST ERROR]", "error"),
         (failure.isNotNull() | code.isNull(), "[CRITICAL PARSE ERROR]", "error"),
-        (file_type, F.concat(F.lit("[NON-HTML: "), kind, F.lit("]")), "non_html"),
-        (too_large, "[TOO LARGE]", "non_html"),
+        (_is_file_type(), F.concat(F.lit("[NON-HTML: "), kind, F.lit("]")), "non_html"),
+        (_is_too_large(), "[TOO LARGE]", "non_html"),
         (code == 404, "[DEAD LINK]", "dead_link"),
         (code == 410, "[GONE]", "dead_link"),
         (code == 403, "[ACCESS DENIED]", "blocked"),
@@ -124,8 +148,6 @@ def classify_fetch(log: DataFrame) -> DataFrame:
             chain = chain.when(F.col("_rule") == i, value)
         return chain.otherwise(default)
 
-    ok_body = F.when(F.col("_rule") == len(rules), F.col("body"))
-    titled = with_page_title(numbered.withColumn("_body", F.coalesce(ok_body, F.lit(""))), "_body", "_title")
     after_retries = F.col("_rule") == 12
     failed = F.col("_rule") <= 5
     detail = (
@@ -138,10 +160,10 @@ def classify_fetch(log: DataFrame) -> DataFrame:
     keeps_type = F.col("_rule").isin(6, len(rules))
     keeps_final = F.col("_rule").isin(6, 8, 9, 10, 11, 13, len(rules))
     final = F.when(F.col("final_url") != F.col("url"), F.col("final_url"))
-    carried = [c for c in log.columns if c not in (*ENTRY, "failure", "failure_detail", "content_length", "body", "last_error")]
-    return titled.select(
+    carried = [c for c in log.columns if c not in (*ENTRY, "failure", "failure_detail", "content_length", "page_title", "last_error")]
+    return numbered.select(
         *carried, "url",
-        by_rule([title for _, title, _ in rules], F.col("_title")).alias("title"),
+        by_rule([title for _, title, _ in rules], F.col("page_title")).alias("title"),
         by_rule([status for _, _, status in rules], "ok").alias("status"),
         F.when(~failed & ~after_retries, code).alias("http_code"),
         F.when(keeps_type, F.nullif(kind, F.lit(""))).alias("content_type"),
@@ -259,9 +281,9 @@ def process_rollup(rollups: DataFrame, reports: DataFrame, report: str) -> DataF
 
 
 def status_breakdown(entries: DataFrame) -> DataFrame:
-    """Count and share per status, largest first; the total is summed over the counts."""
+    """Count and share per status, largest first. The window runs over one row per status."""
     counts = entries.groupBy(F.coalesce("status", F.lit("unknown")).alias("status")).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("t")).scalar()
+    total = F.sum("n").over(Window.partitionBy())
     return counts.withColumn("pct", F.col("n") * 100.0 / total).orderBy(F.desc("n"), "status")
 
 

@@ -15,6 +15,7 @@ from regionhour.functions.text import hhmm
 
 
 def crosswalk(spark: SparkSession, pairs: dict[str, str] = SHAPE_REGIONS) -> DataFrame:
+    """Literal table of names and ids: map shapes, or weather regions and their locations."""
     return spark.createDataFrame(list(pairs.items()), "name string, region string")
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from regionhour import schemas
-from regionhour.constants import RANGES
+from regionhour.constants import RANGES, REGION_LOCATIONS
 from regionhour.operators import alarms as alarm_ops
 from regionhour.operators import grid, links, quality, reports, serving
 from regionhour.operators import weather as weather_ops
@@ -85,6 +85,13 @@ def test_attempts_keep_the_last_retryable_error(spark):
     assert got == {"a": (429, "HTTP 503"), "b": (200, "Timeout"), "c": (429, "")}
 
 
+def test_attempts_feed_the_classification(spark):
+    log = fetch_log(spark, ("u", 503, None, None, None, None, "u", None), ("u", 200, "text/html", None, None, None, "u", "<title>Late</title>"))
+    tried = log.withColumn("attempt", F.when(F.col("http_code") == 503, 1).otherwise(2))
+    got = links.classify_fetch(links.collapse_attempts(tried)).first()
+    assert (got["title"], got["status"], got["http_code"]) == ("Late", "ok", 200)
+
+
 def entries(spark, *rows):
     filled = [(*r, None, None, None, None) for r in rows]
     return spark.createDataFrame(filled, schemas.SOURCE_ENTRY)
@@ -255,3 +262,5 @@ def test_crosswalk_passes_unknown_names_through(spark):
     names = spark.createDataFrame([("Odessa Oblast",), ("Atlantis",)], "name string")
     got = {r["name"]: r["region"] for r in serving.region_crosswalk(names, serving.crosswalk(spark)).collect()}
     assert got == {"Odessa Oblast": "odesa", "Atlantis": "Atlantis"}
+    cities = serving.region_crosswalk(spark.createDataFrame([("Crimea",), ("Lutsk",)], "name string"), serving.crosswalk(spark, REGION_LOCATIONS))
+    assert {r["name"]: r["region"] for r in cities.collect()} == {"Crimea": "Simferopol, Ukraine", "Lutsk": "Lutsk"}
