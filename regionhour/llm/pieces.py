@@ -142,13 +142,6 @@ class PieceModel:
         points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         return points, np.where(points < len(self.code), self.code[np.minimum(points, len(self.code) - 1)], 0)
 
-    def _expand(self, pieces: list[int]) -> list[int]:
-        """Negative entries are characters to be written as bytes."""
-        out: list[int] = []
-        for p in pieces:
-            out.extend([p] if p >= 0 else self.bytes_at[list(chr(-1 - p).encode())].tolist())
-        return out
-
     def search(self, text: str) -> list[int]:
         """Ids of one text without its leading space: the plain search, first best path on ties."""
         points, codes = (x.tolist() for x in self.codes(text))
@@ -173,10 +166,10 @@ class PieceModel:
         while n:
             n, piece = back[n]
             out.append(piece)
-        return self._expand(out[::-1])
+        return self._expanded(np.array(out[::-1], np.int64), np.array([len(out)]))[0].tolist()
 
-    def search_lanes(self, words: list[str]) -> list[list[int]]:
-        """The same for many words of up to LANE characters, longest first."""
+    def search_lanes(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids end to end, counts): the same for many words of up to LANE characters, longest first."""
         n, sizes = len(words), np.array([len(w) for w in words])
         points, codes = self.codes("".join(words))
         wide = int(sizes[0])
@@ -215,7 +208,6 @@ class PieceModel:
             total = best[i, at] + self.unknown
             at = at[total > best[i + 1, at]]
             best[i + 1, at], back[i + 1, at], piece[i + 1, at] = best[i, at] + self.unknown, i, -1 - letters[i, at]
-        out: list[list[int]] = [[] for _ in words]
         steps = []
         lane, at = np.arange(n), sizes.copy()
         while len(lane):
@@ -223,10 +215,26 @@ class PieceModel:
             at = back[at, lane]
             left = at > 0
             lane, at = lane[left], at[left]
-        for lanes, ids in reversed(steps):
-            for k, p in zip(lanes.tolist(), ids.tolist()):
-                out[k].append(p)
-        return [self._expand(x) if x and min(x) < 0 else x for x in out]
+        counts = np.bincount(np.concatenate([x for x, _ in steps]), minlength=n)
+        ends = np.cumsum(counts)
+        flat = np.zeros(int(ends[-1]), np.int64)
+        for k, (lane, ids) in enumerate(steps, 1):  # a path is found from its end
+            flat[ends[lane] - k] = ids
+        return self._expanded(flat, counts)
+
+    def _expanded(self, flat: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Negative entries are characters to be written as bytes."""
+        odd = np.flatnonzero(flat < 0)
+        if not len(odd):
+            return flat, counts
+        written = [self.bytes_at[list(chr(-1 - p).encode())] for p in flat[odd].tolist()]
+        room = np.ones(len(flat), np.int64)
+        room[odd] = [len(w) for w in written]
+        begin = np.cumsum(room) - room
+        out = np.repeat(flat, room)
+        for k, w in zip(begin[odd].tolist(), written):
+            out[k:k + len(w)] = w
+        return out, np.add.reduceat(room, np.cumsum(counts) - counts)
 
     def decode(self, ids) -> str:
         """Bytes of the pieces put together, markers as spaces, without the leading one; broken bytes are replaced."""
@@ -249,15 +257,13 @@ class Encoder:
 
     def learn(self, words: set[str]) -> None:
         short = sorted((w for w in words if len(w) <= LANE), key=len, reverse=True)
-        ids: list[list[int]] = []
-        for k in range(0, len(short), 8192):
-            ids += self.model.search_lanes(short[k:k + 8192])
+        found = [self.model.search_lanes(short[k:k + 8192]) for k in range(0, len(short), 8192)]
         tall = [w for w in words if len(w) > LANE]
-        ids += [self.model.search(w) for w in tall]
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        found += [(np.array(ids), np.array([len(ids)])) for ids in map(self.model.search, tall)]
+        counts = np.concatenate([c for _, c in found])
         starts = np.cumsum(counts) - counts + len(self.flat)
-        self.known.update(zip(short + tall, range(len(self.known), len(self.known) + len(ids))))
-        self.flat = np.concatenate([self.flat, np.fromiter((p for x in ids for p in x), np.int32, int(counts.sum()))])
+        self.known.update(zip(short + tall, range(len(self.known), len(self.known) + len(counts))))
+        self.flat = np.concatenate([self.flat, *[ids.astype(np.int32) for ids, _ in found]])
         self.starts, self.counts = np.concatenate([self.starts, starts]), np.concatenate([self.counts, counts])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
