@@ -31,8 +31,10 @@ REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 LEAST_REVISIT = 100
 ARCHIVE_BYTES = 8 << 20
+ARCHIVE_ROWS = 4096
 DICTIONARY_SAMPLE = 1 << 20  # bytes of an archive's first payloads that train its dictionary
 DICTIONARY_BYTES = 16 << 10
+SAMPLE_ROWS = 1024
 
 RECORD = T.StructType([
     T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("record_type", T.StringType()),
@@ -117,46 +119,61 @@ def parse_record(raw: bytes) -> tuple:
     return (_number(fields["warc-record-id"]), fields.get("warc-target-uri"), kind, octets, sha, refers, payload if kind == "response" else None)
 
 
-def _frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The frames of one archive: dictionary first, then a frame per record."""
-    waiting: list[tuple] = []
-    size, packer = 0, None
+def _frames(archive_bytes: int, archive_rows: int):
+    """Frames of archives one after the other: dictionary first, then a frame per record.
 
-    def pack(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame({"frame": [packer.compress(record_bytes(*r)) for r in rows]})
-
-    def start() -> pd.DataFrame:
-        nonlocal packer
-        try:
-            book = zstandard.train_dictionary(DICTIONARY_BYTES, [r[2] for r in waiting if r[2]])
-        except zstandard.ZstdError:  # too few payloads to learn from: an archive may go without
-            packer = zstandard.ZstdCompressor(level=3, write_content_size=True)
-            return pd.DataFrame({"frame": []})
-        packer = zstandard.ZstdCompressor(level=3, dict_data=book, write_content_size=True)
-        raw = book.as_bytes()
-        return pd.DataFrame({"frame": [DICTIONARY + len(raw).to_bytes(4, "little") + raw]})
-
-    for batch in batches:
-        for page, url, html, sha, octets, refers in zip(batch.page_id, batch.url, batch.html, batch.sha, batch.octets, batch.refers_to):
-            row = (page, url, None if pd.isna(html) else html.encode(), sha, octets, refers)
-            waiting.append(row)
-            size += len(row[2] or b"")
-            if packer is None and size >= DICTIONARY_SAMPLE:
-                yield start()
-            if packer is not None and len(waiting) >= 64:
-                yield pack(waiting)
-                waiting.clear()
-    if packer is None and waiting:
-        yield start()
-    if waiting:
-        yield pack(waiting)
-
-
-def write_archives(records: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """Records of ``choose_records`` as .warc.zst content under ``path``, about ``archive_bytes`` of payload each."""
-    total = records.agg(F.sum(F.when(F.col("html").isNotNull(), F.col("octets")).otherwise(300))).first()[0] or 0
-    frames = records.repartition(max(1, -(-total // archive_bytes))).mapInPandas(_frames, "frame binary")
-    frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR).text(path)
+    An archive takes ``archive_rows`` values; one that is full by its bytes is filled
+    up with empty values, of which only the separator is written.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting: list[tuple] = []
+        packer, sampled, written, rows = None, 0, 0, 0
+
+        def start() -> list[bytes]:
+            nonlocal packer
+            try:
+                book = zstandard.train_dictionary(DICTIONARY_BYTES, [r[2] for r in waiting if r[2]])
+            except zstandard.ZstdError:  # too few payloads to learn from: an archive may go without
+                packer = zstandard.ZstdCompressor(level=3, write_content_size=True)
+                return []
+            packer = zstandard.ZstdCompressor(level=3, dict_data=book, write_content_size=True)
+            raw = book.as_bytes()
+            return [DICTIONARY + len(raw).to_bytes(4, "little") + raw]
+
+        def flush() -> Iterator[pd.DataFrame]:
+            nonlocal packer, written, rows
+            frames = start() if packer is None and waiting else []
+            for record in waiting:
+                frames.append(packer.compress(record_bytes(*record)))
+                written += len(record[2] or b"") + 300
+            waiting.clear()
+            rows += len(frames)
+            if written >= archive_bytes or rows + SAMPLE_ROWS + 1 > archive_rows:
+                frames += [b""] * (archive_rows - rows)
+                packer, written, rows = None, 0, 0
+            yield pd.DataFrame({"frame": frames})
+
+        for batch in batches:
+            for page, url, html, sha, octets, refers in zip(batch.page_id, batch.url, batch.html, batch.sha, batch.octets, batch.refers_to):
+                waiting.append((page, url, None if pd.isna(html) else html.encode(), sha, octets, refers))
+                sampled += len(waiting[-1][2] or b"")
+                # The first flush of an archive brings the sample that trains its dictionary.
+                if len(waiting) == SAMPLE_ROWS or (sampled >= DICTIONARY_SAMPLE if packer is None else len(waiting) == 32):
+                    yield from flush()
+                    sampled = 0
+        yield from flush()
+
+    return run
+
+
+def write_archives(records: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES, archive_rows: int = ARCHIVE_ROWS) -> None:
+    """Records of ``choose_records`` as .warc.zst content under ``path``, about ``archive_bytes`` of payload each.
+
+    Tasks write what they hold, in as many archives as it takes.
+    """
+    frames = records.mapInPandas(_frames(archive_bytes, archive_rows), "frame binary")
+    frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR).option(
+        "maxRecordsPerFile", archive_rows).text(path)
 
 
 def frames_of(archive: bytes) -> Iterator[bytes]:
