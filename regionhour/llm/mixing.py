@@ -124,7 +124,10 @@ def draw_plan(quota: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """The mix: ``shard, key, pass, block``, one row per drawn block (shard -1 closes)."""
     # The ladder has one entry per source; a slot climbs it to find its source.
     ladder = quota.agg(F.max("upto").alias("slots"), F.sort_array(F.collect_list(F.struct("upto", "key"))).alias("ladder")).filter("slots > 0")
-    shards = ladder.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / shard_slots))).alias("shard")).repartition("shard")
+    shards = ladder.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / shard_slots))).alias("shard"))
+    # Rows that are few now and many once expanded: the number of tasks must not follow their size.
+    tasks = int(quota.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards.repartition(tasks, "shard")
     first_slot = F.col("shard") * shard_slots
     slots = shards.select("*", F.explode(F.sequence(first_slot, F.least(F.col("slots"), first_slot + shard_slots) - 1)).alias("slot"))
     # A 53-bit hashed number, scaled to the ladder's length.
@@ -142,7 +145,7 @@ def draw_plan(quota: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     last = F.least(F.col("first") + F.col("drawn"), F.col("quota"))
     # Spans are cut to a shard's length and dealt out before they are expanded.
     cut = spans.select("shard", "key", "blocks", "walks", last.alias("last"), F.explode(F.sequence("first", last - 1, F.lit(shard_slots))).alias("at"))
-    cut = cut.repartition("key", "at")
+    cut = cut.repartition(tasks, "key", "at")
     numbers = cut.select("shard", "key", "blocks", "walks", F.explode(F.sequence("at", F.least(F.col("at") + shard_slots, F.col("last")) - 1)).alias("n"))
     turn = F.floor(F.col("n") / F.col("blocks"))
     walk = F.get("walks", turn.cast("int"))
