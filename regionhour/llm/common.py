@@ -36,6 +36,18 @@ def step(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(*steps: DataFrame) -> None:
+    """Removes tables made by ``step`` that nothing reads any more."""
+    for df in steps:
+        spark = df.sparkSession
+        folders = {file.rpartition("/")[0] for file in df.inputFiles()}
+        for folder in folders:
+            if not folder.split(":")[-1].lstrip("/").startswith(shared_dir(spark).split(":")[-1].lstrip("/")):
+                raise ValueError(f"not a stored step: {folder}")
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def digest(text: Column) -> Column:
     """SHA-256 of the UTF-8 text as lower-case hex; null counts as empty."""
     return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)

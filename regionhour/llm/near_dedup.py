@@ -3,12 +3,14 @@
 1. Sign: every (shingle, weight strip) of a text throws a Poisson stream of hashed
    darts into its region; only darts below a height that yields about k ln k of them
    are made. Each dart falls on one of ``k`` coordinates; the earliest per coordinate stays.
-2. Band: equal bands of coordinates put texts into one bucket. Each bucket's least and greatest
-   member are its pivots; all members are compared with both.
+2. Band: equal bands of coordinates put texts into one bucket. The member that meets most others
+   over all its buckets (the likely original of a group) and the least member are the
+   bucket's pivots; all members are compared with both.
 3. Verify: pairs are compared exactly by weighted Jaccard of their shingles.
 4. Connect: links are contracted to classes by rounds of large and small stars.
-5. The rest: where a bucket still holds several classes, members of different classes
-   that were not compared yet and whose weights allow the similarity are compared too.
+5. The rest: a bucket that still holds several classes is compared chunk by chunk
+   inside tasks, on a finer signature of its members; only pairs of different
+   classes that this signature puts near the threshold leave the task, and are verified.
 
 Equal texts are one node throughout, so a group of copies counts once.
 """
@@ -25,11 +27,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regionhour.llm.common import digest, step, table
+from regionhour.llm.common import digest, release, step, table
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 6  # a pair at 0.8 shares a band with probability 0.9993
+# The rest's signature: 512 coordinates of 8 bits. A pair at 0.8 is estimated below 0.72 with probability 3e-6.
+FINE, FINE_CUT = 512, 0.72
+CHUNK = 512
 WORD = re.compile(r"\w+")
 EMPTY = np.zeros(0, np.uint64)
 
@@ -194,7 +199,8 @@ def components(links: DataFrame) -> DataFrame:
         large = _least_near(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         near = _least_near(large)
         small = near.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v")))
-        edges = step(small.filter("u <> v").distinct(), "edges")
+        before, edges = edges, step(small.filter("u <> v").distinct(), "edges")
+        release(before)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
@@ -203,6 +209,43 @@ def components(links: DataFrame) -> DataFrame:
         edges.select(F.col("v").alias("node"), F.col("v").alias("class")).distinct())
 
 
+def unlike_members(left: DataFrame, prints: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of different classes in one bucket that the fine signature doesn't rule out.
+
+    ``left`` has ``bucket, chunks, node, class``. Members are dealt to chunks by hash and
+    every two chunks of a bucket meet in one task, so a bucket of any size is spread.
+    """
+    def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            fine, weights = [], []
+            with np.errstate(over="ignore"):
+                for raw in batch.print:
+                    keys, counts = np.frombuffer(raw, np.uint64).reshape(2, -1)
+                    fine.append((dart_signature(keys, counts.astype(float), FINE) >> np.uint64(56)).astype(np.uint8).tobytes())
+                    weights.append(int(counts.sum()))
+            yield pd.DataFrame({"node": batch.node, "fine": fine, "weight": weights})
+
+    def compared(block: pd.DataFrame) -> pd.DataFrame:
+        own, other = (block[block.chunk == k].sort_values("node") for k in (block.i.iloc[0], block.j.iloc[0]))
+        if own.empty or other.empty:
+            return pd.DataFrame({"a": [], "b": []})
+        grid = np.frombuffer(b"".join(other.fine), np.uint8).reshape(len(other), -1)
+        nodes, classes, weights = other.node.to_numpy(), other["class"].to_numpy(), other.weight.to_numpy()
+        out = []
+        for node, kind, fine, weight in zip(own.node, own["class"], own.fine, own.weight):
+            able = np.flatnonzero((classes != kind) & (np.minimum(weights, weight) >= least * np.maximum(weights, weight)))
+            near = (grid[able] == np.frombuffer(fine, np.uint8)).sum(axis=1) >= (FINE_CUT - SIMILARITY + least) * FINE
+            out += [(min(node, x), max(node, x)) for x in nodes[able[near]]]
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    named = left.select("node").distinct()
+    fine = step(prints.join(named, "node", "left_semi").mapInPandas(signed, "node binary, fine binary, weight bigint"), "fine")
+    chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    dealt = left.withColumn("chunk", chunk).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
+        "bucket", F.least("chunk", "with").alias("i"), F.greatest("chunk", "with").alias("j"), "chunk", "node", "class")
+    return dealt.join(fine, "node").groupBy("bucket", "i", "j").applyInPandas(compared, "a binary, b binary").distinct()
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """``doc_id, node, class, class_id, class_size, kept`` per row of ``docs``.
 
@@ -214,33 +257,36 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     signed = step(signatures(docs, id_col, text_col), "signatures")
     nodes = signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("weight").alias("weight"))
     member = signed.select(F.explode("bands").alias("bucket"), "node").distinct()
-    buckets = step(member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"), F.max("node").alias("last")).filter("n > 1"), "buckets")
+    buckets = step(member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
     members = step(signed.select(F.explode("bands").alias("bucket"), "node").join(buckets, "bucket").distinct(), "members")
-    pairs = step(members.select("node", F.explode(F.array("first", "last")).alias("pivot")).filter("node <> pivot").select(
+    met = members.groupBy("node").agg(F.sum("n").alias("met")).select(F.hex("node").alias("_node"), "met")
+    pivots = members.withColumn("_node", F.hex("node")).join(met, "_node").groupBy("bucket").agg(
+        F.max(F.struct("met", "node"))["node"].alias("first"), F.min("node").alias("last")).select(F.col("bucket").cast("string").alias("_bucket"), "first", "last")
+    pairs = step(members.withColumn("_bucket", F.col("bucket").cast("string")).join(pivots, "_bucket").select(
+        "node", F.explode(F.array("first", "last")).alias("pivot")).filter("node <> pivot").select(
         F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), "pairs")
     # Every member of a bucket is in a pair.
     candidates = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     prints = step(prints_of(docs, nodes.join(candidates, "node", "left_semi"), id_col, text_col), "prints")
     links = step(verified(pairs, prints, least), "links")
     classes = components(links)
-    # Members of a bucket with several classes that are left to compare; up to three members have all met.
+    # Up to three members of a bucket have all met.
     placed = members.filter("n > 3").select("bucket", "node").join(classes, "node", "left").select("bucket", "node", F.coalesce("class", "node").alias("class"))
-    mixed = placed.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select(F.col("bucket").cast("string").alias("_bucket"))
-    left = step(placed.withColumn("_bucket", F.col("bucket").cast("string")).join(mixed, "_bucket", "left_semi").join(
-        nodes.select("node", "weight"), "node").select("bucket", "node", "class", "weight"), "left")
+    mixed = placed.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("n")).filter(
+        "low <> high").select(F.col("bucket").cast("string").alias("_bucket"), F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
+    left = step(placed.withColumn("_bucket", F.col("bucket").cast("string")).join(mixed, "_bucket").select("bucket", "chunks", "node", "class"), "left")
     if not left.isEmpty():
-        other = left.select("bucket", F.col("node").alias("b"), F.col("class").alias("other"), F.col("weight").alias("w"))
-        rest = left.withColumnRenamed("node", "a").join(other, "bucket").filter(
-            (F.col("a") < F.col("b")) & (F.col("class") != F.col("other"))
-            & (F.least("weight", "w") >= F.greatest("weight", "w") * least)).select("a", "b").distinct()
-        more = step(verified(rest.join(pairs, ["a", "b"], "left_anti"), prints, least), "links")
+        rest = unlike_members(left, prints, least).join(pairs, ["a", "b"], "left_anti")
+        more = step(verified(rest, prints, least), "links")
         if not more.isEmpty():
             classes = components(links.unionByName(more))
     rows = signed.select("doc_id", "node").join(classes, "node", "left").select("doc_id", "node", F.coalesce("class", "node").alias("class"))
     named = rows.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")).select(
         F.hex("class").alias("_class"), "class_id", "class_size")
-    return rows.withColumn("_class", F.hex("class")).join(named, "_class").select(
-        "doc_id", "node", "class", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    out = step(rows.withColumn("_class", F.hex("class")).join(named, "_class").select(
+        "doc_id", "node", "class", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept")), "classes")
+    release(signed, buckets, members, pairs, prints, links, left)
+    return out
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
