@@ -4,7 +4,8 @@ Tokens are counted by label over the training rows; a token's score is its log-o
 ratio under a Dirichlet prior, less a gap that makes ordinary text drift down. A
 linear scan (all maximal segments) finds every passage whose score is locally
 greatest. Its significance follows from the extreme-value law of such
-segments: E = K n exp(-lambda S). A document's significant passages add up to one
+segments: E = K n exp(-lambda S), with both constants measured on clean rows that the
+scores have not seen. A document's significant passages add up to one
 figure, which a logistic curve, fitted across folds, turns into a probability.
 """
 
@@ -23,11 +24,11 @@ from regionhour.llm.common import held_out, table
 
 TOKEN = re.compile(r"\w+")
 BUCKETS = 1 << 20  # tokens are hashed, so the table has a fixed size
-PRIOR = 10.0  # tokens of the Dirichlet prior that stand behind each bucket
-GAP = 1.0
+PRIOR = 3.0  # tokens of the Dirichlet prior that stand behind each bucket
+GAP = 1.5
 TRAINING_ROWS = 20_000  # labelled rows, the least by hash
 THRESHOLD = 0.3
-SIGNIFICANT = 0.01  # greatest E value of a passage that counts
+SIGNIFICANT = 1.0  # greatest E value of a passage that counts: as many are expected in a clean text of its length
 OUT = "doc_id bigint, held_out boolean, score double, predicted int, passages array<struct<start:int,stop:int,score:double,e_value:double>>"
 
 
@@ -80,23 +81,9 @@ def log_odds(toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
     return (odds - GAP).astype(np.float32)
 
 
-def tail_law(scores: np.ndarray, clean: np.ndarray) -> tuple[float, float]:
-    """(lambda, K): lambda solves sum p exp(lambda s) = 1 over clean text; K from mean drift and spread of scores."""
-    p = clean / max(clean.sum(), 1.0)
-    used = p > 0
-    s, p = scores[used].astype(float), p[used]
-    if not len(s) or s.max() <= 0 or (p * s).sum() >= 0:
-        return 1.0, 0.1
-    low, high = 0.0, 1.0
-    while (p * np.exp(high * s)).sum() < 1 and high < 64:
-        high *= 2
-    for _ in range(60):
-        mid = (low + high) / 2
-        low, high = (mid, high) if (p * np.exp(mid * s)).sum() < 1 else (low, mid)
-    rate = (low + high) / 2
-    # Karlin and Altschul's constant, by its leading factor: the drift over the slope at the root.
-    slope = float((p * s * np.exp(rate * s)).sum())
-    return rate, float(np.clip((p * s).sum() ** 2 / max(slope, 1e-9) * rate, 1e-4, 1.0))
+def tail_law(segments: float, total: float, tokens: float) -> tuple[float, float]:
+    """(lambda, K) of clean text from the number and total score of its segments: their scores fall off exponentially."""
+    return (segments + 1) / (total + 1), (segments + 1) / (tokens + 1)
 
 
 class Model:
@@ -161,11 +148,22 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Mode
     counted = sample.mapInPandas(count, "fold int, toxic int, bucket int, n bigint").groupBy("fold", "toxic", "bucket").agg(F.sum("n").alias("n")).toPandas()
     sums = np.zeros((2, 2, BUCKETS))
     sums[counted.fold, counted.toxic, counted.bucket] = counted.n
-    folds = []
-    for k in (0, 1):
-        scores = log_odds(sums[1 - k, 1], sums[1 - k, 0])
-        folds.append(Model(scores, *tail_law(scores, sums[1 - k, 0]), (0.0, 1.0)))
-    shared = spark.sparkContext.broadcast(folds)
+    unseen = [log_odds(sums[1 - k, 1], sums[1 - k, 0]) for k in (0, 1)]
+    tables = spark.sparkContext.broadcast(unseen)
+
+    def tails(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, own = _Buckets(), np.zeros(3)
+        for batch in batches:
+            for text, fold in zip(batch.text, batch.fold):
+                buckets = buckets_of(text, known)
+                found = maximal_segments(tables.value[fold][buckets])
+                own += len(found), sum(x[2] for x in found), len(buckets)
+        yield pd.DataFrame([own], columns=["segments", "total", "tokens"])
+
+    tail = sample.filter(F.col("toxic") <= 0).mapInPandas(tails, "segments double, total double, tokens double").agg(
+        *[F.coalesce(F.sum(c), F.lit(0.0)) for c in ("segments", "total", "tokens")]).first()
+    law = tail_law(*tail)
+    shared = spark.sparkContext.broadcast([Model(x, *law, (0.0, 1.0)) for x in unseen])
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = _Buckets()
@@ -176,7 +174,6 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Mode
 
     points = sample.mapInPandas(weigh, "evidence double, toxic int").toPandas()
     scores = log_odds(sums[:, 1].sum(0), sums[:, 0].sum(0))
-    law = tail_law(scores, sums[:, 0].sum(0))
     curve = logistic(points.evidence.to_numpy(float), points.toxic.to_numpy(float)) if points.toxic.nunique() == 2 else (-3.0, 0.0)
     return Model(scores, *law, curve)
 
