@@ -2,7 +2,7 @@
 
 Each tree hashes a vector to a string of ``BITS`` signs of random directions. A tree
 is cut into cells of about ``cell_rows`` rows by the first bits, and a cell by a salt into blocks of
-about ``block_rows`` (so many equal vectors are spread too); a block keeps its
+about ``BLOCK_VALUES`` numbers (so many equal vectors are spread too); a block keeps its
 strings as one sorted array. A query descends to its longest-prefix match in every
 block of its cell and reports how many rows share each shorter prefix. The counts of
 all blocks and trees are added, and the forest ascends in step to the longest prefix
@@ -25,7 +25,7 @@ from regionhour.llm.common import step, table
 BITS = 62
 TREES = 8
 CELL_ROWS = 65_536
-BLOCK_ROWS = 8_192
+BLOCK_VALUES = 1 << 22  # numbers in a block, which bounds a task's memory at any vector length
 # The part of all places of the forest (rows x trees) that a query gathers. It
 # follows the table's size: directions of unclustered vectors hardly differ, so a fixed
 # number would find ever fewer of their neighbours.
@@ -102,24 +102,20 @@ def _ascend(top: int):
             low, high = _ranges(h, np.array([q.h]), int(q.bits))
             part = slice(int(low[0]), int(high[0]))
             own = ids[part]
-            scores = (v[part] * q.v).sum(axis=1)
-            other = own != q.vec_id
-            own, scores = own[other], scores[other]
-            best = np.lexsort((own, -scores))[:top] if len(own) <= 4 * top else _best(own, scores, top)
+            # A product of matrices may round equal rows differently: it only finds who can be among the best.
+            rough = v[part] @ q.v
+            rough[own == q.vec_id] = -np.inf
+            edge = np.partition(rough, len(rough) - top)[len(rough) - top] if len(rough) > top else -np.inf
+            able = np.flatnonzero((rough >= edge - 1e-9 * max(1.0, abs(edge))) & (rough > -np.inf)) if np.isfinite(edge) else np.flatnonzero(own != q.vec_id)
+            own, scores = own[able], (v[part][able] * q.v).sum(axis=1)
+            best = np.lexsort((own, -scores))[:top]
             out.append(pd.DataFrame({"query_id": q.vec_id, "vec_id": own[best], "score": scores[best]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": int, "vec_id": int, "score": float})
     return run
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, top: int) -> np.ndarray:
-    """Places of the ``top`` best, ties at the edge by the smaller id."""
-    edge = np.partition(scores, len(scores) - top)[len(scores) - top]
-    able = np.flatnonzero(scores >= edge)
-    return able[np.lexsort((ids[able], -scores[able]))[:top]]
-
-
 def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, top: int = TOP,
-            trees: int = TREES, cell_rows: int = CELL_ROWS, block_rows: int = BLOCK_ROWS, share: float = SHARE) -> DataFrame:
+            trees: int = TREES, cell_rows: int = CELL_ROWS, block_values: int = BLOCK_VALUES, share: float = SHARE) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``top`` rows of largest inner product found for each query.
 
     Queries are the rows whose id divides by ``every``; every other row is a candidate.
@@ -139,7 +135,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
         "prefix", F.shiftright("h", BITS - first)), "hashes")
     # A cell's rows are dealt to its blocks by a salt, its queries go to each of them.
     key = ["dim", "tree", "prefix"]
-    parts = hashed.filter(~F.col("query")).groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("parts"))
+    parts = hashed.filter(~F.col("query")).groupBy(*key).agg(F.ceil(F.count(F.lit(1)) * F.col("dim") / block_values).cast("int").alias("parts"))
     placed = hashed.join(parts, key).withColumn("part", F.explode(F.when(F.col("query"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(
         F.array(F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")))))
     block = [*key, "part"]
