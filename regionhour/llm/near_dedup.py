@@ -32,8 +32,8 @@ from regionhour.llm.common import digest, release, step, table
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 6  # a pair at 0.8 shares a band with probability 0.9993
-# The rest's signature: 512 coordinates of 8 bits. A pair at 0.8 is estimated below 0.72 with probability 3e-6.
-FINE, FINE_CUT = 512, 0.72
+# The rest's signature: 1024 coordinates of 8 bits. A pair at 0.8 is estimated below 0.75 with probability 3e-5.
+FINE, FINE_CUT = 1024, 0.75
 CHUNK = 512
 WORD = re.compile(r"\w+")
 EMPTY = np.zeros(0, np.uint64)
