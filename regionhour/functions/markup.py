@@ -133,7 +133,7 @@ class Page(HTMLParser):
 
 
 def page_text(markup: str) -> str | None:
-    """Text of the main content, one stripped piece per line; None when there is no content."""
+    """Text of the main content, one stripped piece per line; the whole document where there is neither content nor body."""
     page = Page.read(markup)
 
     dropped: list[bool] = []
@@ -154,9 +154,13 @@ def page_text(markup: str) -> str | None:
             break
     else:
         content = next((e for e in kept if e.tag == "body"), None)
-    if content is None:
+    if content is not None:
+        found = pieces(content)
+    elif any(e.tag == "body" for e in page.elements):
         return None
-    return "\n".join(filter(None, (piece.strip() for piece in pieces(content))))
+    else:
+        found = [text for text, owner in zip(page.texts, page.owners) if owner < 0 or not dropped[owner]]
+    return "\n".join(filter(None, (piece.strip() for piece in found))) or None
 
 
 def _footnote_section(page: Page) -> Element | None:

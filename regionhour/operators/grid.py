@@ -15,17 +15,30 @@ def _hours(n: int | Column) -> Column:
     return F.make_dt_interval(F.lit(0), n.cast("int"), F.lit(0), F.lit(0))
 
 
-def _timestamp(text: str) -> Column:
-    return F.lit(text).cast("timestamp")
+def _timestamp(moment: str | Column) -> Column:
+    return F.lit(moment).cast("timestamp")
 
 
-def region_hours(regions: DataFrame, start: str, end: str) -> DataFrame:
+def alarm_range(alarms: DataFrame) -> tuple[Column, Column]:
+    """(hour of the first start, hour after the last end), as a scalar subquery over one row; at least one hour.
+
+    Both are null where there are no alarms; the grid is empty then.
+    """
+    microsecond = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(0.000001))
+    first = F.date_trunc("hour", F.min("start"))
+    last = F.date_trunc("hour", F.max("end") - microsecond) + _hours(1)
+    bounds = alarms.agg(F.struct(first.alias("first"), F.greatest(last, first + _hours(1)).alias("last")).alias("bounds")).scalar()
+    return bounds["first"], bounds["last"]
+
+
+def region_hours(regions: DataFrame, start: str | Column, end: str | Column) -> DataFrame:
     """Every hour of every region, start included, end not."""
-    hours = F.sequence(_timestamp(start), _timestamp(end) - _hours(1), _hours(1))
+    first, last = _timestamp(start), _timestamp(end) - _hours(1)
+    hours = F.when(first <= last, F.sequence(first, last, _hours(1)))
     return regions.select("region_id", F.explode(hours).alias("hour_ts"))
 
 
-def active_hours(alarms: DataFrame, start: str, end: str) -> DataFrame:
+def active_hours(alarms: DataFrame, start: str | Column, end: str | Column) -> DataFrame:
     """Distinct region-hours touched by an alarm of positive length.
 
     An interval becomes its hours first, which turns the overlap with the grid
@@ -40,13 +53,13 @@ def active_hours(alarms: DataFrame, start: str, end: str) -> DataFrame:
     return inside.select("region_id", F.explode(F.sequence(first, last, _hours(1))).alias("hour_ts")).distinct()
 
 
-def region_hour_flags(alarms: DataFrame, regions: DataFrame, start: str, end: str) -> DataFrame:
+def region_hour_flags(alarms: DataFrame, regions: DataFrame, start: str | Column, end: str | Column) -> DataFrame:
     """Dense grid with 1 where any part of an alarm falls in the hour, else 0."""
     active = active_hours(alarms, start, end).withColumn("is_alarm", F.lit(1))
     return region_hours(regions, start, end).join(active, KEY, "left").fillna(0, ["is_alarm"])
 
 
-def horizon_labels(flags: DataFrame, end: str, horizons: list[int] = HORIZONS) -> DataFrame:
+def horizon_labels(flags: DataFrame, end: str | Column, horizons: list[int] = HORIZONS) -> DataFrame:
     """Per region-hour, 1 when an alarm hour follows within h hours; null when fewer than h hours follow.
 
     Each alarm hour announces itself to the hours before it and the nearest

@@ -86,8 +86,8 @@ def body_to_title(log: DataFrame) -> DataFrame:
     return with_page_title(shown, "_body", "page_title").drop("_body", "body")
 
 
-def collapse_attempts(log: DataFrame, attempts: int = MAX_ATTEMPTS) -> DataFrame:
-    """Last attempt per address, with the last retryable error seen up to then."""
+def collapse_attempts(log: DataFrame) -> DataFrame:
+    """Last attempt per address, with the last retryable error seen up to then; a log may hold any number of attempts."""
     error = (
         F.when(F.col("failure") == "timeout", "Timeout")
         .when(F.col("failure") == "connection", F.concat(F.lit("Connection error: "), F.substring("failure_detail", 1, 80)))
@@ -96,8 +96,7 @@ def collapse_attempts(log: DataFrame, attempts: int = MAX_ATTEMPTS) -> DataFrame
     if "body" in log.columns:
         log = body_to_title(log)
     kept = [c for c in log.columns if c not in ("url", "attempt")]
-    tried = log.where(F.col("attempt") <= attempts).withColumn("_error", error)
-    return tried.groupBy("url").agg(
+    return log.withColumn("_error", error).groupBy("url").agg(
         F.max(F.struct("attempt", *kept)).alias("last"),
         F.max_by("_error", F.when(F.col("_error").isNotNull(), F.col("attempt"))).alias("last_error"),
     ).select("url", *[F.col("last")[c].alias(c) for c in kept], F.coalesce("last_error", F.lit("")).alias("last_error"))
@@ -177,14 +176,20 @@ def special_entries(urls: DataFrame) -> DataFrame:
     return with_special_title(urls.select("url")).where(F.col("title").isNotNull())
 
 
+def one_entry_per_url(entries: DataFrame) -> DataFrame:
+    """The least entry of each address, fields compared in order, so that reruns agree."""
+    least = F.min(F.struct(*[c for c in ENTRY if c != "url"])).alias("_entry")
+    return entries.groupBy("url").agg(least).select("url", "_entry.*")
+
+
 def resolve_with_cache(urls: DataFrame, cache: DataFrame, fetched: DataFrame, force: bool = False) -> DataFrame:
     """Entry of each address: cached (unless ``force``), else special, else fetched, else unresolved.
 
-    ``cache`` and ``fetched`` hold one row per address. The first rule that
-    applies decides every field of the entry.
+    Of several cached or fetched rows of one address the least entry counts. The first rule
+    that applies decides every field of the entry.
     """
     def side(df: DataFrame, name: str) -> DataFrame:
-        return df.select("url", F.struct(*[c for c in ENTRY if c != "url"]).alias(name))
+        return one_entry_per_url(df).select("url", F.struct(*[c for c in ENTRY if c != "url"]).alias(name))
 
     nothing = F.lit(None).cast("string")
     titled = with_special_title(urls, "url", "_special_title", "_special_status")
@@ -219,9 +224,11 @@ def resolve_with_cache(urls: DataFrame, cache: DataFrame, fetched: DataFrame, fo
 
 
 def upsert_cache(cache: DataFrame, entries: DataFrame, force: bool = False) -> DataFrame:
-    """Next version of the cache, one row per address; ``force`` lets new entries replace old ones."""
-    fresh = entries.select(*ENTRY).dropDuplicates(["url"])
-    known = cache.select(*ENTRY)
+    """Next version of the cache, one row per address; ``force`` lets new entries replace old ones.
+
+    Of several entries of one address the least counts.
+    """
+    fresh, known = one_entry_per_url(entries), one_entry_per_url(cache)
     if force:
         return known.join(fresh.select("url"), "url", "left_anti").unionByName(fresh)
     return known.unionByName(fresh.join(known.select("url"), "url", "left_anti"))
@@ -239,17 +246,16 @@ def report_rollup(entries: DataFrame, report: str) -> DataFrame:
     )
 
 
-def nest_report_sources(entries: DataFrame, report: str, per_document: int = 10_000) -> DataFrame:
-    """Sources of each report as ordered arrays.
+def nest_report_sources(entries: DataFrame, report: str) -> DataFrame:
+    """One document per report: its sources as an array in the order of ``pos``.
 
-    Positions are cut every ``per_document``; a report longer than that gives
-    several parts rather than one value that no task could hold.
+    The long table ``entries`` (report, pos, fields) is the form without a size limit;
+    a document holds what one page lists.
     """
-    keyed = entries.withColumn("part", F.floor(F.col("pos") / per_document))
     return (
-        keyed.groupBy(report, "part")
+        entries.groupBy(report)
         .agg(F.array_sort(F.collect_list(F.struct("pos", *ENTRY))).alias("_ordered"))
-        .select(report, "part", F.transform("_ordered", lambda s: F.struct(*[s[c].alias(c) for c in ENTRY])).alias("sources"))
+        .select(report, F.transform("_ordered", lambda s: F.struct(*[s[c].alias(c) for c in ENTRY])).alias("sources"))
     )
 
 
@@ -260,23 +266,26 @@ def report_sources(reports: DataFrame, entries: DataFrame, report: str) -> DataF
     zero = ["sources_count", "resolved_count", "dead_count", "blocked_count", "non_html_count"]
     return (
         reports.join(counts, report, "left").fillna(0, zero)
-        .join(nested, report, "left").fillna(0, ["part"])
+        .join(nested, report, "left")
         .withColumn("sources", F.coalesce("sources", F.array().cast(nested.schema["sources"].dataType)))
     )
 
 
-def process_rollup(rollups: DataFrame, reports: DataFrame, report: str) -> DataFrame:
-    """Totals over reports; a report without a rollup was skipped."""
+def process_rollup(rollups: DataFrame, reports: DataFrame, report: str, existing: DataFrame | None = None) -> DataFrame:
+    """Totals over reports. Those with output in ``existing`` are skipped; all others are processed, also without sources."""
     sums = {
         "total_sources": "sources_count", "resolved": "resolved_count", "dead": "dead_count",
         "blocked": "blocked_count", "non_html": "non_html_count",
     }
-    seen = reports.select(report).join(rollups.withColumn("_done", F.lit(True)), report, "left")
+    seen, done = reports.select(report).join(rollups, report, "left"), F.lit(False)
+    if existing is not None:
+        seen = seen.join(existing.select(report).distinct().withColumn("_done", F.lit(True)), report, "left")
+        done = F.coalesce("_done", F.lit(False))
     return seen.agg(
         F.count(F.lit(1)).alias("total_reports"),
-        F.count_if("_done").alias("processed"),
-        F.count_if(F.col("_done").isNull()).alias("skipped"),
-        *[F.coalesce(F.sum(c), F.lit(0)).alias(name) for name, c in sums.items()],
+        F.count_if(~done).alias("processed"),
+        F.count_if(done).alias("skipped"),
+        *[F.coalesce(F.sum(F.when(~done, F.col(c))), F.lit(0)).alias(name) for name, c in sums.items()],
     )
 
 

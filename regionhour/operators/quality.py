@@ -43,6 +43,28 @@ def forecast_file_quality(hours: DataFrame, keys: list[str], ranges: dict[str, t
         F.coalesce(F.sum(F.when(present, nulls)), F.lit(0)).alias("nulls"),
         F.coalesce(F.sum(F.when(present, outside)), F.lit(0)).alias("out_of_range"),
     )
+    return _with_verdict(counted)
+
+
+def forecast_document_quality(
+    forecasts: DataFrame, keys: list[str], ranges: dict[str, tuple[float, float]] = RANGES
+) -> DataFrame:
+    """The same counts from the array of each document: nothing is exploded or shuffled. ``keys`` name one document."""
+    hours = F.coalesce("forecast", F.array().cast(forecasts.schema["forecast"].dataType))
+
+    def total(of_hour) -> Column:
+        return F.aggregate(F.transform(hours, of_hour), F.lit(0).cast("bigint"), lambda a, b: a + b)
+
+    counted = forecasts.select(
+        *keys,
+        F.size(F.filter(hours, lambda h: h.isNotNull())).cast("bigint").alias("hours"),
+        total(lambda h: F.when(h.isNotNull(), _sum([h[f].isNull().cast("int") for f in ranges])).otherwise(0)).alias("nulls"),
+        total(lambda h: _sum([F.coalesce(~between_inclusive(h[f], b), F.lit(False)).cast("int") for f, b in ranges.items()])).alias("out_of_range"),
+    )
+    return _with_verdict(counted)
+
+
+def _with_verdict(counted: DataFrame) -> DataFrame:
     return counted.withColumn("incomplete", F.col("hours") != EXPECTED_HOURS).withColumn(
         "valid", ~F.col("incomplete") & (F.col("nulls") == 0) & (F.col("out_of_range") == 0)
     )
@@ -80,27 +102,22 @@ def weather_hour_rows(rows: DataFrame) -> DataFrame:
     return rows.where(F.coalesce("hour_datetime", F.lit("")) != "").select(*DAY_KEY, "line_no", *hourly)
 
 
-def nest_weather_days(rows: DataFrame, days: DataFrame, hours_per_document: int = 10_000) -> DataFrame:
-    """Nested documents per city and date, hours sorted by time.
+def nest_weather_days(rows: DataFrame, days: DataFrame) -> DataFrame:
+    """One document per city and date, hours sorted by time.
 
-    A day has 24 hours. Should one key hold far more rows, its hours are spread
-    over several documents (``part`` 0, 1, ...) by line number, so no task ever
-    gathers more than about ``hours_per_document`` rows into one value.
+    ``weather_hour_rows`` is the long form (city, date, line_no, hour fields), which has no
+    size limit; a document holds the hours of one day.
     """
-    days = days.withColumn(
-        "parts", F.greatest(F.ceil(F.col("n_hours") / hours_per_document), F.lit(1))
-    )
     daily = [c for c in DAILY_FIELDS if c in rows.columns]
-    hours = weather_hour_rows(rows).join(days.select(*DAY_KEY, "parts"), DAY_KEY)
+    hours = weather_hour_rows(rows)
     hourly = [c for c in HOURLY_FIELDS if c in rows.columns]
     sort_first = ["hour_datetime", "line_no", *[c for c in hourly if c != "hour_datetime"]]
-    gathered = hours.groupBy(*DAY_KEY, F.pmod(F.xxhash64("line_no"), F.col("parts")).alias("part")).agg(
+    gathered = hours.groupBy(*DAY_KEY).agg(
         F.array_sort(F.collect_list(F.struct(*sort_first))).alias("hours")
     )
     document = F.struct(*daily, "city", "latitude", "longitude").alias("daily")
-    keyed = days.select(*DAY_KEY, document, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    return keyed.join(gathered, [*DAY_KEY, "part"], "left").select(
-        *DAY_KEY, "part", "daily",
+    return days.select(*DAY_KEY, document).join(gathered, DAY_KEY, "left").select(
+        *DAY_KEY, "daily",
         F.transform(
             F.coalesce("hours", F.array().cast(gathered.schema["hours"].dataType)),
             lambda h: F.struct(*[h[c].alias(c) for c in hourly]),

@@ -62,9 +62,9 @@ def first_successful_candidate(candidates: DataFrame, captures: DataFrame) -> Da
     """Per date the first address with a captured page; otherwise not found at the first address.
 
     The choice is made on addresses alone; only the chosen page is then fetched
-    from the captures, so pages are shuffled once.
+    from the captures. Of several captures of one address the least page counts, so reruns agree.
     """
-    pages = captures.select("url", "html").where(F.col("html").isNotNull()).dropDuplicates(["url"])
+    pages = captures.where(F.col("html").isNotNull()).groupBy("url").agg(F.min("html").alias("html"))
     tried = candidates.join(pages.select("url", F.lit(True).alias("hit")), "url", "left")
     chosen = tried.groupBy("report_date").agg(
         F.coalesce(F.min_by("url", F.when(F.col("hit"), F.col("priority"))), F.min_by("url", "priority")).alias("url"),

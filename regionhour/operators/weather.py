@@ -30,6 +30,20 @@ def flatten_forecast(documents: DataFrame, first_day_only: bool = False) -> Data
     return documents.select(*carried, hours.alias("h")).select(*carried, *[F.col("h")[f].alias(f) for f in FORECAST_FIELDS])
 
 
+def forecast_documents(hours: DataFrame) -> DataFrame:
+    """Flattened hours back to one document per request and region: ``forecast[]`` in the order of request, then clock.
+
+    Clock times before the request's hour belong to the next day. A request holds the hours of two days.
+    """
+    start = F.concat(F.substring("request_hour", 12, 2), F.lit(":00:00"))
+    entry = F.struct(
+        (F.col("datetime") < start).alias("_next_day"), F.col("datetime").alias("_at"), F.struct(*FORECAST_FIELDS).alias("hour")
+    )
+    return hours.groupBy("region", "request_hour").agg(F.array_sort(F.collect_list(entry)).alias("entries")).select(
+        "region", "request_hour", F.col("request_hour").alias("request_timestamp"), F.col("entries.hour").alias("forecast")
+    )
+
+
 def weather_keys(weather: DataFrame) -> DataFrame:
     """Rows with a full (city, date, hour) key; the date comes from the day column."""
     keyed = weather_timestamp(weather).withColumn("join_city", city_key(F.col("city_address")))

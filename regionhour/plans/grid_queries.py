@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regionhour.constants import HORIZONS, RANGES
@@ -17,18 +17,24 @@ from regionhour.plans.weather_queries import READINGS
 from regionhour.session import shared_dir
 from regionhour.streaming import alerts as streams
 
-START, END, CUTOFF = "2024-01-02", "2024-01-30", "2024-01-22"
+CUTOFF = "2024-01-22"
 AT = "2024-01-22 13:30:00"
 WEATHER_VALUES = ["hour_temp", "hour_visibility"]
 TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
-def flags(v: Lenses, end: str = END) -> DataFrame:
-    return ops.region_hour_flags(v.alarms, v.regions, START, end)
+def span(v: Lenses, end: str | None = None) -> tuple[Column, str | Column]:
+    """From the hour of the first start to that of the last end, or to an earlier ``end``."""
+    first, last = ops.alarm_range(v.alarms)
+    return first, end or last
 
 
-def labels(v: Lenses, end: str = END) -> DataFrame:
-    return ops.horizon_labels(flags(v, end), end)
+def flags(v: Lenses, end: str | None = None) -> DataFrame:
+    return ops.region_hour_flags(v.alarms, v.regions, *span(v, end))
+
+
+def labels(v: Lenses, end: str | None = None) -> DataFrame:
+    return ops.horizon_labels(flags(v, end), span(v, end)[1])
 
 
 def forecast(v: Lenses) -> DataFrame:
@@ -54,7 +60,7 @@ def hour_stamp(df: DataFrame) -> DataFrame:
 
 def feature_table(v: Lenses) -> DataFrame:
     out = jobs.feature_table(
-        v.alarms, v.regions, v.weather, day_features(v), START, END, READINGS, WEATHER_VALUES, ["page_length"]
+        v.alarms, v.regions, v.weather, day_features(v), *span(v), READINGS, WEATHER_VALUES, ["page_length"]
     )
     return round_columns(hour_stamp(out), *[f"prev_{c}" for c in WEATHER_VALUES])
 
@@ -106,7 +112,7 @@ def first_alerts(v: Lenses) -> DataFrame:
 
 
 def stream_hourly_counts(v: Lenses) -> DataFrame:
-    """The stream job over the events table, run to its end in complete mode."""
+    """The stream job over the events table, run to its end in update mode."""
     schema = v.table("events").schema
     events = (
         v.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(v.sf_dir)
@@ -114,17 +120,22 @@ def stream_hourly_counts(v: Lenses) -> DataFrame:
     )
     base = f"{shared_dir(v.spark)}/stream_hourly_counts/{uuid.uuid4().hex}"
     counts = streams.hourly_counts(events, "region_id", "ts")
-    streams.write_table(counts, f"{base}/table", f"{base}/checkpoint", "complete").trigger(availableNow=True).start().awaitTermination()
-    return hour_stamp(v.spark.read.parquet(f"{base}/table"))
+    streams.write_updates(counts, f"{base}/table", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return hour_stamp(streams.read_updates(v.spark, f"{base}/table", ["hour_ts", "region_id"]))
 
 
 # --- the same rules in SQL --------------------------------------------------
 
-def grid_views(end: str = END) -> dict[str, str]:
+def grid_views(end: str | None = None) -> dict[str, str]:
     hour = "INTERVAL 1 HOUR"
+    stop = f"TIMESTAMP '{end}'" if end else "stop"
     overlap = "a.region_id = g.region_id AND a.start_ts < g.hour_ts + INTERVAL 1 HOUR AND a.end_ts > g.hour_ts AND a.end_ts > a.start_ts"
     return {
-        "hours": f"SELECT unnest(range(TIMESTAMP '{START}', TIMESTAMP '{end}', {hour})) AS hour_ts",
+        "bounds": f"""
+            SELECT date_trunc('hour', min(start_ts)) AS first_hour,
+                   greatest(date_trunc('hour', max(end_ts) - INTERVAL 1 MICROSECOND), date_trunc('hour', min(start_ts))) + {hour} AS stop
+            FROM alarms""",
+        "hours": f"SELECT unnest(range(first_hour, {stop}, {hour})) AS hour_ts FROM bounds",
         "g": "SELECT region_id, hour_ts FROM regions, hours",
         "flags": f"""
             SELECT g.region_id, g.hour_ts, CAST(count(a.id) > 0 AS INT) AS is_alarm

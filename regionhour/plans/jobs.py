@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regionhour.functions.calendar import text_date
@@ -43,7 +43,7 @@ def weather_quality_job(rows: DataFrame, strict: bool = False) -> tuple[DataFram
 
 
 def feature_table(
-    alarms: DataFrame, regions: DataFrame, weather_rows: DataFrame, report_days: DataFrame, start: str, end: str,
+    alarms: DataFrame, regions: DataFrame, weather_rows: DataFrame, report_days: DataFrame, start: str | Column, end: str | Column,
     readings: dict[str, str], weather_values: list[str], report_values: list[str],
 ) -> DataFrame:
     """One row per region-hour: flag, labels, weather of the hour before, report of the day before."""

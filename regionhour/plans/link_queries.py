@@ -63,14 +63,15 @@ def entries(v: Lenses, force: bool = False) -> DataFrame:
 
 
 def attempts(v: Lenses) -> DataFrame:
-    """Fetch log with a second attempt where the first was worth a retry."""
+    """Fetch log with a second attempt where the first was worth a retry, and a third where that failed too."""
     first = v.fetch_log.withColumn("attempt", F.lit(1))
     again = first.where("http_code in (429, 503)").withColumns({
         "attempt": F.lit(2),
         "http_code": F.when(F.col("page_id") % 3 == 0, 429).when(F.col("page_id") % 3 == 1, 503).otherwise(200),
     })
+    third = again.where("http_code = 503").withColumns({"attempt": F.lit(3), "http_code": F.lit(404)})
     columns = ["url", "page_id", "pos", "attempt", "http_code", "failure", "failure_detail"]
-    return first.select(columns).unionByName(again.select(columns))
+    return first.select(columns).unionByName(again.select(columns)).unionByName(third.select(columns))
 
 
 def listed(values: list[str]) -> str:
@@ -197,7 +198,7 @@ def rollup(v: Lenses) -> DataFrame:
 def nested_sources(v: Lenses) -> DataFrame:
     nested = ops.nest_report_sources(entries(v), "page_id")
     return nested.select(
-        "page_id", "part", F.size("sources").cast("long").alias("n"), F.element_at("sources", 1)["url"].alias("first_url"),
+        "page_id", F.size("sources").cast("long").alias("n"), F.element_at("sources", 1)["url"].alias("first_url"),
         F.element_at("sources", -1)["title"].alias("last_title"),
     )
 
@@ -205,7 +206,8 @@ def nested_sources(v: Lenses) -> DataFrame:
 _ATTEMPT_ROWS = """
     SELECT url, page_id, pos, 1 AS attempt, http_code, failure FROM fetch_log
     UNION ALL SELECT url, page_id, pos, 2, CASE page_id % 3 WHEN 0 THEN 429 WHEN 1 THEN 503 ELSE 200 END, failure
-    FROM fetch_log WHERE http_code IN (429, 503)"""
+    FROM fetch_log WHERE http_code IN (429, 503)
+    UNION ALL SELECT url, page_id, pos, 3, 404, failure FROM fetch_log WHERE http_code IN (429, 503) AND page_id % 3 = 1"""
 
 QUERIES = {
     "extract_links": (
@@ -262,15 +264,15 @@ QUERIES = {
         SELECT * FROM cached WHERE url NOT IN (SELECT url FROM fetched_once)""", "links", "fetch_log", extra=ENTRY_VIEWS)),
     "report_rollup": (rollup, with_views(_ROLLUP, "links", "fetch_log", extra=ENTRY_VIEWS)),
     "nest_report_sources": (nested_sources, with_views("""
-        SELECT page_id, CAST(0 AS BIGINT) AS part, count(*) AS n, arg_min(url, pos) AS first_url, arg_max(title, pos) AS last_title
+        SELECT page_id, count(*) AS n, arg_min(url, pos) AS first_url, arg_max(title, pos) AS last_title
         FROM entries GROUP BY 1""", "links", "fetch_log", extra=ENTRY_VIEWS)),
     "process_rollup": (
-        lambda v: ops.process_rollup(rollup(v), v.table("pages"), "page_id"),
+        lambda v: ops.process_rollup(rollup(v), v.table("pages"), "page_id", v.table("pages").where("page_id % 9 = 4")),
         with_views("""
-        SELECT (SELECT count(*) FROM pages) AS total_reports, count(*) AS processed, (SELECT count(*) FROM pages) - count(*) AS skipped,
-               CAST(sum(sources_count) AS BIGINT) AS total_sources, CAST(sum(resolved_count) AS BIGINT) AS resolved,
-               CAST(sum(dead_count) AS BIGINT) AS dead, CAST(sum(blocked_count) AS BIGINT) AS blocked, CAST(sum(non_html_count) AS BIGINT) AS non_html
-        FROM roll""", "links", "fetch_log", extra={**ENTRY_VIEWS, "roll": _ROLLUP})),
+        SELECT count(*) AS total_reports, count(*) FILTER (page_id % 9 <> 4) AS processed, count(*) FILTER (page_id % 9 = 4) AS skipped,
+        """ + ", ".join(f"CAST(coalesce(sum({c}_count) FILTER (page_id % 9 <> 4), 0) AS BIGINT) AS {name}" for name, c in (
+            ("total_sources", "sources"), ("resolved", "resolved"), ("dead", "dead"), ("blocked", "blocked"), ("non_html", "non_html")))
+        + " FROM pages LEFT JOIN roll USING (page_id)", "links", "fetch_log", extra={**ENTRY_VIEWS, "roll": _ROLLUP})),
     "status_breakdown": (
         lambda v: round_columns(ops.status_breakdown(entries(v)), "pct"),
         with_views("SELECT status, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM entries), 6) AS pct FROM entries GROUP BY 1",

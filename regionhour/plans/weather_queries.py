@@ -97,11 +97,11 @@ _SAMPLES = f"""
 
 
 def union_labeled(v: Lenses) -> DataFrame:
-    alarms, weather = keyed(v)
-    during = ops.alarms_with_weather(alarms, weather).select("hour_visibility").dropna()
-    overall = weather.select("hour_visibility").dropna()
-    both = profile.union_labeled(during, overall, ("during alarms", "overall"))
-    return both.groupBy("state", "hour_visibility").agg(F.count(F.lit(1)).alias("n"))
+    """Both samples as counted values: the join of alarms and weather is not built."""
+    hours = ops.value_hours(*keyed(v), F.col("hour_visibility"), "hour_visibility")
+    during = hours.where("during > 0").select("hour_visibility", F.col("during").alias("n"))
+    overall = hours.select("hour_visibility", F.col("overall").alias("n"))
+    return profile.union_labeled(during, overall, ("during alarms", "overall"))
 
 
 def forecast_quality(v: Lenses) -> DataFrame:
@@ -113,7 +113,7 @@ def forecast_quality(v: Lenses) -> DataFrame:
 
 
 def forecast_file_quality(v: Lenses) -> DataFrame:
-    return quality.forecast_file_quality(quality.forecast_hours(v.forecasts, ["file"]), ["file"])
+    return quality.forecast_document_quality(v.forecasts, ["file"])
 
 
 def _quality_sql(source: str, keys: str, n_keys: int, columns: dict[str, str], present: str) -> str:

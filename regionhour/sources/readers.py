@@ -10,17 +10,29 @@ from pyspark.sql import types as T
 from regionhour import schemas
 
 
+def _read_csv(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",") -> DataFrame:
+    """Columns of ``schema`` by their names in the header, in any order; others are ignored.
+
+    A missing column and files whose headers differ are errors; a value that cannot be read is null.
+    """
+    rows = spark.read.csv(path, sep=sep, header=True, enforceSchema=False)
+    missing = [name for name in schema.names if name not in rows.columns]
+    if missing:
+        raise ValueError(f"{path}: no column {', '.join(missing)}")
+    return rows.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
 def read_alarms(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, sep=";", header=True, schema=schemas.ALARMS)
+    return _read_csv(spark, path, schemas.ALARMS, ";")
 
 
 def read_regions(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, header=True, schema=schemas.REGIONS, enforceSchema=False)
+    return _read_csv(spark, path, schemas.REGIONS)
 
 
 def read_weather_csv(spark: SparkSession, path: str, schema: T.StructType = schemas.WEATHER_CSV) -> DataFrame:
     """Wide rows as text, with ``line_no`` growing in file order. A missing path is an error."""
-    rows = spark.read.csv(path, header=True, schema=schema)
+    rows = _read_csv(spark, path, schema)
     return rows.withColumn("line_no", F.monotonically_increasing_id())
 
 
@@ -33,11 +45,18 @@ def _with_corrupt(schema: T.StructType) -> T.StructType:
 
 
 def read_forecasts(spark: SparkSession, directory: str) -> DataFrame:
-    """One document per ``*.json`` file."""
+    """Landed forecasts: one document per ``*.json`` file."""
     documents = spark.read.json(directory, schema=schemas.FORECAST, multiLine=True, pathGlobFilter="*.json")
     return documents.select(_file_name().alias("file"), "*")
 
 
+def read_stored_forecasts(spark: SparkSession, directory: str) -> DataFrame:
+    """Documents of ``writers.write_forecasts``, with ``file`` as a landed file would be named."""
+    schema = T.StructType([*schemas.FORECAST.fields, T.StructField("request_hour", T.StringType())])
+    documents = spark.read.json(directory, schema=schema)
+    return documents.select(F.concat_ws("_", "request_hour", "region").alias("file"), *schema.names)
+
+
 def read_forecast_api(spark: SparkSession, directory: str) -> DataFrame:
     """Raw answers named ``<request>_<region>.json`` with ``days[].hours[]``; the request names date and hour."""
     documents = spark.read.json(directory, schema=schemas.FORECAST_API, multiLine=True, pathGlobFilter="*.json")
@@ -72,6 +91,16 @@ def read_weather_days(spark: SparkSession, directory: str) -> DataFrame:
     return named.withColumn("day_date", date).where(F.col("day_date").isNotNull())
 
 
+def read_stored_weather_days(spark: SparkSession, directory: str) -> DataFrame:
+    """Days of ``writers.write_weather_days``, in the form of ``read_weather_days``; city and date come from the folders."""
+    keys = [T.StructField("city", T.StringType()), T.StructField("date", T.StringType())]
+    documents = spark.read.json(directory, schema=T.StructType([*_with_corrupt(schemas.WEATHER_DAY).fields, *keys]))
+    return documents.select(
+        "city", "date", F.concat("date", F.lit(".json")).alias("file"), F.col("_corrupt_record").isNull().alias("readable"), "daily", "hours",
+        F.to_date(F.try_to_timestamp("date", F.lit("yyyy-MM-dd"))).alias("day_date"),
+    )
+
+
 def read_report_html(spark: SparkSession, directory: str) -> DataFrame:
     """Pages named ``yyyy-MM-dd.html`` as text: UTF-8, else Latin-1."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.html").load(directory)
@@ -99,14 +128,31 @@ def decode_body(content: Column, declared: Column) -> Column:
 
 
 def read_reports(spark: SparkSession, directory: str) -> DataFrame:
+    """Landed reports: one document per ``*.json`` file."""
     return spark.read.json(directory, schema=schemas.REPORT, multiLine=True, pathGlobFilter="*.json")
 
 
+def read_stored_reports(spark: SparkSession, directory: str) -> DataFrame:
+    """Reports of ``writers.write_reports``: one document a line, the date from the folder."""
+    return spark.read.json(directory, schema=schemas.REPORT)
+
+
 def read_source_json(spark: SparkSession, directory: str) -> DataFrame:
-    """Source entries of all report documents, one row each; corrupt documents are skipped."""
-    documents = spark.read.json(
+    """Source entries of landed report documents (one per file), one row each; corrupt documents are skipped."""
+    return _source_entries(spark.read.json(
         directory, schema=_with_corrupt(schemas.REPORT_SOURCES), multiLine=True, pathGlobFilter="*.json"
-    )
+    ))
+
+
+def read_stored_sources(spark: SparkSession, directory: str) -> DataFrame:
+    """Source entries of ``writers.write_report_sources``: one document a line, the report's date from the folder.
+
+    Fields that the writer leaves out come back as null.
+    """
+    return _source_entries(spark.read.json(directory, schema=_with_corrupt(schemas.REPORT_SOURCES)))
+
+
+def _source_entries(documents: DataFrame) -> DataFrame:
     return (
         documents.where(F.col("_corrupt_record").isNull())
         .select("report_date", "html_file", F.posexplode("sources").alias("pos", "source"))
@@ -141,10 +187,13 @@ def _read_cache(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_alert_snapshots(spark: SparkSession, directory: str, streaming: bool = False) -> DataFrame:
-    """Landed live snapshots, one row per file, as a table or a file stream."""
-    reader = (spark.readStream if streaming else spark.read).schema(schemas.ALERT_SNAPSHOT)
+    """Landed live snapshots, one row per file, as a table or a file stream.
+
+    Error answers and broken files have no array of alerts. They say nothing about the
+    state and are left out; an empty array is a snapshot without alerts.
+    """
+    reader = (spark.readStream if streaming else spark.read).schema(_with_corrupt(schemas.ALERT_SNAPSHOT))
     snapshots = reader.option("multiLine", "true").option("pathGlobFilter", "*.json").json(directory)
-    return snapshots.select(
-        _file_name().alias("file"), F.col("_metadata.file_modification_time").alias("landed"),
-        F.coalesce("alerts", F.array().cast(schemas.ALERT_SNAPSHOT["alerts"].dataType)).alias("alerts"),
+    return snapshots.where(F.col("alerts").isNotNull() & F.col("_corrupt_record").isNull()).select(
+        _file_name().alias("file"), F.col("_metadata.file_modification_time").alias("landed"), "alerts",
     )

@@ -7,6 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+SPREAD = 4
 
 
 def processed_path(zone: str, name: str) -> str:
@@ -18,10 +21,15 @@ def processed_path(zone: str, name: str) -> str:
 
 
 def write_partitioned(df: DataFrame, zone: str, name: str, partitions: list[str], file_format: str = "json") -> str:
-    """Replace the partitions present in ``df``; rows of one partition may span several files."""
+    """Replace the partitions present in ``df``.
+
+    Rows are gathered by partition first, so a task writes few files; a partition is dealt to
+    up to ``SPREAD`` tasks, so that a large one does not pass through one of them.
+    """
     path = processed_path(zone, name)
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns if not isinstance(df.schema[c].dataType, T.MapType)]), F.lit(SPREAD))
     (
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        df.repartition(*partitions, salt).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(*partitions).format(file_format).save(path)
     )
     return path
@@ -38,9 +46,9 @@ def write_weather_days(days: DataFrame, zone: str) -> str:
     return write_partitioned(named, zone, "weather_days", ["city", "date"])
 
 
-def write_forecasts(hours: DataFrame, zone: str) -> str:
-    """Flat forecast hours by request hour and region."""
-    return write_partitioned(hours, zone, "forecasts", ["request_hour", "region"], "parquet")
+def write_forecasts(documents: DataFrame, zone: str) -> str:
+    """Forecast documents (``weather.forecast_documents``) by request hour and region."""
+    return write_partitioned(documents, zone, "forecasts", ["request_hour", "region"])
 
 
 def write_report_sources(documents: DataFrame, zone: str) -> str:

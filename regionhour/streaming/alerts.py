@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from regionhour.operators.serving import first_alert_per_region
 
 EVENT_TIME = "started_ts"
+ACTIVE = T.StructType([
+    T.StructField("landed", T.TimestampType()), T.StructField("file", T.StringType()),
+    T.StructField("location_oblast", T.StringType()), T.StructField("type", T.StringType()), T.StructField("since", T.StringType()),
+])
 
 
 def alert_events(snapshots: DataFrame) -> DataFrame:
@@ -22,9 +27,13 @@ def alert_events(snapshots: DataFrame) -> DataFrame:
     )
 
 
-def deduplicate_alerts(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """The same alert is in many snapshots; keep it once per region and start."""
-    return events.withWatermark(EVENT_TIME, delay).dropDuplicatesWithinWatermark(["location_oblast", "started_at"])
+def deduplicate_alerts(events: DataFrame, delay: str = "7 days") -> DataFrame:
+    """The same alert is in many snapshots; keep it once per region and start.
+
+    The watermark follows the landing of files, so an alert that began long ago is kept when it is
+    first seen. ``delay`` is how long an alert may stay in snapshots; the state is dropped after it.
+    """
+    return events.withWatermark("landed", delay).dropDuplicatesWithinWatermark(["location_oblast", "started_at"])
 
 
 def hourly_counts(events: DataFrame, region: str, ts: str, delay: str = "1 hour") -> DataFrame:
@@ -52,22 +61,42 @@ def active_regions(snapshots: DataFrame) -> DataFrame:
 
 
 def write_active_regions(snapshots: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """Stream writer that replaces the active set at ``path``; a batch without a new file leaves it as it is."""
-    def replace(batch: DataFrame, batch_id: int) -> None:
-        if not batch.isEmpty():
-            active_regions(batch).write.mode("overwrite").parquet(path)
+    """Stream writer that adds the newest snapshot of each batch as a version of the active set.
+
+    Nothing is overwritten under readers, and a repeated batch writes its own version again.
+    A version has one row without a region, which stands for the snapshot itself, so that an
+    empty active set is a version too. Versions older than the newest may be removed at any time.
+    """
+    def add(batch: DataFrame, batch_id: int) -> None:
+        newest = newest_snapshot(batch)
+        regions = first_alert_per_region(alert_events(newest), "file").join(newest.select("file", "landed"), "file")
+        marker = newest.select("landed", "file", *[F.lit(None).cast("string").alias(c) for c in ACTIVE.names[2:]])
+        regions.select(*ACTIVE.names).unionByName(marker).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+
+    return snapshots.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+
+
+def read_active_regions(spark: SparkSession, path: str) -> DataFrame:
+    """The active set of the newest snapshot of all batches, by landing time; late older files change nothing."""
+    versions = spark.read.schema(ACTIVE).parquet(path)
+    return newest_snapshot(versions).where(F.col("location_oblast").isNotNull()).select(*ACTIVE.names[2:]).distinct()
+
+
+def write_table(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """Stream writer to parquet in append mode: windows are written once, when the watermark has passed them."""
+    return stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
 
-    return snapshots.writeStream.foreachBatch(replace).option("checkpointLocation", checkpoint)
 
+def write_updates(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """Stream writer in update mode: every batch writes the rows it changed, so state and output follow the batch."""
+    def add(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-def write_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataStreamWriter:
-    """Stream writer to parquet; in complete mode every batch replaces the table."""
-    if mode == "append":
-        return stream.writeStream.format("parquet").outputMode("append").option("path", path).option(
-            "checkpointLocation", checkpoint
-        )
+    return stream.writeStream.foreachBatch(add).outputMode("update").option("checkpointLocation", checkpoint)
 
-    def replace(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
 
-    return stream.writeStream.foreachBatch(replace).outputMode(mode).option("checkpointLocation", checkpoint)
+def read_updates(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """Last row of each key over the batches of ``write_updates``."""
+    rows = spark.read.parquet(path)
+    values = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("last")).select(*keys, "last.*")

@@ -63,17 +63,31 @@ def test_weather_csv_to_days_and_back(spark, folder):
 
     path = writers.write_weather_days(nested, f"{folder}/processed")
     assert [p.name for p in Path(path).iterdir() if p.is_dir()] == ["city=Bila_Tserkva"]
-    stored = spark.read.json(path).first()
-    assert stored["daily"]["city"] == "Bila Tserkva" and len(stored["hours"]) == 2
+    back = readers.read_stored_weather_days(spark, path).collect()
+    assert [(r["city"], r["date"], r["readable"], r["daily"]["city"], len(r["hours"])) for r in back] == [
+        ("Bila_Tserkva", "2024-01-01", True, "Bila Tserkva", 2)]
 
 
-def test_long_day_is_split_and_whole(spark, folder):
-    rows = quality.weather_rows(readers.read_weather_csv(spark, weather_csv(folder)))
-    many = rows.where("hour_datetime is not null").crossJoin(spark.range(50).withColumnRenamed("id", "k")).withColumn(
-        "line_no", F.col("line_no") * 100 + F.col("k")
-    ).drop("k")
-    parts = quality.nest_weather_days(many, quality.weather_day_table(many), hours_per_document=10).collect()
-    assert len(parts) == 10 and sum(len(p["hours"]) for p in parts) == 100
+def test_several_documents_of_a_partition_come_back(spark, folder):
+    texts = [("2024-01-01", "u", "ok", i, "t" * i) for i in range(40)]
+    reports = spark.createDataFrame(texts, "date string, url string, status string, char_count int, text string")
+    path = writers.write_reports(reports, f"{folder}/processed")
+    assert sorted(r["char_count"] for r in readers.read_stored_reports(spark, path).collect()) == list(range(40))
+
+
+def test_csv_columns_go_by_name(spark, folder):
+    put(Path(folder, "a.csv"), "region_id;id;note;region_city;all_region;end;start\n3;7;x;Kyiv;1;2024-01-01 11:30:00;bad\n")
+    row = readers.read_alarms(spark, f"{folder}/a.csv").first()
+    assert (row["id"], row["region_id"], row["region_city"], row["start"]) == (7, 3, "Kyiv", None)
+    put(Path(folder, "r.csv"), "area,center_city_en,region_id,center_city_ua\n9,Kyiv,3,Київ\n")
+    assert tuple(readers.read_regions(spark, f"{folder}/r.csv").first()) == (3, "Київ", "Kyiv")
+    names = list(reversed(WEATHER_HEADER))
+    put(Path(folder, "w.csv"), ",".join([*names, "more"]) + "\n" + ",".join([*names, "more"]).upper() + "\n")
+    row = readers.read_weather_csv(spark, f"{folder}/w.csv").first()
+    assert all(row[c] == c.upper() for c in WEATHER_HEADER)
+    put(Path(folder, "short.csv"), "region_id,center_city_en\n3,Kyiv\n")
+    with pytest.raises(ValueError, match="center_city_ua"):
+        readers.read_regions(spark, f"{folder}/short.csv")
 
 
 def test_missing_weather_file_is_an_error(spark, folder):
@@ -92,6 +106,8 @@ def test_read_forecasts_and_quality(spark, folder):
     assert found == {
         "ok.json": (24, 0, 0, False, True), "short.json": (2, 2, 2, True, False), "empty.json": (0, 0, 0, True, False),
     }
+    document = quality.forecast_document_quality(readers.read_forecasts(spark, folder), ["file"])
+    assert {r["file"]: tuple(r)[1:] for r in document.collect()} == found
     summary = quality.forecast_quality_summary(quality.forecast_file_quality(hours, ["file"])).first()
     assert tuple(summary) == (1, 3)
 
@@ -103,9 +119,10 @@ def test_forecast_api_keeps_hours_after_midnight(spark, folder):
     flat = weather.flatten_forecast(raw)
     assert [r["datetime"] for r in flat.collect()] == ["23:00:00", "00:00:00"]
     assert weather.flatten_forecast(raw, first_day_only=True).count() == 1
-    path = writers.write_forecasts(flat, f"{folder}/processed")
-    back = spark.read.parquet(path).first()
-    assert (back["region"], back["request_hour"]) == ("Ivano-Frankivsk_Oblast", "2024-01-01_22")
+    path = writers.write_forecasts(weather.forecast_documents(flat), f"{folder}/processed")
+    [back] = readers.read_stored_forecasts(spark, path).collect()
+    assert (back["region"], back["request_timestamp"]) == ("Ivano-Frankivsk_Oblast", "2024-01-01_22")
+    assert [h["datetime"] for h in back["forecast"]] == ["23:00:00", "00:00:00"]
 
 
 def test_read_weather_days(spark, folder):
@@ -152,6 +169,11 @@ def test_source_documents_round_trip(spark, folder):
     text = "".join(p.read_text() for p in Path(path).rglob("*.json"))
     assert text.count("final_url") == 1 and "null" not in text and text.count('"sources":[]') == 1
 
+    stored = readers.read_stored_sources(spark, path).orderBy("report_date", "pos").collect()
+    assert [(r["report_date"], r["html_file"], r["pos"], r["url"]) for r in stored] == [
+        ("2024-01-01", "2024-01-01.html", 0, "http://a.org"), ("2024-01-01", "2024-01-01.html", 1, "http://b.org"),
+        ("2024-01-02", "2024-01-02.html", 0, "http://c.org")]
+
     for day in Path(path).iterdir():
         if day.is_dir():
             [part] = day.glob("*.json")

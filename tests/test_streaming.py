@@ -44,16 +44,19 @@ def test_repeated_alerts_are_kept_once(spark, folder):
 def hourly(spark, folder, mode: str) -> list[tuple]:
     events = alerts.alert_events(read_alert_snapshots(spark, f"{folder}/landed", streaming=True))
     counts = alerts.hourly_counts(events, "location_oblast", alerts.EVENT_TIME, "30 minutes")
-    writer = alerts.write_table(counts, f"{folder}/{mode}", f"{folder}/{mode}_state", mode)
-    drain(writer)
-    rows = spark.read.parquet(f"{folder}/{mode}").select(F.date_format("hour_ts", "HH:mm").alias("h"), "location_oblast", "alarms")
+    write = alerts.write_table if mode == "append" else alerts.write_updates
+    drain(write(counts, f"{folder}/{mode}", f"{folder}/{mode}_state"))
+    table = spark.read.parquet(f"{folder}/{mode}") if mode == "append" else alerts.read_updates(spark, f"{folder}/{mode}", ["hour_ts", "location_oblast"])
+    rows = table.select(F.date_format("hour_ts", "HH:mm").alias("h"), "location_oblast", "alarms")
     return sorted(tuple(r) for r in rows.collect())
 
 
-def test_complete_counts_equal_a_batch(spark, folder):
+def test_updated_counts_equal_a_batch(spark, folder):
     land(folder, "1.json", [("A", "d", "2024-01-01T10:05:00"), ("A", "d", "2024-01-01T10:55:00"), ("B", "d", "2024-01-01T10:10:00")], 1)
     land(folder, "2.json", [("A", "d", "2024-01-01T12:05:00")], 2)
-    assert hourly(spark, folder, "complete") == [("10:00", "A", 2), ("10:00", "B", 1), ("12:00", "A", 1)]
+    assert hourly(spark, folder, "update") == [("10:00", "A", 2), ("10:00", "B", 1), ("12:00", "A", 1)]
+    land(folder, "3.json", [("A", "d", "2024-01-01T12:25:00")], 3)
+    assert hourly(spark, folder, "update") == [("10:00", "A", 2), ("10:00", "B", 1), ("12:00", "A", 2)]
 
 
 def test_append_drops_what_is_later_than_the_watermark(spark, folder):
@@ -72,9 +75,37 @@ def test_newest_snapshot_is_the_active_set(spark, folder):
     def run() -> list[str]:
         stream = read_alert_snapshots(spark, f"{folder}/landed", streaming=True)
         drain(alerts.write_active_regions(stream, f"{folder}/active", f"{folder}/active_state"))
-        return [r["location_oblast"] for r in spark.read.parquet(f"{folder}/active").collect()]
+        return [r["location_oblast"] for r in alerts.read_active_regions(spark, f"{folder}/active").collect()]
+
+    def spoil(name: str, content: str, order: int) -> None:
+        path = Path(folder, "landed", name)
+        path.write_text(content)
+        os.utime(path, (1_700_000_000 + order, 1_700_000_000 + order))
 
     assert run() == ["B"]
     assert run() == ["B"]
     land(folder, "3.json", [], 3)
     assert run() == []
+    land(folder, "4.json", [("C", "drone", "2024-01-01T10:00:00Z")], 0)
+    assert run() == [], "a file that landed earlier changes nothing"
+    spoil("5.json", '{"error": "no answer"}', 5)
+    spoil("6.json", '{"alerts": [{"loc', 6)
+    assert run() == []
+    land(folder, "7.json", [("A", "drone", "2024-01-01T10:00:00Z")], 7)
+    assert run() == ["A"]
+    spoil("8.json", '{"error": "no answer"}', 8)
+    assert run() == ["A"], "an error answer says nothing about the state"
+
+
+def test_late_first_sightings_are_kept(spark, folder):
+    land(folder, "1.json", [("A", "drone", "2024-01-01T10:00:00")], 1)
+
+    def run() -> list[str]:
+        events = alerts.alert_events(read_alert_snapshots(spark, f"{folder}/landed", streaming=True))
+        once = alerts.deduplicate_alerts(events).select("location_oblast", "started_at")
+        drain(alerts.write_table(once, f"{folder}/out", f"{folder}/state"))
+        return sorted(r["location_oblast"] for r in spark.read.parquet(f"{folder}/out").collect())
+
+    assert run() == ["A"]
+    land(folder, "2.json", [("B", "drone", "2024-01-01T08:00:00"), ("A", "drone", "2024-01-01T10:00:00")], 2)
+    assert run() == ["A", "B"]

@@ -70,7 +70,8 @@ def test_longest_container_of_the_first_selector_wins():
 def test_text_skips_removed_tags_and_comments():
     page = "<html><body>a<script>var x='<p>'</script><nav>n</nav><p>b<!-- c -->d&amp;e<p>f</body></html>"
     assert page_text(page) == "a\nb\nd&e\nf"
-    assert page_text("<p>no body</p>") is None
+    assert page_text("<p>no body</p>") == "no body"
+    assert page_text("<html><body> </body></html>") in (None, "")
 
 
 def test_links_of_the_footnote_section():
