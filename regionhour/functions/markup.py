@@ -133,7 +133,7 @@ class Page(HTMLParser):
 
 
 def page_text(markup: str) -> str | None:
-    """Text of the main content, one stripped piece per line; the whole document where there is neither content nor body."""
+    """Text of the main content, one stripped piece per line; what a body would hold where a page names none."""
     page = Page.read(markup)
 
     dropped: list[bool] = []
@@ -159,7 +159,10 @@ def page_text(markup: str) -> str | None:
     elif any(e.tag == "body" for e in page.elements):
         return None
     else:
-        found = [text for text, owner in zip(page.texts, page.owners) if owner < 0 or not dropped[owner]]
+        in_head: list[bool] = []
+        for element in page.elements:
+            in_head.append(element.tag in ("head", "title") or (element.parent >= 0 and in_head[element.parent]))
+        found = [text for text, owner in zip(page.texts, page.owners) if owner < 0 or not (dropped[owner] or in_head[owner])]
     return "\n".join(filter(None, (piece.strip() for piece in found))) or None
 
 

@@ -160,17 +160,20 @@ class Lenses:
 
     @cached_property
     def reports(self) -> DataFrame:
-        html = (
-            F.when(
-                F.col("page_id") % 11 == 0,
-                "<html><title>Just a moment</title>Checking your browser. Ray ID 1</html>",
-            )
-            .when(F.col("page_id") % 13 != 0, F.col("html"))
-        )
-        return self.table("pages").where(F.col("page_id") % 7 != 3).select(
-            "page_id", F.date_add(F.lit(BASE_DAY).cast("date"), F.col("page_id").cast("int")).alias("report_date"),
-            html.alias("html"), "url",
+        """Every page as a report of its own day; beside them, on days before, blocked and missing pages."""
+        page = F.col("page_id")
+        beside = (-1 - page).alias("page_id")
+        swapped = self.table("pages").where((page % 11 == 0) | (page % 13 == 0)).select(
+            beside, F.when(page % 11 == 0, "<html><title>Just a moment</title>Checking your browser. Ray ID 1</html>").alias("html"), "url",
         )
+        rows = self.table("pages").select("page_id", "html", "url").unionByName(swapped)
+        day = F.date_add(F.lit(BASE_DAY).cast("date"), F.col("page_id").cast("int"))
+        return rows.select("page_id", day.alias("report_date"), "html", "url")
+
+    @cached_property
+    def gapped_reports(self) -> DataFrame:
+        """Reports with days missing, for queries that look for gaps."""
+        return self.reports.where(F.col("page_id") % 7 != 3)
 
     @staticmethod
     def _link(at: Column) -> Column:
@@ -332,11 +335,12 @@ VIEWS = {
                  CAST(hour(try_strptime(hour_datetime, '%H:%M:%S')) AS INT) AS hour_key
           FROM weather) WHERE day_key IS NOT NULL AND hour_key IS NOT NULL""", ["weather"]),
     "reports": (f"""
-        SELECT page_id, DATE '{BASE_DAY}' + CAST(page_id AS INT) AS report_date,
-               CASE WHEN page_id % 11 = 0
-                    THEN '<html><title>Just a moment</title>Checking your browser. Ray ID 1</html>'
-                    WHEN page_id % 13 <> 0 THEN html END AS html, url
-        FROM pages WHERE page_id % 7 <> 3""", []),
+        SELECT page_id, DATE '{BASE_DAY}' + CAST(page_id AS INT) AS report_date, html, url
+        FROM (SELECT page_id, html, url FROM pages UNION ALL
+              SELECT -1 - page_id, CASE WHEN page_id % 11 = 0
+                     THEN '<html><title>Just a moment</title>Checking your browser. Ray ID 1</html>' END, url
+              FROM pages WHERE page_id % 11 = 0 OR page_id % 13 = 0)""", []),
+    "gapped_reports": ("SELECT * FROM reports WHERE page_id % 7 <> 3", ["reports"]),
     "positions": ("SELECT unnest(range(0, 8)) AS pos", []),
     "links": ("""
         SELECT page_id, pos, CASE (page_id + pos) % 10

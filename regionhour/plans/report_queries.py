@@ -84,7 +84,7 @@ _RESULTS = """
 
 
 def latest_report_asof(v: Lenses) -> DataFrame:
-    out = ops.latest_report_asof(ops.spine_between(v.reports), v.reports)
+    out = ops.latest_report_asof(ops.spine_between(v.gapped_reports), v.gapped_reports)
     return out.select(day_text("as_of").alias("as_of"), day_text("report_date").alias("report_date"), "url", "age_days")
 
 
@@ -115,7 +115,7 @@ _ARTICLE = """
                '<[^>]*>', chr(10), 'g'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), chr(10))
              IF trim(piece, concat(' ', chr(1), chr(9))) <> ''], chr(10)) AS text
     FROM reports WHERE html LIKE '%<article>%'
-    UNION ALL SELECT page_id, report_date, url, html, NULL FROM reports WHERE html IS NULL OR html NOT LIKE '%<article>%'"""
+    UNION ALL SELECT page_id, report_date, url, html, regexp_extract(html, '</title>(.*)</html>', 1) FROM reports WHERE html IS NULL OR html NOT LIKE '%<article>%'"""
 _STATUS = f"""
     SELECT *, CASE WHEN present THEN 'skipped' WHEN html IS NULL THEN 'not_found'
                    WHEN length(html) < 500 OR chars < 200 OR NOT contains(lower(text), '{PHRASE}') THEN 'no_content' ELSE 'ok' END AS status,
@@ -207,16 +207,16 @@ QUERIES = {
         FROM (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1, 's'),
                 '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g')) AS t FROM pages)"""),
     "date_spine": (
-        lambda v: ops.spine_between(v.reports).select(day_text("report_date").alias("report_date")),
+        lambda v: ops.spine_between(v.gapped_reports).select(day_text("report_date").alias("report_date")),
         with_views("""
         SELECT strftime(unnest(range(CAST(min(report_date) AS TIMESTAMP), CAST(max(report_date) AS TIMESTAMP) + INTERVAL 1 DAY,
-                        INTERVAL 1 DAY)), '%Y-%m-%d') AS report_date FROM reports""", "reports")),
+                        INTERVAL 1 DAY)), '%Y-%m-%d') AS report_date FROM gapped_reports""", "gapped_reports")),
     "missing_report_dates": (
-        lambda v: ops.missing_report_dates(ops.spine_between(v.reports), v.reports).select(day_text("report_date").alias("report_date")),
+        lambda v: ops.missing_report_dates(ops.spine_between(v.gapped_reports), v.gapped_reports).select(day_text("report_date").alias("report_date")),
         with_views("""
         SELECT strftime(d, '%Y-%m-%d') AS report_date
-        FROM (SELECT unnest(range(CAST(min(report_date) AS TIMESTAMP), CAST(max(report_date) AS TIMESTAMP), INTERVAL 1 DAY)) AS d FROM reports)
-        WHERE CAST(d AS DATE) NOT IN (SELECT report_date FROM reports)""", "reports")),
+        FROM (SELECT unnest(range(CAST(min(report_date) AS TIMESTAMP), CAST(max(report_date) AS TIMESTAMP), INTERVAL 1 DAY)) AS d FROM gapped_reports)
+        WHERE CAST(d AS DATE) NOT IN (SELECT report_date FROM gapped_reports)""", "gapped_reports")),
     "candidate_urls": (
         lambda v: candidates(v).withColumn("report_date", day_text("report_date")),
         with_views("SELECT strftime(report_date, '%Y-%m-%d') AS report_date, priority, url FROM c", "reports", extra={"c": _CANDIDATES})),
@@ -232,8 +232,8 @@ QUERIES = {
                coalesce(t.url, y.url) AS url,
                CASE WHEN t.report_date IS NOT NULL THEN 0 WHEN y.report_date IS NOT NULL THEN 1 END AS age_days
         FROM (SELECT CAST(unnest(range(CAST(min(report_date) AS TIMESTAMP), CAST(max(report_date) AS TIMESTAMP) + INTERVAL 1 DAY,
-                     INTERVAL 1 DAY)) AS DATE) AS d FROM reports)
-        LEFT JOIN reports t ON t.report_date = d LEFT JOIN reports y ON y.report_date = d - 1""", "reports")),
+                     INTERVAL 1 DAY)) AS DATE) AS d FROM gapped_reports)
+        LEFT JOIN gapped_reports t ON t.report_date = d LEFT JOIN gapped_reports y ON y.report_date = d - 1""", "gapped_reports")),
     "report_to_hours": (
         lambda v: ops.report_to_hours(v.reports.select("report_date", "page_id")).withColumn("report_date", day_text("report_date")),
         with_views("""
