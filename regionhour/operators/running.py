@@ -60,9 +60,12 @@ def running_totals(
 
 
 def value_counts(df: DataFrame, by: list[str], value: str, weight: Column | None = None) -> DataFrame:
-    """Distinct values of each group with their number of rows, as ``n``; nulls are left out."""
+    """Distinct values of each group with their number of rows, as ``n``; nulls and NaN are missing and left out."""
     counted = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    return df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(counted.alias("n"))
+    present = F.col(value).isNotNull()
+    if df.schema[value].dataType.typeName() in ("double", "float"):
+        present = present & ~F.isnan(value)
+    return df.where(present).groupBy(*by, value).agg(counted.alias("n"))
 
 
 def value_bin(value: Column, low: Column, high: Column, bins: int = BINS) -> Column:

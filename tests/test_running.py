@@ -102,3 +102,9 @@ def test_block_runs_match_a_scan(spark, seed):
             run = []
     got = reports.block_runs(df).withColumn("d", F.date_diff("run_start", F.lit("2019-01-01").cast("date")))
     assert sorted((r["d"], r["length"], r["triggers"]) for r in got.collect()) == expected
+
+
+def test_nan_is_missing(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (4.0,), (float("nan"),), (None,)], "x double")
+    row = profile.describe(df, ["x"]).first()
+    assert (row["count"], row["mean"], row["min"], row["median"], row["max"]) == (3, 7 / 3, 1.0, 2.0, 4.0)
