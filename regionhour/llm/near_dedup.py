@@ -7,7 +7,7 @@
    over all its buckets (the likely original of a group) and the least member are the
    bucket's pivots; all members are compared with both.
 3. Verify: pairs are compared exactly by weighted Jaccard of their shingles.
-4. Connect: links are contracted to classes by rounds of large and small stars.
+4. Connect: links are contracted to classes: to trees inside each task, then by rounds of large and small stars.
 5. The rest: a bucket that still holds several classes is compared chunk by chunk
    inside tasks, on a finer signature of its members; only pairs of different
    classes that this signature puts near the threshold leave the task, and are verified.
@@ -35,6 +35,7 @@ BANDS, ROWS = 24, 6  # a pair at 0.8 shares a band with probability 0.9993
 # The rest's signature: 1024 coordinates of 8 bits. A pair at 0.8 is estimated below 0.75 with probability 3e-5.
 FINE, FINE_CUT = 1024, 0.75
 CHUNK = 512
+FOREST = 300_000  # nodes that a task keeps in memory before it writes their trees
 WORD = re.compile(r"\w+")
 EMPTY = np.zeros(0, np.uint64)
 
@@ -190,23 +191,58 @@ def _least_near(edges: DataFrame) -> DataFrame:
     return edges.withColumn("_u", F.hex("u")).join(least, "_u").select("u", "v", "m")
 
 
+def _forest(edges: DataFrame) -> DataFrame:
+    """``u, v``: each task's edges as trees of height one, v the least node that the task links to u. No shuffle."""
+    def contracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parent: dict[bytes, bytes] = {}
+
+        def root(x: bytes) -> bytes:
+            while (above := parent.get(x)) is not None:
+                top = parent.get(above)
+                if top is None:
+                    return above
+                parent[x] = x = top
+            return x
+
+        def trees() -> pd.DataFrame:
+            return pd.DataFrame({"u": list(parent), "v": [root(x) for x in list(parent)]})
+
+        for batch in batches:
+            for one, two in zip(batch.u, batch.v):
+                one, two = root(one), root(two)
+                if one != two:
+                    parent[max(one, two)] = min(one, two)
+            if len(parent) > FOREST:
+                yield trees()
+                parent.clear()
+        yield trees()
+
+    return edges.select("u", "v").mapInPandas(contracted, "u binary, v binary")
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node is either a centre or linked to one centre only."""
+    ends = edges.select(F.col("u").alias("node"), F.col("v").alias("up"), F.lit(0).alias("centre")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(None).cast("binary").alias("up"), F.lit(1).alias("centre")))
+    each = ends.groupBy("node").agg(F.min("up").alias("low"), F.max("up").alias("high"), F.max("centre").alias("centre"))
+    return each.filter("low <> high or (low is not null and centre = 1)").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
-    """``node, class`` of all linked nodes, by alternating large and small stars; classes are named by their least node."""
-    edges = step(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
-    state = None
-    while True:
+    """``node, class`` of all linked nodes; classes are named by their least node.
+
+    Alternating large and small stars; what each task holds is contracted to trees before it is written, so few rounds are left.
+    """
+    edges = step(_forest(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "edges")
+    while not _are_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _least_near(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _least_near(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         near = _least_near(large)
         small = near.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v")))
-        before, edges = edges, step(small.filter("u <> v").distinct(), "edges")
+        before, edges = edges, step(_forest(small), "edges")
         release(before)
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("class")).unionByName(
-        edges.select(F.col("v").alias("node"), F.col("v").alias("class")).distinct())
+        edges.select(F.col("v").alias("node"), F.col("v").alias("class"))).distinct()
 
 
 def unlike_members(left: DataFrame, prints: DataFrame, least: float) -> DataFrame:
@@ -269,7 +305,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     candidates = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     prints = step(prints_of(docs, nodes.join(candidates, "node", "left_semi"), id_col, text_col), "prints")
     links = step(verified(pairs, prints, least), "links")
-    classes = components(links)
+    classes = step(components(links), "linked")
     # Up to three members of a bucket have all met.
     placed = members.filter("n > 3").select("bucket", "node").join(classes, "node", "left").select("bucket", "node", F.coalesce("class", "node").alias("class"))
     mixed = placed.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("n")).filter(
@@ -279,7 +315,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         rest = unlike_members(left, prints, least).join(pairs, ["a", "b"], "left_anti")
         more = step(verified(rest, prints, least), "links")
         if not more.isEmpty():
-            classes = components(links.unionByName(more))
+            classes = step(components(classes.select(F.col("node").alias("a"), F.col("class").alias("b")).unionByName(more)), "linked")
     rows = signed.select("doc_id", "node").join(classes, "node", "left").select("doc_id", "node", F.coalesce("class", "node").alias("class"))
     named = rows.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")).select(
         F.hex("class").alias("_class"), "class_id", "class_size")
