@@ -7,7 +7,7 @@
    over all its buckets (the likely original of a group) and the least member are the
    bucket's pivots; all members are compared with both.
 3. Verify: pairs are compared exactly by weighted Jaccard of their shingles.
-4. Connect: links are contracted to classes: to trees inside each task, then by rounds of large and small stars.
+4. Connect: links are contracted to classes: to trees inside each task, then by rounds that hook and shorten them.
 5. The rest: a bucket that still holds several classes is compared chunk by chunk
    inside tasks, on a finer signature of its members; only pairs of different
    classes that this signature puts near the threshold leave the task, and are verified.
@@ -185,12 +185,6 @@ def verified(pairs: DataFrame, prints: DataFrame, least: float) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInPandas(compared, "a binary, b binary")
 
 
-def _least_near(edges: DataFrame) -> DataFrame:
-    """``u, v, m``: the least of u and its neighbours beside each edge. The join has a key of its own so that a hub can be split."""
-    least = edges.groupBy("u").agg(F.min("v").alias("low")).select(F.hex("u").alias("_u"), F.least("u", "low").alias("m"))
-    return edges.withColumn("_u", F.hex("u")).join(least, "_u").select("u", "v", "m")
-
-
 def _forest(edges: DataFrame) -> DataFrame:
     """``u, v``: each task's edges as trees of height one, v the least node that the task links to u. No shuffle."""
     def contracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -228,19 +222,28 @@ def _are_stars(edges: DataFrame) -> bool:
     return each.filter("low <> high or (low is not null and centre = 1)").isEmpty()
 
 
+def _shortened(edges: DataFrame) -> DataFrame:
+    """Edges (u, v) of trees, one round on: parents of one node are linked to the least of them, then each edge leads to its parent's parent.
+
+    A node has at most one parent for each task that wrote it, so its parents fit one row. A centre's many edges
+    are joined by a key of their own, so that it can be split.
+    """
+    gathered = edges.groupBy("u").agg(F.collect_set("v").alias("ups")).withColumn("low", F.array_min("ups"))
+    hooked = gathered.select(F.explode(F.array_union(F.array("u"), F.array_remove("ups", F.col("low")))).alias("u"), F.col("low").alias("v"))
+    above = hooked.groupBy("u").agg(F.min("v").alias("up")).select(F.hex("u").alias("_v"), "up")
+    return hooked.withColumn("_v", F.hex("v")).join(above, "_v", "left").select("u", F.coalesce("up", "v").alias("v"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, class`` of all linked nodes; classes are named by their least node.
 
-    Alternating large and small stars; what each task holds is contracted to trees before it is written, so few rounds are left.
+    Edges are contracted to trees inside each task that reads them, and shortened by joins until only stars are left.
     """
     edges = step(_forest(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "edges")
     while not _are_stars(edges):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _least_near(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        near = _least_near(large)
-        small = near.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v")))
-        before, edges = edges, step(_forest(small), "edges")
-        release(before)
+        shorter = step(_shortened(edges), "edges")
+        before, edges = edges, step(_forest(shorter), "edges")
+        release(before, shorter)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("class")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("class"))).distinct()
 

@@ -307,3 +307,27 @@ def test_pipeline_stages(spark, documents):
     assert set(seen["near_dedup"].doc_id) == {min(exact.doc_id[i] for i in c) for c in linked(exact.text.tolist())}
     assert set(seen["mixing"].doc_id) <= set(seen["near_dedup"].doc_id) and seen["pieces"].restored.all() and len(seen["pieces"]) == len(seen["mixing"])
     assert math.isclose(seen["mixing"].n_chars.sum(), seen["mixing"].text.str.len().sum())
+
+
+def test_links_contract_to_components(spark):
+    import random
+    pick = random.Random(5)
+    names = [i.to_bytes(2, "big") for i in range(900)]
+    pairs = [(i, i + 1) for i in range(299)] + [(300, i) for i in range(301, 500)] + [(pick.randrange(500, 900), pick.randrange(500, 900)) for _ in range(260)]
+    pick.shuffle(pairs)
+    pairs += pairs[:40] + [(899, 899)]
+    parent = list(range(900))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    links = spark.createDataFrame([(bytearray(names[a]), bytearray(names[b])) for a, b in pairs], "a binary, b binary").repartition(16)
+    found = {bytes(r["node"]): bytes(r["class"]) for r in near_dedup.components(links).collect()}
+    linked = {x for a, b in pairs if a != b for x in (a, b)}
+    assert found == {names[x]: names[root(x)] for x in linked}
+    assert near_dedup.components(links.limit(0)).count() == 0
