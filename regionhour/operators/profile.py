@@ -109,9 +109,10 @@ def union_labeled(a: DataFrame, b: DataFrame, labels: tuple[str, str], label: st
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pearson correlation of every pair in long form; a row counts for a pair when both sides are filled."""
+    """Pearson correlation of every pair in long form; a row counts for a pair when both sides are filled. NaN is missing."""
     pairs = list(combinations_with_replacement(columns, 2))
-    row = df.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    numbers = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c) for c in columns])
+    row = numbers.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
     cells = [
         F.struct(F.lit(x).alias("column_a"), F.lit(y).alias("column_b"), F.col(f"r{i}").alias("corr"))
         for i, (a, b) in enumerate(pairs)

@@ -20,6 +20,8 @@ from regionhour.functions.markup import content_text
 from regionhour.functions.text import clean_text, words
 from regionhour.operators.running import percent_rank_by_value, running_totals
 
+PRESENT = "_present"
+
 
 def date_spine(spark: SparkSession, start: str, end: str) -> DataFrame:
     """Every day from start to end, both included."""
@@ -78,17 +80,21 @@ def extract_report_text(pages: DataFrame, html: str = "html", text: str = "text"
     return pages.withColumn(text, clean_text(content_text(F.col(html))))
 
 
+def mark_present(reports: DataFrame, existing: DataFrame) -> DataFrame:
+    """Add whether a report of the date exists already."""
+    dates = existing.select("report_date").distinct().withColumn(PRESENT, F.lit(True))
+    return reports.join(dates, "report_date", "left").withColumn(PRESENT, F.coalesce(PRESENT, F.lit(False)))
+
+
 def classify_report(
     reports: DataFrame, existing: DataFrame | None = None, force: bool = False, phrase: str = VALIDATION_PHRASE
 ) -> DataFrame:
-    """Add status, reason and text length. Dates in ``existing`` are skipped unless ``force``."""
+    """Add status, reason and text length. Dates in ``existing``, or marked as present before, are skipped unless ``force``."""
     html, text = F.col("html"), F.col("text")
     size = F.coalesce(F.length(text), F.lit(0))
-    present = F.lit(False)
     if existing is not None and not force:
-        marked = existing.select("report_date").distinct().withColumn("_present", F.lit(True))
-        reports = reports.join(marked, "report_date", "left")
-        present = F.coalesce("_present", F.lit(False))
+        reports = mark_present(reports, existing)
+    present = F.col(PRESENT) if PRESENT in reports.columns and not force else F.lit(False)
 
     too_short_page = F.length(html) < MIN_HTML_LENGTH
     too_short_text = size < MIN_TEXT_LENGTH
@@ -109,7 +115,7 @@ def classify_report(
     return (
         reports.withColumns({"status": status, "error_message": reason})
         .withColumn("chars", F.when(F.col("status") == "ok", size).otherwise(0))
-        .drop("_present")
+        .drop(PRESENT)
     )
 
 
@@ -164,10 +170,12 @@ def block_runs(results: DataFrame, every: int = BLOCKS_PER_TRIGGER) -> DataFrame
 
 
 def latest_report_asof(days: DataFrame, reports: DataFrame) -> DataFrame:
-    """Per day its own report, else the one of the day before.
+    """Per day its own report, else the one of the day before; where ``reports`` has a status, only an accepted or stored one.
 
     Each report serves two days, so it is offered to both and the nearer one wins.
     """
+    if "status" in reports.columns:
+        reports = reports.where(F.col("status").isin("ok", "skipped"))
     offers = reports.select(
         "report_date", "url", F.explode(F.array(F.lit(0), F.lit(1))).alias("age_days")
     ).select(

@@ -124,7 +124,7 @@ def timeline(forecast: DataFrame, mix: DataFrame, types: list[str]) -> DataFrame
 def alarms_today_stats(
     alarms: DataFrame, regions: DataFrame, forecast: DataFrame, at: str, name: str = "center_city_en"
 ) -> DataFrame:
-    """One row for the day of ``at``.
+    """One row for the day of ``at``; the alarms are read once.
 
     Average level is ten times the mean forecast for the next hour, the most
     threatened region has the highest one, and hours are clipped to the day.
@@ -132,13 +132,18 @@ def alarms_today_stats(
     moment = F.lit(at).cast("timestamp")
     day = F.date_trunc("day", moment)
     next_day = day + F.make_dt_interval(F.lit(1))
-    positive = alarms.where(F.col("end") > F.col("start"))
+    start, end = F.col("start"), F.col("end")
     overlap = F.unix_micros(F.least("end", next_day)) - F.unix_micros(F.greatest("start", day))
-    today = positive.where((F.col("start") < next_day) & (F.col("end") > day))
-
-    active = active_at(alarms, at).agg(F.count_distinct("region_id").alias("v")).scalar()
-    hours = today.agg(F.coalesce(F.sum(overlap), F.lit(0)).alias("v")).scalar()
-    started = alarms.where((F.col("start") >= day) & (F.col("start") < next_day)).agg(F.count(F.lit(1)).alias("v")).scalar()
+    # Per region first, so that the regions active at the moment are counted without a distinct.
+    per_region = alarms.where((start < next_day) & ((end > day) | (start >= day))).groupBy("region_id").agg(
+        F.max((start <= moment) & (moment < end) & F.col("region_id").isNotNull()).alias("active"),
+        F.sum(F.when((end > start) & (end > day), overlap).otherwise(0)).alias("micros"),
+        F.count_if(start >= day).alias("started"),
+    )
+    facts = per_region.agg(F.struct(
+        F.count_if("active").alias("active"), F.coalesce(F.sum("micros"), F.lit(0)).alias("micros"),
+        F.coalesce(F.sum("started"), F.lit(0)).alias("started"),
+    ).alias("facts")).scalar()
 
     now = forecast.where(F.col("hour") == F.hour(moment))
     levels = regions.join(now, "region_id", "left").withColumn("_p", F.coalesce("probability_1h", F.lit(0.0)))
@@ -148,6 +153,6 @@ def alarms_today_stats(
         (F.avg("_p") * 10).alias("avg_threat_level"),
         worst.alias("most_threatened_region"),
     ).select(
-        active.alias("active_alarms_count"), "total_regions", "avg_threat_level", "most_threatened_region",
-        started.alias("total_alarms_today"), (hours / F.lit(3_600_000_000.0)).alias("total_duration_today_hours"),
+        facts["active"].alias("active_alarms_count"), "total_regions", "avg_threat_level", "most_threatened_region",
+        facts["started"].alias("total_alarms_today"), (facts["micros"] / F.lit(3_600_000_000.0)).alias("total_duration_today_hours"),
     )

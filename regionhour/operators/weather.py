@@ -57,8 +57,15 @@ def alarm_keys(alarms: DataFrame, name: str = "center_city_en") -> DataFrame:
     return drop_incomplete_keys(keyed, KEY, ["hour"])
 
 
+def one_per_hour(weather: DataFrame, order: str) -> DataFrame:
+    """Of several keyed weather rows of one hour the one with the least ``order``; partial minima go into the shuffle."""
+    others = [c for c in weather.columns if c not in (*KEY, order)]
+    first = F.min(F.struct(order, *others)).alias("w")
+    return weather.groupBy(*KEY).agg(first).select(*KEY, "w.*")
+
+
 def alarms_with_weather(alarms: DataFrame, weather: DataFrame) -> DataFrame:
-    """Inner join of keyed alarms and keyed weather; several weather rows for one key multiply."""
+    """Inner join of keyed alarms and keyed weather. Weather with one row per hour (``one_per_hour``) gives at most one row per alarm."""
     repeated = [c for c in weather.columns if c in alarms.columns and c not in KEY]
     return alarms.join(weather.drop(*repeated), KEY)
 

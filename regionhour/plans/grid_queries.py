@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from regionhour.constants import HORIZONS, RANGES
 from regionhour.operators import grid as ops
-from regionhour.operators import serving, weather
+from regionhour.operators import reports, serving, weather
 from regionhour.plans import jobs
 from regionhour.plans.alarm_queries import round_columns, stamp
 from regionhour.plans.lenses import Lenses, with_views
+from regionhour.plans.report_queries import ARTICLE, LEXICON, daily_scores, plain_text
 from regionhour.plans.weather_queries import READINGS
 from regionhour.session import shared_dir
 from regionhour.streaming import alerts as streams
@@ -20,7 +21,9 @@ from regionhour.streaming import alerts as streams
 CUTOFF = "2024-01-22"
 AT = "2024-01-22 13:30:00"
 WEATHER_VALUES = ["hour_temp", "hour_visibility"]
+REPORT_VALUES = ["page_length", "tokens", "score"]
 TYPES = ["click", "error", "purchase", "signup", "view"]
+ROUNDED = [*[f"prev_{c}" for c in WEATHER_VALUES], "prev_score"]
 
 
 def span(v: Lenses, end: str | None = None) -> tuple[Column, str | Column]:
@@ -42,8 +45,9 @@ def forecast(v: Lenses) -> DataFrame:
 
 
 def day_features(v: Lenses) -> DataFrame:
-    """One row per report day."""
-    return v.reports.select("report_date", F.length("html").alias("page_length"))
+    """One row per report day: page length, words of its text and their score."""
+    scores = reports.escalation_score(reports.tokenize_daily(plain_text(v)), LEXICON).select("report_date", "tokens", "score")
+    return v.reports.select("report_date", F.length("html").alias("page_length")).join(scores, "report_date", "left")
 
 
 def hourly(v: Lenses) -> DataFrame:
@@ -51,7 +55,7 @@ def hourly(v: Lenses) -> DataFrame:
 
 
 def lagged(v: Lenses) -> DataFrame:
-    return ops.lagged_features(flags(v), hourly(v), day_features(v), WEATHER_VALUES, ["page_length"])
+    return ops.lagged_features(flags(v), hourly(v), day_features(v), WEATHER_VALUES, REPORT_VALUES)
 
 
 def hour_stamp(df: DataFrame) -> DataFrame:
@@ -60,9 +64,9 @@ def hour_stamp(df: DataFrame) -> DataFrame:
 
 def feature_table(v: Lenses) -> DataFrame:
     out = jobs.feature_table(
-        v.alarms, v.regions, v.weather, day_features(v), *span(v), READINGS, WEATHER_VALUES, ["page_length"]
+        v.alarms, v.regions, v.weather, day_features(v), *span(v), READINGS, WEATHER_VALUES, REPORT_VALUES
     )
-    return round_columns(hour_stamp(out), *[f"prev_{c}" for c in WEATHER_VALUES])
+    return round_columns(hour_stamp(out), *ROUNDED)
 
 
 def split_sizes(v: Lenses) -> DataFrame:
@@ -159,11 +163,15 @@ _IN_RANGE = " AND ".join(f"coalesce({c} BETWEEN {RANGES[f][0]} AND {RANGES[f][1]
 LAG_VIEWS = {
     **grid_views(),
     "hourly": f"SELECT region_id, hour_ts, avg(hour_temp) AS hour_temp, avg(hour_visibility) AS hour_visibility FROM weather WHERE {_IN_RANGE} GROUP BY 1, 2",
+    "article": ARTICLE,
+    "tokens": "SELECT report_date, unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS token FROM article",
+    "scored": daily_scores("tokens"),
     "lagged": """
         SELECT f.region_id, f.hour_ts, f.is_alarm, round(w.hour_temp, 6) + 0.0 AS prev_hour_temp,
-               round(w.hour_visibility, 6) + 0.0 AS prev_hour_visibility, CAST(length(r.html) AS INT) AS prev_page_length
+               round(w.hour_visibility, 6) + 0.0 AS prev_hour_visibility, CAST(length(r.html) AS INT) AS prev_page_length,
+               s.tokens AS prev_tokens, s.score AS prev_score
         FROM flags f LEFT JOIN hourly w ON w.region_id = f.region_id AND w.hour_ts = f.hour_ts - INTERVAL 1 HOUR
-        LEFT JOIN reports r ON r.report_date = CAST(f.hour_ts AS DATE) - 1""",
+        LEFT JOIN reports r ON r.report_date = CAST(f.hour_ts AS DATE) - 1 LEFT JOIN scored s ON s.report_date = r.report_date""",
 }
 _STAMP = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 _LEVEL = """
@@ -184,7 +192,7 @@ QUERIES = {
     "horizon_labels": (lambda v: hour_stamp(labels(v)), with_views(
         f"SELECT * REPLACE ({_STAMP.format('hour_ts')} AS hour_ts) FROM labels", "alarms", "regions", extra=grid_views())),
     "lagged_features": (
-        lambda v: round_columns(hour_stamp(lagged(v)), *[f"prev_{c}" for c in WEATHER_VALUES]),
+        lambda v: round_columns(hour_stamp(lagged(v)), *ROUNDED),
         with_views(f"SELECT * REPLACE ({_STAMP.format('hour_ts')} AS hour_ts) FROM lagged",
                    "alarms", "regions", "weather", "reports", extra=LAG_VIEWS)),
     "chronological_split": (split_sizes, with_views(f"""
@@ -193,7 +201,7 @@ QUERIES = {
         FROM flags GROUP BY 1""", "alarms", "regions", extra=grid_views())),
     "feature_table": (feature_table, with_views(f"""
         SELECT {_STAMP.format('hour_ts')} AS hour_ts, region_id, l.is_alarm, {", ".join(f"alarm_next_{h}h" for h in HORIZONS)},
-               prev_hour_temp, prev_hour_visibility, prev_page_length
+               prev_hour_temp, prev_hour_visibility, prev_page_length, prev_tokens, prev_score
         FROM lagged JOIN labels l USING (region_id, hour_ts)""", "alarms", "regions", "weather", "reports", extra=LAG_VIEWS)),
     "base_rate_forecast": (
         lambda v: round_columns(forecast(v), *[f"probability_{h}h" for h in HORIZONS]),

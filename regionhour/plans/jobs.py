@@ -13,15 +13,14 @@ from regionhour.session import stored
 def report_job(captured: DataFrame, existing: DataFrame | None = None, force: bool = False) -> DataFrame:
     """Captured pages (report_date, url, html) to classified reports.
 
-    Dates already present are taken out before their pages are parsed.
+    Pages of dates already present are not parsed; one join marks them for the parser and the status.
     """
     if existing is None or force:
         return reports.classify_report(reports.extract_report_text(captured))
-    fresh = captured.join(existing.select("report_date"), "report_date", "left_anti")
-    done = captured.join(existing.select("report_date"), "report_date", "left_semi")
-    parsed = reports.extract_report_text(fresh)
-    skipped = done.selectExpr("*", "CAST(NULL AS STRING) AS text")
-    return reports.classify_report(parsed.unionByName(skipped), existing)
+    marked = reports.mark_present(captured, existing)
+    fresh = F.when(~F.col(reports.PRESENT), F.col("html"))
+    parsed = reports.extract_report_text(marked.withColumn("_fresh", fresh), "_fresh").drop("_fresh")
+    return reports.classify_report(parsed)
 
 
 def source_job(

@@ -84,7 +84,8 @@ _RESULTS = """
 
 
 def latest_report_asof(v: Lenses) -> DataFrame:
-    out = ops.latest_report_asof(ops.spine_between(v.gapped_reports), v.gapped_reports)
+    outcomes = v.gapped_reports.select("report_date", "url").join(results(v).select("report_date", "status"), "report_date")
+    out = ops.latest_report_asof(ops.spine_between(v.gapped_reports), outcomes)
     return out.select(day_text("as_of").alias("as_of"), day_text("report_date").alias("report_date"), "url", "age_days")
 
 
@@ -108,7 +109,7 @@ def sql_text(value: str) -> str:
 
 
 _MARKERS = " + ".join(f"CAST(contains(head, '{m}') AS INT)" for m in BLOCK_MARKERS)
-_ARTICLE = """
+ARTICLE = """
     SELECT page_id, report_date, url, html,
            array_to_string([replace(trim(piece, concat(' ', chr(1), chr(9))), chr(1), chr(10)) FOR piece IN string_split(
              replace(replace(replace(replace(regexp_replace(replace(regexp_extract(html, '<article>(.*)</article>', 1, 's'), chr(10), chr(1)),
@@ -123,7 +124,7 @@ _STATUS = f"""
                 WHEN chars < 200 THEN concat('Text ', chars, ' chars')
                 WHEN NOT contains(lower(text), '{PHRASE}') THEN 'Missing validation phrase — possibly blocked' ELSE '' END AS error_message
     FROM (SELECT *, coalesce(length(text), 0) AS chars, page_id % 5 = 0 AS present FROM article)"""
-_CLASSIFIED = {"article": _ARTICLE, "classified": _STATUS}
+_CLASSIFIED = {"article": ARTICLE, "classified": _STATUS}
 _CANDIDATES = "SELECT page_id, report_date, html, priority, url FROM (" + " UNION ALL ".join(
     f"SELECT page_id, report_date, html, {i} AS priority, "
     + "replace(replace(replace(replace(" + sql_text(p)
@@ -140,10 +141,21 @@ _PLAIN = "text"
 for _fancy, _simple in {**CHAR_REPLACEMENTS, **dict.fromkeys(CHARS_REMOVED, ""), **CHAR_EXPANSIONS}.items():
     _PLAIN = f"replace({_PLAIN}, chr({ord(_fancy)}), {sql_text(_simple)})"
 
+
+
+def daily_scores(tokens: str) -> str:
+    """SQL of the daily score over a view of tokens."""
+    return f"""
+        SELECT report_date, tokens, hits, per_1000, round(1 + 9 * percent_rank() OVER (ORDER BY per_1000), 6) AS score
+        FROM (SELECT report_date, count(*) AS tokens, count(*) FILTER (token IN {tuple(LEXICON)}) AS hits,
+                     round(count(*) FILTER (token IN {tuple(LEXICON)}) * 1000.0 / count(*), 6) AS per_1000
+              FROM {tokens} GROUP BY 1)"""
+
+
 QUERIES = {
     "extract_report_text": (lambda v: text_digest(plain_text(v), "page_id"), with_views(
         "SELECT page_id, md5(text) AS text_md5, CAST(length(text) AS INT) AS text_length FROM article",
-        "reports", extra={"article": _ARTICLE})),
+        "reports", extra={"article": ARTICLE})),
     "clean_report_text": (lambda v: text_digest(with_text(v), "page_id"), None),
     "normalize_unicode": (
         lambda v: v.typographic_documents.select("doc_id", text.normalize_unicode(F.col("text")).alias("text")), None),
@@ -233,17 +245,15 @@ QUERIES = {
                CASE WHEN t.report_date IS NOT NULL THEN 0 WHEN y.report_date IS NOT NULL THEN 1 END AS age_days
         FROM (SELECT CAST(unnest(range(CAST(min(report_date) AS TIMESTAMP), CAST(max(report_date) AS TIMESTAMP) + INTERVAL 1 DAY,
                      INTERVAL 1 DAY)) AS DATE) AS d FROM gapped_reports)
-        LEFT JOIN gapped_reports t ON t.report_date = d LEFT JOIN gapped_reports y ON y.report_date = d - 1""", "gapped_reports")),
+        LEFT JOIN usable t ON t.report_date = d LEFT JOIN usable y ON y.report_date = d - 1""",
+        "gapped_reports", extra={"results": _RESULTS, "usable": """
+        SELECT g.* FROM gapped_reports g JOIN results USING (report_date) WHERE status IN ('ok', 'skipped')"""})),
     "report_to_hours": (
         lambda v: ops.report_to_hours(v.reports.select("report_date", "page_id")).withColumn("report_date", day_text("report_date")),
         with_views("""
         SELECT strftime(report_date, '%Y-%m-%d') AS report_date, page_id, CAST(unnest(range(0, 24)) AS INT) AS hour FROM reports""", "reports")),
     "tokenize_daily": (tokenize_daily, with_views(
         "SELECT strftime(report_date, '%Y-%m-%d') AS report_date, token, count(*) AS n FROM tokens GROUP BY 1, 2", extra=_WORDS)),
-    "escalation_score": (escalation_score, with_views(f"""
-        SELECT strftime(report_date, '%Y-%m-%d') AS report_date, tokens, hits, per_1000,
-               round(1 + 9 * percent_rank() OVER (ORDER BY per_1000), 6) AS score
-        FROM (SELECT report_date, count(*) AS tokens, count(*) FILTER (token IN {tuple(LEXICON)}) AS hits,
-                     round(count(*) FILTER (token IN {tuple(LEXICON)}) * 1000.0 / count(*), 6) AS per_1000
-              FROM tokens GROUP BY 1)""", extra=_WORDS)),
+    "escalation_score": (escalation_score, with_views(
+        "SELECT * REPLACE (strftime(report_date, '%Y-%m-%d') AS report_date) FROM scored", extra={**_WORDS, "scored": daily_scores("tokens")})),
 }
