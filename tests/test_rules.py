@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from regionhour import schemas
 from regionhour.constants import RANGES, REGION_LOCATIONS
 from regionhour.operators import alarms as alarm_ops
-from regionhour.operators import grid, links, quality, reports, serving
+from regionhour.operators import grid, links, profile, quality, reports, serving
 from regionhour.operators import weather as weather_ops
 from regionhour.plans import jobs
 
@@ -212,6 +212,41 @@ def test_asof_prefers_the_same_day(spark):
     assert got == [("0", 0), ("1", 0), ("1", 1), (None, None)]
 
 
+def test_asof_passes_over_rejected_reports(spark):
+    rows = [("2024-01-01", "a", "ok"), ("2024-01-02", "b", "no_content"), ("2024-01-03", "c", "skipped"), ("2024-01-04", "d", None)]
+    found = spark.createDataFrame(rows, "d string, url string, status string").withColumn("report_date", F.col("d").cast("date"))
+    got = [(r["url"], r["age_days"]) for r in reports.latest_report_asof(found.select("report_date"), found).orderBy("as_of").collect()]
+    assert got == [("a", 0), ("a", 1), ("c", 0), ("c", 1)]
+
+
+def test_one_weather_row_per_hour(spark):
+    rows = [("a", 1, 7, 5.0), ("a", 1, 3, None), ("a", 2, 9, 2.0), ("a", 1, 8, 1.0)]
+    weather = spark.createDataFrame(rows, "join_city string, hour int, line_no int, hour_temp double").withColumn("day_date", F.lit("2024-01-01").cast("date"))
+    got = sorted((r["hour"], r["line_no"], r["hour_temp"]) for r in weather_ops.one_per_hour(weather, "line_no").collect())
+    assert got == [(1, 3, None), (2, 9, 2.0)]
+    alarms = weather.select("join_city", "day_date", "hour", F.lit(1).alias("id")).distinct()
+    assert weather_ops.alarms_with_weather(alarms, weather_ops.one_per_hour(weather, "line_no")).count() == 2
+
+
+def test_nan_is_missing_in_correlations(spark):
+    nan = float("nan")
+    rows = spark.createDataFrame([(1.0, 2.0), (2.0, 4.0), (3.0, 6.0), (nan, 100.0), (4.0, None)], "a double, b double")
+    got = {(r["column_a"], r["column_b"]): r["corr"] for r in profile.correlation_matrix(rows, ["a", "b"]).collect()}
+    assert got["a", "b"] == pytest.approx(1.0) and got["a", "a"] == pytest.approx(1.0)
+
+
+def test_stats_of_a_day_with_odd_alarms(spark):
+    rows = [(1, "2024-01-01 23:00:00", "2024-01-02 01:00:00"), (1, "2024-01-02 10:00:00", "2024-01-02 12:00:00"), (2, "2024-01-02 11:00:00", "2024-01-02 10:00:00"),
+            (2, "2024-01-02 11:30:00", "2024-01-03 12:00:00"), (2, "2024-01-03 00:00:00", "2024-01-03 01:00:00"), (3, "2024-01-01 01:00:00", "2024-01-01 02:00:00")]
+    alarms = spark.createDataFrame(rows, "region_id int, s string, e string").select("region_id", F.col("s").cast("timestamp").alias("start"), F.col("e").cast("timestamp").alias("end"))
+    regions = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "region_id int, center_city_en string")
+    levels = spark.createDataFrame([(2, 11, 0.6)], "region_id int, hour int, probability_1h double")
+    got = serving.alarms_today_stats(alarms, regions, levels, "2024-01-02 11:45:00").first()
+    assert (got["active_alarms_count"], got["total_alarms_today"], got["total_duration_today_hours"], got["most_threatened_region"]) == (2, 3, 15.5, "y")
+    nothing = serving.alarms_today_stats(alarms.limit(0), regions, levels, "2024-01-02 11:45:00").first()
+    assert (nothing["active_alarms_count"], nothing["total_alarms_today"], nothing["total_duration_today_hours"]) == (0, 0, 0)
+
+
 def test_classify_report_order(spark):
     long_text = "assessment " + "x" * 300
     rows = [("2024-01-01", None, None), ("2024-01-02", "short", long_text), ("2024-01-03", "h" * 600, "tiny"), ("2024-01-04", "h" * 600, "x" * 300), ("2024-01-05", "h" * 600, long_text), ("2024-01-06", None, None)]
