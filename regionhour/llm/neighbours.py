@@ -4,10 +4,11 @@ Each tree hashes a vector to a string of ``BITS`` signs of random directions. A
 is cut into cells of about ``cell_rows`` rows by the first bits, and a cell by a salt into blocks of
 about ``BLOCK_VALUES`` numbers (so many equal vectors are spread too); a block keeps its
 strings as one sorted array. A query descends to its longest-prefix match in every
-block of its cell and reports how many rows share each shorter prefix. The counts of
-all blocks and trees are added, and the forest ascends in step to the longest prefix
-that gives the wanted ``share`` of its places. Those rows are scored exactly on the
-original vectors.
+block of its cell and reports how many rows share each shorter prefix; prefixes shorter
+than a cell's are counted from the sizes of the cells. The counts of all cells, blocks and
+trees are added, and the forest ascends in step to the longest prefix that gives the wanted
+``share`` of its places, past the cell where it has to: the query then visits every cell
+below that prefix. Those rows are scored exactly on the original vectors.
 """
 
 from __future__ import annotations
@@ -86,7 +87,7 @@ def _descend(first: int):
         rows, asked = np.sort(block.h[~block["query"]].to_numpy()), block[block["query"]]
         h = asked.h.to_numpy()
         counts = np.stack([np.subtract(*_ranges(rows, h, b)[::-1]) for b in range(first, BITS + 1)], axis=1) if len(h) else np.zeros((0, 1))
-        return pd.DataFrame({"vec_id": asked.vec_id, "dim": asked.dim, "counts": list(counts.astype(np.int64))})
+        return pd.DataFrame({"vec_id": asked.vec_id, "dim": asked.dim, "counts": pd.Series(list(counts.astype(np.int64)), asked.index, object)})
     return run
 
 
@@ -133,20 +134,32 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     longest = {r["dim"]: r["top"] for r in sizes}
     hashed = step(rows.mapInPandas(_hashed(longest, trees, every), "vec_id bigint, dim int, tree int, query boolean, h bigint").withColumn(
         "prefix", F.shiftright("h", BITS - first)), "hashes")
-    # A cell's rows are dealt to its blocks by a salt, its queries go to each of them.
+    # One row for each cell that holds rows, and one for each prefix that leads to it.
     key = ["dim", "tree", "prefix"]
-    parts = hashed.filter(~F.col("query")).groupBy(*key).agg(F.ceil(F.count(F.lit(1)) * F.col("dim") / block_values).cast("int").alias("parts"))
-    placed = hashed.join(parts, key).withColumn("part", F.explode(F.when(F.col("query"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(
-        F.array(F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")))))
+    cells = step(hashed.filter(~F.col("query")).groupBy(*key).agg(F.count(F.lit(1)).alias("n")).withColumn(
+        "parts", F.ceil(F.col("n") * F.col("dim") / block_values).cast("int")), "cells")
+    up = F.expr(f"shiftright(prefix, {first} - level)")
+    under = cells.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(first)))).withColumn("up", up)
+    # A cell's rows are dealt to its blocks by a salt, its queries go to each of them.
+    queries = hashed.filter("query")
+    held = hashed.filter(~F.col("query")).join(cells, key).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
+    asking = queries.join(cells, key).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     block = [*key, "part"]
-    counts = placed.groupBy(*block).applyInPandas(_descend(first), "vec_id bigint, dim int, counts array<bigint>")
-    # In step over all trees and blocks: add up per prefix length, then take the longest that suffices.
-    levels = counts.select("vec_id", "dim", F.posexplode("counts").alias("level", "n")).groupBy("vec_id", "dim", "level").agg(F.sum("n").alias("n"))
-    enough = levels.groupBy("vec_id", "dim").agg(F.coalesce(F.max(F.when(F.col("n") >= wanted[F.col("dim")], F.col("level"))), F.lit(0)).alias("level")).select(
-        "vec_id", "dim", (F.col("level") + first).alias("bits"))
-    asked = placed.filter("query").join(enough, ["vec_id", "dim"]).select(*block, "vec_id", "query", "h", "bits")
-    held = placed.filter(~F.col("query")).select(*block, "vec_id", "query", "h", F.lit(0).alias("bits"))
-    full = asked.unionByName(held).join(rows.select("vec_id", "dim", "v"), ["vec_id", "dim"])
+    counts = held.unionByName(asking).groupBy(*block).applyInPandas(_descend(first), "vec_id bigint, dim int, counts array<bigint>")
+    # In step over all trees, cells and blocks: add up per prefix length, then take the longest that suffices.
+    levels = counts.select("vec_id", "dim", F.posexplode("counts").alias("level", "n")).withColumn("level", F.col("level") + first)
+    if first:
+        # Prefixes shorter than a cell's: the rows of all cells below, also for a query whose own cell is empty.
+        above = under.filter(F.col("level") < first).groupBy("dim", "tree", "level", "up").agg(F.sum("n").alias("n"))
+        levels = levels.unionByName(queries.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(first - 1)))).withColumn("up", up).join(
+            above, ["dim", "tree", "level", "up"]).select("vec_id", "dim", "level", "n"))
+    levels = levels.groupBy("vec_id", "dim", "level").agg(F.sum("n").alias("n"))
+    enough = levels.groupBy("vec_id", "dim").agg(F.coalesce(F.max(F.when(F.col("n") >= wanted[F.col("dim")], F.col("level"))), F.lit(0)).alias("bits"))
+    # A query goes to the blocks of every cell below its prefix.
+    reach = queries.join(enough, ["vec_id", "dim"]).withColumn("level", F.least("bits", F.lit(first))).withColumn("up", up).drop("prefix").join(
+        under.select(*key, "level", "up", "parts"), ["dim", "tree", "level", "up"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    full = reach.select(*block, "vec_id", "query", "h", "bits").unionByName(held.select(*block, "vec_id", "query", "h", F.lit(0).alias("bits"))).join(
+        rows.select("vec_id", "dim", "v"), ["vec_id", "dim"])
     found = full.groupBy(*block).applyInPandas(_ascend(top), "query_id bigint, vec_id bigint, score double")
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")

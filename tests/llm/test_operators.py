@@ -292,6 +292,17 @@ def test_neighbours(spark):
     assert neighbours.nearest(df.limit(0)).count() == 0
 
 
+def test_neighbours_do_not_depend_on_cells(spark):
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal((2000, 16))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id bigint, embedding array<double>").repartition(4)
+    one, many = (sorted(map(tuple, neighbours.nearest(df, every=50, cell_rows=n).collect())) for n in (2000, 2000 // 64))
+    assert one == many and len(one) == 40 * 20
+    hits = sum(len({r[2] for r in many if r[0] == q} & set([i for i in np.argsort(-(v @ v[q])) if i != q][:20])) for q in range(0, 2000, 50))
+    print("recall", hits / 800)
+    assert hits / 800 >= 0.75
+
+
 def test_pipeline_stages(spark, documents):
     docs = common.table(spark, SMALL, "documents", *corpus_pipeline.COLUMNS)
     seen = {}
