@@ -130,7 +130,9 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     if not sizes:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     first = max(0, math.ceil(math.log2(max(1, max(r["n"] for r in sizes) / cell_rows))))
-    wanted = F.create_map(*[F.lit(x) for r in sizes for x in (r["dim"], math.ceil(share * trees * r["n"]))])
+    # A row has a place in each tree, so this many places are at least ``top`` rows beside the query's own.
+    fewest = trees * (top + 1)
+    wanted = F.create_map(*[F.lit(x) for r in sizes for x in (r["dim"], min(trees * r["n"], max(fewest, math.ceil(share * trees * r["n"]))))])
     longest = {r["dim"]: r["top"] for r in sizes}
     hashed = step(rows.mapInPandas(_hashed(longest, trees, every), "vec_id bigint, dim int, tree int, query boolean, h bigint").withColumn(
         "prefix", F.shiftright("h", BITS - first)), "hashes")

@@ -299,10 +299,18 @@ def test_neighbours_do_not_depend_on_cells(spark):
     one, many = (sorted(map(tuple, neighbours.nearest(df, every=50, cell_rows=n).collect())) for n in (2000, 2000 // 64))
     assert one == many and len(one) == 40 * 20
     hits = sum(len({r[2] for r in many if r[0] == q} & set([i for i in np.argsort(-(v @ v[q])) if i != q][:20])) for q in range(0, 2000, 50))
-    print("recall", hits / 800)
     assert hits / 800 >= 0.75
 
 
+def test_neighbours_are_as_many_as_there_are(spark):
+    v = np.random.default_rng(6).standard_normal((1500, 16))
+    v[1] *= 100 * np.linalg.norm(v, axis=1).max() / np.linalg.norm(v[1])  # its lift puts nearly all rows of a tree in one cell
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(i, [1.0, float(i)]) for i in range(2000, 2015)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(4)
+    got = collections.Counter(r["query_id"] for r in neighbours.nearest(df, cell_rows=1500 // 64, share=0.001).collect())
+    assert got == {q: 20 if q < 1500 else 14 for q in [*range(0, 1500, 20), 2000]}
+
+
 def test_pipeline_stages(spark, documents):
     docs = common.table(spark, SMALL, "documents", *corpus_pipeline.COLUMNS)
     seen = {}
