@@ -5,7 +5,7 @@
    are made. Each dart falls on one of ``k`` coordinates; the earliest per coordinate stays.
 2. Band: equal bands of coordinates put texts into one bucket. The member that meets most others
    over all its buckets (the likely original of a group) and the least member are the
-   bucket's pivots; all members are compared with both.
+   bucket's pivots (of three members always two different ones); all members are compared with both.
 3. Verify: pairs are compared exactly by weighted Jaccard of their shingles.
 4. Connect: links are contracted to classes: to trees inside each task, then by rounds that hook and shorten them.
 5. The rest: a bucket that still holds several classes is compared chunk by chunk
@@ -300,7 +300,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     members = step(signed.select(F.explode("bands").alias("bucket"), "node").join(buckets, "bucket").distinct(), "members")
     met = members.groupBy("node").agg(F.sum("n").alias("met")).select(F.hex("node").alias("_node"), "met")
     pivots = members.withColumn("_node", F.hex("node")).join(met, "_node").groupBy("bucket").agg(
-        F.max(F.struct("met", "node"))["node"].alias("first"), F.min("node").alias("last")).select(F.col("bucket").cast("string").alias("_bucket"), "first", "last")
+        F.max(F.struct("met", "node"))["node"].alias("first"), F.min("node").alias("least"), F.max("node").alias("greatest"), F.max("n").alias("n")).select(
+        F.col("bucket").cast("string").alias("_bucket"), "first",
+        # One pivot would leave the other two of three unmet.
+        F.when((F.col("n") == 3) & (F.col("first") == F.col("least")), F.col("greatest")).otherwise(F.col("least")).alias("last"))
     pairs = step(members.withColumn("_bucket", F.col("bucket").cast("string")).join(pivots, "_bucket").select(
         "node", F.explode(F.array("first", "last")).alias("pivot")).filter("node <> pivot").select(
         F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), "pairs")

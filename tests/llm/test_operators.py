@@ -231,6 +231,20 @@ def test_near_dedup_is_brute_force(spark, documents):
     assert set(map(frozenset, got.values())) == {frozenset(ids[i] for i in c) for c in linked(documents.text.tolist())}
 
 
+def test_near_dedup_bucket_of_three_with_one_pivot(spark):
+    # Found by search: x and y are 0.806 alike and meet only where z is, which is the least node, meets most and is 0.787 like both.
+    x, y, z = (" ".join([*(f"w{i}" for i in range(104)), *(f"{name}4q{i}" for i in range(n))]) for name, n in (("x", 12), ("y", 12), ("z", 15)))
+    assert linked([x, y, z]) == {frozenset({0, 1}), frozenset({2})}
+    known, where = near_dedup._Words(), []
+    with np.errstate(over="ignore"):
+        for text in (x, y, z):
+            keys, counts = near_dedup.shingles(text, known)
+            where.append(set(near_dedup.band_keys(near_dedup.dart_signature(keys, counts.astype(float), near_dedup.BANDS * near_dedup.ROWS)).tolist()))
+    assert where[0] & where[1] and where[0] & where[1] <= where[2]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(spark.createDataFrame([(1, x), (2, y), (3, z)], "doc_id bigint, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+
+
 def test_near_dedup_odd_rows(spark, odd):
     rows = near_dedup.near_classes(odd).collect()
     assert len(rows) == len(ODD) and {r["class_id"] for r in rows if r["doc_id"] in (1, 2)} == {1} and {r["class_id"] for r in rows if r["doc_id"] in (4, 5, None)} == {4}
