@@ -23,7 +23,7 @@ from regionhour.llm.common import held_out, table
 WINDOW = 512
 ROWS_PER_LANGUAGE = 24  # training rows of a language, the least by hash, one in each of so many buckets
 LONGEST_TRAINING_ROW = 4096  # characters; longer rows are not learned from
-LETTERS = 95  # the most frequent characters of the training texts; others match nothing
+LETTERS = 95  # the most frequent characters of the training texts have columns of a table; rarer ones are looked up
 SHARPNESS = 0.7
 UNDETERMINED = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -65,33 +65,49 @@ class Parser:
     def __init__(self, training: dict[str, str]):
         self.languages = sorted(training)
         seen = Counter(c for t in training.values() for c in t.lower())
-        letters = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:LETTERS]]
-        self.code = np.zeros(max(map(ord, letters), default=0) + 2, np.int32)  # 0: matches nothing
+        letters = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))]
+        self.code = np.zeros(max(map(ord, letters), default=0) + 2, np.int32)  # 0: in no training text, matches nothing
         for n, c in enumerate(letters, 1):
             self.code[ord(c)] = n
-        width, tables, self.roots, self.bits = len(letters) + 1, [], [], []
+        self.width = width = min(len(letters), LETTERS) + 1
+        tables, self.roots, self.bits = [], [], []
+        rare: dict[int, int] = {}  # transitions by characters without a column
+        self.rare_starts = np.zeros((len(self.languages), len(letters) + 1 - width), np.int32)
         offset = 0
         for name in self.languages:
             codes = self.codes(training[name].lower())
-            automaton = SuffixAutomaton([int(c) for c in codes if c])
+            automaton = SuffixAutomaton(codes.tolist())
             # A cell holds where to go; its complement says that a new phrase begins there.
-            start = np.full(width, ~offset, np.int32)
+            start = np.full(len(letters) + 1, ~offset, np.int32)
             for c, to in automaton.next[0].items():
                 start[c] = ~(offset + to * width)
-            cells = np.tile(start, (len(automaton.next), 1))
+            self.rare_starts[len(tables)] = start[width:]
+            cells = np.tile(start[:width], (len(automaton.next), 1))
             for state, following in enumerate(automaton.next[1:], 1):
                 for c, to in following.items():
-                    cells[state, c] = offset + to * width
+                    if c < width:
+                        cells[state, c] = offset + to * width
+                    else:
+                        rare[offset + state * width << 21 | c] = offset + to * width
             tables.append(cells.ravel())
             self.roots.append(offset)
             self.bits.append(np.log2(max(2, len(codes))))
             offset += cells.size
         self.cells = np.concatenate(tables) if tables else np.zeros(0, np.int32)
+        # Sorted by state and character, with a last key that nothing equals.
+        self.rare_keys = np.array([*sorted(rare), np.iinfo(np.int64).max], np.int64)
+        self.rare_cells = np.array([*(rare[k] for k in self.rare_keys[:-1].tolist()), 0], np.int32)
 
     def codes(self, text: str) -> np.ndarray:
         points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         return self.code[np.minimum(points, len(self.code) - 1)]
 
+    def rarely(self, state: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Where characters without a column lead, as in ``cells``; states are languages by lanes."""
+        keys = state.astype(np.int64) << 21 | codes
+        at = np.searchsorted(self.rare_keys, keys)
+        return np.where(self.rare_keys[at] == keys, self.rare_cells[at], self.rare_starts[:, codes - self.width])
+
     def phrases(self, texts: list[str]) -> np.ndarray:
         """Phrases needed, texts by languages."""
         codes = self.codes("".join(texts))
@@ -108,7 +124,13 @@ class Parser:
         found = np.zeros(state.shape, np.int32)
         for t in range(int(length[0]) if len(length) else 0):
             m = int(live[t])
-            to = self.cells.take(state[:, :m] + codes[begin[:m] + t])
+            now = codes[begin[:m] + t]
+            lanes_rare = np.flatnonzero(now >= self.width)
+            if len(lanes_rare):
+                to = self.cells.take(state[:, :m] + np.where(now < self.width, now, 0))
+                to[:, lanes_rare] = self.rarely(state[:, lanes_rare], now[lanes_rare])
+            else:
+                to = self.cells.take(state[:, :m] + now)
             sign = to >> 31
             found[:, :m] -= sign
             state[:, :m] = to ^ sign

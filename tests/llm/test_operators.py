@@ -173,6 +173,29 @@ def test_phrases_are_the_greedy_longest_matches():
         assert language.Parser(training).phrases([text])[0].tolist() == want
 
 
+def test_languages_of_large_alphabets():
+    rng = random.Random(8)
+    chinese = [chr(0x4E00 + i) for i in range(600)]
+    words = {"zh": ["".join(rng.choices(chinese, k=2)) for _ in range(400)],
+             **{name: ["".join(rng.choices(letters, k=6)) for _ in range(400)] for name, letters in (
+                 ("en", "abcdefghijklmnopqrstuvwxyz"), ("el", "αβγδεζηθικλμνξοπρστυφχψως"), ("ru", "абвгдежзийклмнопрстуфхцчшщъыьэюя"), ("ka", "აბგდევზთიკლმნოპჟრსტუფქღყშჩცძწჭხჯჰ"))}}
+    # The Latin text is the longest by far, and the only one left beside its own letters if rare characters match nothing.
+    training = {name: " ".join(rng.choices(own, k=4000 if name == "en" else 1000)) for name, own in words.items()}
+    parser = language.Parser(training)
+    texts = {name: " ".join(rng.choices(own, k=40)) for name, own in words.items()}
+    names, sure = parser.predict(list(texts.values()))
+    assert names == list(texts) and (sure > 0.9).all()
+    for text, counted in zip(texts.values(), parser.phrases(list(texts.values()))):
+        for name, n in zip(parser.languages, counted):
+            want = at = 0
+            while at < len(text):
+                size = 1
+                while at + size < len(text) and text[at:at + size + 1] in training[name]:
+                    size += 1
+                want, at = want + 1, at + size
+            assert n == want
+
+
 def test_segments_are_all_maximal_ones():
     def plain(scores):  # the definition, by recursion: the best stretch, then both sides of it
         best = max(((sum(scores[i:j]), -(j - i), -i) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)), default=(0,))
