@@ -2,8 +2,8 @@
 
 Each tree hashes a vector to a string of ``BITS`` signs of random directions. A tree
 is cut into cells of about ``cell_rows`` rows by the first bits, and a cell by a salt into blocks of
-about ``BLOCK_VALUES`` numbers (so many equal vectors are spread too); a block keeps its
-strings as one sorted array. A query descends to its longest-prefix match in every
+about ``BLOCK_VALUES`` numbers (so many equal vectors are spread too), its queries likewise; a block
+keeps its strings as one sorted array. A query descends to its longest-prefix match in every
 block of its cell and reports how many rows share each shorter prefix; prefixes shorter
 than a cell's are counted from the sizes of the cells. The counts of all cells, blocks and
 trees are added, and the forest ascends in step to the longest prefix that gives the wanted
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from regionhour.llm.common import step, table
@@ -26,7 +26,8 @@ from regionhour.llm.common import step, table
 BITS = 62
 TREES = 8
 CELL_ROWS = 65_536
-BLOCK_VALUES = 1 << 22  # numbers in a block, which bounds a task's memory at any vector length
+CELL = ["dim", "tree", "prefix"]
+BLOCK_VALUES = 1 << 22  # numbers of a block's rows, and of its queries, which bounds a task's memory at any vector length
 # The part of all places of the forest (rows x trees) that a query gathers. It
 # follows the table's size: directions of unclustered vectors hardly differ, so a fixed
 # number would find ever fewer of their neighbours.
@@ -115,6 +116,22 @@ def _ascend(top: int):
     return run
 
 
+def _dealt(held: DataFrame, asked: DataFrame, cells: DataFrame, block_values: int) -> DataFrame:
+    """Rows and queries of the cells that are asked, with ``part`` and ``chunk``.
+
+    A cell's rows are dealt to parts and its queries to chunks by a salt; every part meets every chunk in one block,
+    bounded on both sides. A query counts as no fewer numbers than its counts per prefix have.
+    """
+    chunks = asked.groupBy(*CELL).agg(F.ceil(F.count(F.lit(1)) * F.greatest("dim", F.lit(BITS + 1)) / block_values).cast("int").alias("chunks"))
+    sizes = cells.select(*CELL, "parts").join(chunks, CELL)
+
+    def one(of: str, into: str, other: str, every: str) -> list[Column]:
+        return [F.pmod(F.xxhash64("vec_id"), F.col(of)).cast("int").alias(into), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(every)]
+
+    return held.join(sizes, CELL).select(*held.columns, *one("parts", "part", "chunks", "chunk")).unionByName(
+        asked.join(sizes, CELL).select(*asked.columns, *one("chunks", "chunk", "parts", "part")))
+
+
 def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, top: int = TOP,
             trees: int = TREES, cell_rows: int = CELL_ROWS, block_values: int = BLOCK_VALUES, share: float = SHARE) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``top`` rows of largest inner product found for each query.
@@ -137,17 +154,15 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     hashed = step(rows.mapInPandas(_hashed(longest, trees, every), "vec_id bigint, dim int, tree int, query boolean, h bigint").withColumn(
         "prefix", F.shiftright("h", BITS - first)), "hashes")
     # One row for each cell that holds rows, and one for each prefix that leads to it.
-    key = ["dim", "tree", "prefix"]
-    cells = step(hashed.filter(~F.col("query")).groupBy(*key).agg(F.count(F.lit(1)).alias("n")).withColumn(
+    cells = step(hashed.filter(~F.col("query")).groupBy(*CELL).agg(F.count(F.lit(1)).alias("n")).withColumn(
         "parts", F.ceil(F.col("n") * F.col("dim") / block_values).cast("int")), "cells")
     up = F.expr(f"shiftright(prefix, {first} - level)")
     under = cells.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(first)))).withColumn("up", up)
-    # A cell's rows are dealt to its blocks by a salt, its queries go to each of them.
-    queries = hashed.filter("query")
-    held = hashed.filter(~F.col("query")).join(cells, key).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
-    asking = queries.join(cells, key).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    block = [*key, "part"]
-    counts = held.unionByName(asking).groupBy(*block).applyInPandas(_descend(first), "vec_id bigint, dim int, counts array<bigint>")
+    queries, held = hashed.filter("query"), hashed.filter(~F.col("query"))
+    block = [*CELL, "part", "chunk"]
+    bare = [*CELL, "vec_id", "query", "h"]
+    counts = _dealt(held.select(*bare), queries.select(*bare), cells, block_values).groupBy(*block).applyInPandas(
+        _descend(first), "vec_id bigint, dim int, counts array<bigint>")
     # In step over all trees, cells and blocks: add up per prefix length, then take the longest that suffices.
     levels = counts.select("vec_id", "dim", F.posexplode("counts").alias("level", "n")).withColumn("level", F.col("level") + first)
     if first:
@@ -158,9 +173,9 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     levels = levels.groupBy("vec_id", "dim", "level").agg(F.sum("n").alias("n"))
     enough = levels.groupBy("vec_id", "dim").agg(F.coalesce(F.max(F.when(F.col("n") >= wanted[F.col("dim")], F.col("level"))), F.lit(0)).alias("bits"))
     # A query goes to the blocks of every cell below its prefix.
-    reach = queries.join(enough, ["vec_id", "dim"]).withColumn("level", F.least("bits", F.lit(first))).withColumn("up", up).drop("prefix").join(
-        under.select(*key, "level", "up", "parts"), ["dim", "tree", "level", "up"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    full = reach.select(*block, "vec_id", "query", "h", "bits").unionByName(held.select(*block, "vec_id", "query", "h", F.lit(0).alias("bits"))).join(
+    reach = step(queries.join(enough, ["vec_id", "dim"]).withColumn("level", F.least("bits", F.lit(first))).withColumn("up", up).drop("prefix").join(
+        under.select(*CELL, "level", "up"), ["dim", "tree", "level", "up"]).select(*bare, "bits"), "reach")
+    full = _dealt(held.select(*bare, F.lit(0).alias("bits")), reach, cells, block_values).join(
         rows.select("vec_id", "dim", "v"), ["vec_id", "dim"])
     found = full.groupBy(*block).applyInPandas(_ascend(top), "query_id bigint, vec_id bigint, score double")
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

@@ -348,6 +348,27 @@ def test_neighbours_are_as_many_as_there_are(spark):
     assert got == {q: 20 if q < 1500 else 14 for q in [*range(0, 1500, 20), 2000]}
 
 
+def test_neighbours_bound_the_queries_of_a_block(spark, monkeypatch):
+    v = np.random.default_rng(9).standard_normal((1200, 16))
+    v[::3] = v[0]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id bigint, embedding array<double>").repartition(4)
+    want = sorted(map(tuple, neighbours.nearest(df, every=2).collect()))
+    ascend, least = neighbours._ascend, 1 << 12
+
+    def bounded(top):
+        run = ascend(top)
+
+        def checked(block):
+            rows, asks = int((~block["query"]).sum()), int(block["query"].sum())
+            if max(rows * 16, asks * 63) > 2 * least:  # twice what an even deal gives
+                raise ValueError(f"a block of {rows} rows and {asks} queries")
+            return run(block)
+        return checked
+
+    monkeypatch.setattr(neighbours, "_ascend", bounded)
+    assert sorted(map(tuple, neighbours.nearest(df, every=2, block_values=least).collect())) == want and len(want) == 600 * 20
+
+
 def test_pipeline_stages(spark, documents):
     docs = common.table(spark, SMALL, "documents", *corpus_pipeline.COLUMNS)
     seen = {}
