@@ -22,7 +22,7 @@ from regionhour.llm.common import held_out, table
 
 WINDOW = 512
 ROWS_PER_LANGUAGE = 24  # training rows of a language, the least by hash, one in each of so many buckets
-LONGEST_TRAINING_ROW = 4096  # characters; longer rows are not learned from
+LONGEST_TRAINING_ROW = 4096  # characters; of longer rows only the beginning is learned from, and only if a language has no others
 LETTERS = 95  # the most frequent characters of the training texts have columns of a table; rarer ones are looked up
 SHARPNESS = 0.7
 UNDETERMINED = "und"
@@ -153,15 +153,19 @@ def training_texts(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE, longest: int
     """Texts to learn from by language, at most ``rows`` x ``longest`` characters each.
 
     Of the rows that are not held out and have a language and a text of at most
-    ``longest`` characters, the least by hash in each of ``rows`` buckets; the
-    choice covers all rows and takes one pass without their texts being moved.
+    ``longest`` characters, the least by hash in each of ``rows`` buckets. A language
+    that has longer rows only is learned from the first ``longest`` characters of such rows.
+    The choice covers all rows and takes one pass without their texts being moved.
     """
-    able = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.length("text").between(1, longest)).select(
-        "lang", "text", F.xxhash64("doc_id", "text").alias("key"))
-    # At most languages x rows numbers.
-    chosen = able.groupBy("lang", F.pmod("key", F.lit(rows)).alias("bucket")).agg(F.min("key").alias("key")).select("lang", "key")
+    able = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") >= 1)).select(
+        "lang", F.substring("text", 1, longest).alias("text"), (F.length("text") > longest).alias("long"), F.xxhash64("doc_id", "text").alias("key"))
+    # At most languages x rows x 2 numbers.
+    least = able.groupBy("lang", "long", F.pmod("key", F.lit(rows)).alias("bucket")).agg(F.min("key").alias("key")).select("lang", "long", "key")
+    first = least.groupBy("lang").agg(F.min("long").alias("long"))
+    chosen = least.join(first, ["lang", "long"])
     out: dict[str, set[str]] = {}
-    for r in able.join(F.broadcast(chosen), ["lang", "key"]).collect():
+    out: dict[str, set[str]] = {}
+    for r in able.join(F.broadcast(chosen), ["lang", "long", "key"]).collect():
         out.setdefault(r["lang"], set()).add(r["text"])
     return {name: "\n".join(sorted(texts)) for name, texts in out.items()}
 

@@ -196,6 +196,14 @@ def test_languages_of_large_alphabets():
             assert n == want
 
 
+def test_languages_with_long_rows_only_are_learned(spark):
+    rows = [(i, text * n, name) for i, (text, n, name) in enumerate(6 * [("the word is here ", 9, "en"), ("das Wort ist hier ", 9, "de"), ("das Wort ist lang ", 900, "de"), ("la palabra larga ", 900, "es")])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = language.training_texts(docs)
+    assert set(got) == {"en", "de", "es"} and "lang" not in got["de"] and got["es"].startswith("la palabra larga la") and len(max(got["es"].split("\n"), key=len)) == 4096
+    assert {r["lang_pred"] for r in language.identify(docs.filter("lang = 'es'"), got).collect()} == {"es"}
+
+
 def test_segments_are_all_maximal_ones():
     def plain(scores):  # the definition, by recursion: the best stretch, then both sides of it
         best = max(((sum(scores[i:j]), -(j - i), -i) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)), default=(0,))
