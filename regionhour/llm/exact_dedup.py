@@ -1,10 +1,12 @@
-"""Exact deduplication: sorted runs of digests merged in rounds of a tree.
-
-Every input partition makes a run: one entry per digest with its best
-identifier and its count. Round by round, ``fan_in`` neighbouring runs are
-exchanged and merged, until one run is left; that one stays spread over the
-cluster by digest. A group of copies is cut down to one entry per run before
-it is first shuffled and shrinks in every round, so its size never matters.
+"""Exact deduplication: digests of groups of partitions merged in rounds, by hash aggregation.
+
+The entries of the input partitions with one number modulo ``runs`` are a run: one
+entry per digest with its best identifier and its count. Round by round, ``fan_in``
+neighbouring runs are exchanged and aggregated to one, until one run is left; that one
+stays spread over the cluster by digest. Runs are not sorted and not merged in order:
+hash aggregation stands in for a binomial merge of sorted runs. A group of copies is cut
+down to one entry per partition before it is first shuffled and shrinks in every round,
+so its size never matters.
 """
 
 from __future__ import annotations
