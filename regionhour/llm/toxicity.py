@@ -24,6 +24,7 @@ from regionhour.llm.common import held_out, table
 
 TOKEN = re.compile(r"\w+")
 BUCKETS = 1 << 20  # tokens are hashed, so the table has a fixed size
+BLOCK = 1 << 12  # buckets whose counts travel to the driver as one packed row
 PRIOR = 3.0  # tokens of the Dirichlet prior that stand behind each bucket
 GAP = 1.5
 TRAINING_ROWS = 20_000  # labelled rows, the least by hash
@@ -43,7 +44,10 @@ class _Buckets(dict):
 
 
 def buckets_of(text: str, known: dict[str, int]) -> np.ndarray:
-    tokens = TOKEN.findall(text.lower())
+    """One bucket per token of the text as it is, by the token's lower form."""
+    low = text.lower()
+    # A character whose lower form has two code points may split a token: tokens are then taken first.
+    tokens = TOKEN.findall(low) if len(low) == len(text) else [t.lower() for t in TOKEN.findall(text)]
     return np.fromiter(map(known.__getitem__, tokens), np.int32, len(tokens))
 
 
@@ -144,10 +148,17 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Mode
             at = slice(k, k + 100_000)
             yield pd.DataFrame({"fold": fold[at], "toxic": toxic[at], "bucket": which[at], "n": sums[fold[at], toxic[at], which[at]]})
 
-    # At most 4 x BUCKETS rows, whatever the corpus.
-    counted = sample.mapInPandas(count, "fold int, toxic int, bucket int, n bigint").groupBy("fold", "toxic", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    sums = np.zeros((2, 2, BUCKETS))
-    sums[counted.fold, counted.toxic, counted.bucket] = counted.n
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        counts = np.zeros((4, BLOCK), np.int64)
+        counts[2 * rows.fold.to_numpy() + rows.toxic.to_numpy(), rows.bucket.to_numpy() % BLOCK] = rows.n.to_numpy()
+        return pd.DataFrame({"block": [int(rows.bucket.iloc[0]) // BLOCK], "counts": [counts.tobytes()]})
+
+    # At most BUCKETS / BLOCK rows of 32 bytes a bucket, whatever the corpus and whether or not Arrow is on.
+    counted = sample.mapInPandas(count, "fold int, toxic int, bucket int, n bigint").groupBy("fold", "toxic", "bucket").agg(F.sum("n").alias("n"))
+    packed = counted.groupBy(F.expr(f"bucket div {BLOCK}")).applyInPandas(pack, "block int, counts binary")
+    sums = np.zeros((2, 2, BUCKETS), np.int64)
+    for row in packed.toLocalIterator():
+        sums[:, :, row["block"] * BLOCK:(row["block"] + 1) * BLOCK] = np.frombuffer(row["counts"], np.int64).reshape(2, 2, BLOCK)
     unseen = [log_odds(sums[1 - k, 1], sums[1 - k, 0]) for k in (0, 1)]
     tables = spark.sparkContext.broadcast(unseen)
 
@@ -163,6 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Mode
     tail = sample.filter(F.col("toxic") <= 0).mapInPandas(tails, "segments double, total double, tokens double").agg(
         *[F.coalesce(F.sum(c), F.lit(0.0)) for c in ("segments", "total", "tokens")]).first()
     law = tail_law(*tail)
+    tables.destroy()
     shared = spark.sparkContext.broadcast([Model(x, *law, (0.0, 1.0)) for x in unseen])
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -172,7 +184,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Mode
             yield pd.DataFrame({"evidence": [model[f].evidence(model[f].passages(buckets_of(t, known))) for t, f in zip(batch.text, batch.fold)],
                                 "toxic": (batch.toxic > 0).astype("int32")})
 
+    # At most ``rows`` small rows.
     points = sample.mapInPandas(weigh, "evidence double, toxic int").toPandas()
+    shared.destroy()
     scores = log_odds(sums[:, 1].sum(0), sums[:, 0].sum(0))
     curve = logistic(points.evidence.to_numpy(float), points.toxic.to_numpy(float)) if points.toxic.nunique() == 2 else (-3.0, 0.0)
     return Model(scores, *law, curve)
@@ -195,10 +209,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 found = own.passages(buckets_of(text, known))
                 scores.append(own.probability(own.evidence(found)))
                 if found:
-                    # Lower-casing can change a text's length: spans are looked up in the text as it is.
                     at = [m.span() for m in TOKEN.finditer(text)]
-                    last = len(at) - 1
-                    found = [(at[min(b, last)][0], at[min(e - 1, last)][1], s, x) for b, e, s, x in found]
+                    found = [(at[b][0], at[e - 1][1], s, x) for b, e, s, x in found]
                 passages.append([dict(zip(("start", "stop", "score", "e_value"), f)) for f in found])
             yield pd.DataFrame({"doc_id": batch.doc_id.astype("Int64"), "held_out": batch.held_out, "score": scores,
                                 "predicted": [int(s >= THRESHOLD) for s in scores], "passages": passages})

@@ -416,3 +416,15 @@ def test_links_contract_to_components(spark):
     linked = {x for a, b in pairs if a != b for x in (a, b)}
     assert found == {names[x]: names[root(x)] for x in linked}
     assert near_dedup.components(links.limit(0)).count() == 0
+
+
+def test_toxic_spans_follow_the_text_as_it_is(spark):
+    """A token whose lower form is longer stays one token, so later spans are not moved."""
+    scores = np.full(toxicity.BUCKETS, -1.0, np.float32)
+    known = toxicity._Buckets()
+    scores[known["vile"]] = 8.0
+    text = "aİb İİ calm words Vile VILE then"
+    assert len(toxicity.buckets_of(text, known)) == len(toxicity.TOKEN.findall(text))
+    df = spark.createDataFrame([(1, text), (2, "aİb")], "doc_id bigint, text string")
+    got = {r["doc_id"]: [text[p["start"]:p["stop"]] for p in r["passages"]] for r in toxicity.score(df, toxicity.Model(scores, 1.0, 0.1, (0.0, 1.0))).collect()}
+    assert got == {1: ["Vile VILE"], 2: []}
