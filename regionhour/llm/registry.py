@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from regionhour.llm import exact_dedup, language, mixing, near_dedup, neighbours, personal_data, pieces, toxicity, url_filter, warc
+from regionhour.llm import conversation_repair, exact_dedup, language, mixing, near_dedup, neighbours, personal_data, pieces, toxicity, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,10 +22,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_sentencepiece": pieces.op9_sentencepiece,
         "op10_nearest": neighbours.op10_nearest,
+        "op11_conversation_repair": conversation_repair.op11_conversation_repair,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    own = {"op8_exact_dedup": exact_dedup.OP8_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    own = {"op8_exact_dedup": exact_dedup.OP8_SQL, "op11_conversation_repair": conversation_repair.OP11_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
     return {name: sql for name, sql in own.items() if sql}
