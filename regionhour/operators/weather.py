@@ -57,10 +57,18 @@ def alarm_keys(alarms: DataFrame, name: str = "center_city_en") -> DataFrame:
     return drop_incomplete_keys(keyed, KEY, ["hour"])
 
 
-def one_per_hour(weather: DataFrame, order: str) -> DataFrame:
-    """Of several keyed weather rows of one hour the one with the least ``order``; partial minima go into the shuffle."""
-    others = [c for c in weather.columns if c not in (*KEY, order)]
-    first = F.min(F.struct(order, *others)).alias("w")
+def weather_at_alarms(weather: DataFrame, alarms: DataFrame) -> DataFrame:
+    """Keyed weather of the hours that have an alarm; all other rows go before anything is grouped."""
+    return weather.join(alarms.select(*KEY).distinct(), KEY, "left_semi")
+
+
+def one_per_hour(weather: DataFrame, *order: str) -> DataFrame:
+    """Of several keyed weather rows of one hour the least by ``order``, then by the other columns, nulls first.
+
+    All columns take part, so rows that differ never tie. Partial minima go into the shuffle.
+    """
+    others = [c for c in weather.columns if c not in (*KEY, *order)]
+    first = F.min(F.struct(*order, *others)).alias("w")
     return weather.groupBy(*KEY).agg(first).select(*KEY, "w.*")
 
 

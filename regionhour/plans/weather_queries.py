@@ -62,7 +62,8 @@ _FLAT = """
 
 def alarms_with_weather(v: Lenses) -> DataFrame:
     alarms, weather = keyed(v)
-    joined = ops.alarms_with_weather(alarms, ops.one_per_hour(weather.select(*ops.KEY, "line_no", "hour_temp", "hour_visibility"), "line_no"))
+    needed = ops.weather_at_alarms(weather.select(*ops.KEY, "line_no", "hour_temp", "hour_visibility"), alarms)
+    joined = ops.alarms_with_weather(alarms, ops.one_per_hour(needed, "line_no", "hour_temp", "hour_visibility"))
     return joined.select("id", "line_no", "join_city", stamp("start").alias("start_ts"), r6("hour_temp").alias("hour_temp"), "hour_visibility")
 
 
@@ -244,7 +245,8 @@ QUERIES = {
     "alarms_with_weather": (alarms_with_weather, with_views(f"""
         SELECT a.id, w.line_no, w.join_city, strftime(a.start_ts, '%Y-%m-%d %H:%M:%S') AS start_ts,
                round(hour_temp, 6) + 0.0 AS hour_temp, hour_visibility
-        FROM (SELECT * FROM keyed_weather QUALIFY row_number() OVER (PARTITION BY join_city, day_key, hour_key ORDER BY line_no) = 1) w
+        FROM (SELECT * FROM keyed_weather QUALIFY row_number() OVER (
+                PARTITION BY join_city, day_key, hour_key ORDER BY line_no, hour_temp NULLS FIRST, hour_visibility NULLS FIRST) = 1) w
         JOIN keyed_alarms a ON {_KEY_MATCH}""", "keyed_alarms", "keyed_weather")),
     "counts_by_temperature": (lambda v: ops.counts_by_temperature(*keyed(v)), with_views(f"""
         SELECT round_even(hour_temp, 0) + 0.0 AS temp_rounded, count(*) AS alarms
