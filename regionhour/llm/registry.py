@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from regionhour.llm import conversation_repair, exact_dedup, language, mixing, near_dedup, neighbours, personal_data, pieces, toxicity, url_filter, warc
+from regionhour.llm import (conversation_repair, exact_dedup, language, mixing, near_dedup, neighbours, personal_data, pieces, quality_rules,
+                            toxicity, url_filter, warc, whitening)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +24,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_sentencepiece": pieces.op9_sentencepiece,
         "op10_nearest": neighbours.op10_nearest,
         "op11_conversation_repair": conversation_repair.op11_conversation_repair,
+        "op12_quality_rules": quality_rules.op12_quality_rules,
+        "op13_whitening": whitening.op13_whitening,
         "pipeline": corpus_pipeline.run,
     }
 
