@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from regionhour.constants import HORIZONS
+from regionhour.constants import ALARM_UPPER_BOUND, FIRST_DAY, HORIZONS, MAX_ALARM_HOURS
 
 KEY = ["region_id", "hour_ts"]
 
@@ -19,10 +20,39 @@ def _timestamp(moment: str | Column) -> Column:
     return F.lit(moment).cast("timestamp")
 
 
+def _hour_number(moment: Column) -> Column:
+    """Whole hours since 1970, rounded down."""
+    return F.floor(F.unix_seconds(moment) / 3600)
+
+
+def interval_fault(earliest: str = FIRST_DAY, latest: str = ALARM_UPPER_BOUND, max_hours: int = MAX_ALARM_HOURS) -> Column:
+    """Why an alarm can't be placed on a grid, else null: the same rules as the counts of date bounds and impossible intervals."""
+    low, high = _timestamp(earliest), _timestamp(latest)
+    start, end = F.col("start"), F.col("end")
+    seconds = F.unix_micros(end) - F.unix_micros(start)
+    return (
+        F.when(start.isNull() | end.isNull(), "no start or end")
+        .when(start < low, "too early")
+        .when(start > high, "too late")
+        .when(end < start, "end before start")
+        .when(seconds > F.lit(max_hours).cast("long") * 3_600_000_000, "too long")
+    )
+
+
+def sound_intervals(alarms: DataFrame, **limits) -> DataFrame:
+    """Alarms that can be placed on a grid; one bad date would stretch it over all years."""
+    return alarms.where(interval_fault(**limits).isNull())
+
+
+def rejected_intervals(alarms: DataFrame, **limits) -> DataFrame:
+    """The other alarms with the ``reason``."""
+    return alarms.withColumn("reason", interval_fault(**limits)).where(F.col("reason").isNotNull())
+
+
 def alarm_range(alarms: DataFrame) -> tuple[Column, Column]:
     """(hour of the first start, hour after the last end), as a scalar subquery over one row; at least one hour.
 
-    Both are null where there are no alarms; the grid is empty then.
+    Both are null where there are no alarms; the grid is empty then. Pass ``sound_intervals``.
     """
     microsecond = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(0.000001))
     first = F.date_trunc("hour", F.min("start"))
@@ -38,19 +68,41 @@ def region_hours(regions: DataFrame, start: str | Column, end: str | Column) ->
     return regions.select("region_id", F.explode(hours).alias("hour_ts"))
 
 
+def day_sweep(alarms: DataFrame, start: str | Column, end: str | Column) -> DataFrame:
+    """One row per (region, day) in which an alarm begins or ends: ``open`` alarms before the day and after each of its 24 hours, and the ``next_day`` of the region.
+
+    A sweep line: an alarm of positive length adds one at its first hour and takes one off after its last. The sums up to each hour of a day are
+    added before the shuffle, so any number of overlapping alarms is one row there; what is open is carried from day to day over
+    one row per day. Intervals are clipped to the grid.
+    """
+    first, stop = _hour_number(_timestamp(start)), _hour_number(_timestamp(end))
+    microsecond = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(0.000001))
+    begun = F.greatest(_hour_number(F.col("start")), first)
+    ended = F.least(_hour_number(F.col("end") - microsecond) + 1, stop)
+    edges = F.array(F.struct(begun.alias("at"), F.lit(1).alias("step")), F.struct(ended.alias("at"), F.lit(-1).alias("step")))
+    edge = alarms.where((F.col("end") > F.col("start")) & (begun < ended)).select("region_id", F.explode(edges).alias("e")).select(
+        "region_id", F.floor(F.col("e.at") / 24).alias("day"), F.pmod("e.at", F.lit(24)).alias("slot"), "e.step")
+    upto = [F.sum(F.when(F.col("slot") <= k, F.col("step")).otherwise(0)).alias(f"_{k}") for k in range(24)]
+    days = edge.groupBy("region_id", "day").agg(*upto)
+    by_day = Window.partitionBy("region_id").orderBy("day")
+    carried = F.coalesce(F.sum("_23").over(by_day.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    swept = days.select("region_id", "day", F.lead("day").over(by_day).alias("next_day"), carried.alias("before"), *[f"_{k}" for k in range(24)])
+    return swept.select("region_id", "day", "next_day", "before", F.array(*[F.col("before") + F.col(f"_{k}") for k in range(24)]).alias("open"))
+
+
 def active_hours(alarms: DataFrame, start: str | Column, end: str | Column) -> DataFrame:
     """Distinct region-hours touched by an alarm of positive length.
 
-    An interval becomes its hours first, which turns the overlap with the grid
-    into an equi-join; intervals are clipped to the grid before they expand.
+    Each hour leaves the sweep once, however many alarms cover it, which turns the overlap with the grid into an equi-join.
     """
-    inside = alarms.where(
-        (F.col("end") > F.col("start")) & (F.col("start") < _timestamp(end)) & (F.col("end") > _timestamp(start))
-    )
-    microsecond = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(0.000001))
-    first = F.greatest(F.date_trunc("hour", "start"), _timestamp(start))
-    last = F.least(F.date_trunc("hour", F.col("end") - microsecond), _timestamp(end) - _hours(1))
-    return inside.select("region_id", F.explode(F.sequence(first, last, _hours(1))).alias("hour_ts")).distinct()
+    stop = _hour_number(_timestamp(end))
+    day = F.col("day")
+    inside = F.filter(F.transform("open", lambda n, k: F.when(n > 0, day * 24 + k)), lambda hour: hour.isNotNull())
+    # Days without an edge up to the next one are open throughout or not at all.
+    between = F.when((F.get("open", F.lit(23)) > 0) & (F.col("next_day") > day + 1), F.sequence((day + 1) * 24, F.col("next_day") * 24 - 1))
+    hours = F.concat(inside, F.coalesce(between, F.array().cast("array<bigint>")))
+    return day_sweep(alarms, start, end).select("region_id", F.explode(hours).alias("hour")).where(F.col("hour") < stop).select(
+        "region_id", F.timestamp_seconds(F.col("hour") * 3600).alias("hour_ts"))
 
 
 def region_hour_flags(alarms: DataFrame, regions: DataFrame, start: str | Column, end: str | Column) -> DataFrame:

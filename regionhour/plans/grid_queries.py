@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regionhour.constants import HORIZONS, RANGES
+from regionhour.constants import ALARM_UPPER_BOUND, FIRST_DAY, HORIZONS, MAX_ALARM_HOURS, RANGES
 from regionhour.operators import grid as ops
 from regionhour.operators import reports, serving, weather
 from regionhour.plans import jobs
@@ -27,13 +27,19 @@ ROUNDED = [*[f"prev_{c}" for c in WEATHER_VALUES], "prev_score"]
 
 
 def span(v: Lenses, end: str | None = None) -> tuple[Column, str | Column]:
-    """From the hour of the first start to that of the last end, or to an earlier ``end``."""
-    first, last = ops.alarm_range(v.alarms)
+    """From the hour of the first start to that of the last end, or to an earlier ``end``; alarms after that are not read for it."""
+    placed = ops.sound_intervals(v.intervals)
+    first, last = ops.alarm_range(placed.where(F.col("start") < F.lit(end).cast("timestamp")) if end else placed)
     return first, end or last
 
 
 def flags(v: Lenses, end: str | None = None) -> DataFrame:
-    return ops.region_hour_flags(v.alarms, v.regions, *span(v, end))
+    return ops.region_hour_flags(ops.sound_intervals(v.intervals), v.regions, *span(v, end))
+
+
+def interval_faults(v: Lenses) -> DataFrame:
+    """How many alarms each rule keeps off the grid."""
+    return ops.rejected_intervals(v.intervals).groupBy("reason").agg(F.count(F.lit(1)).alias("alarms"))
 
 
 def labels(v: Lenses, end: str | None = None) -> DataFrame:
@@ -64,7 +70,7 @@ def hour_stamp(df: DataFrame) -> DataFrame:
 
 def feature_table(v: Lenses) -> DataFrame:
     out = jobs.feature_table(
-        v.alarms, v.regions, v.weather, day_features(v), *span(v), READINGS, WEATHER_VALUES, REPORT_VALUES
+        ops.sound_intervals(v.intervals), v.regions, v.weather, day_features(v), *span(v), READINGS, WEATHER_VALUES, REPORT_VALUES
     )
     return round_columns(hour_stamp(out), *ROUNDED)
 
@@ -79,7 +85,7 @@ def split_sizes(v: Lenses) -> DataFrame:
 
 
 def prediction(v: Lenses) -> DataFrame:
-    out = serving.prediction(forecast(v), serving.threat_mix(v.alarms, CUTOFF), v.regions, AT)
+    out = serving.prediction(forecast(v), serving.threat_mix(v.intervals, CUTOFF), v.regions, AT)
     kinds = F.explode(F.map_entries("threat_types")).alias("kind")
     names = [f"probability_{h}h" for h in HORIZONS]
     flat = out.select("region_id", F.col("center_city_en").alias("region_name"), "threat_level", *names, "updated_at", kinds)
@@ -92,7 +98,7 @@ def prediction(v: Lenses) -> DataFrame:
 
 def overlay(v: Lenses) -> DataFrame:
     """Active regions at a moment over all regions."""
-    active = serving.active_at(v.alarms, AT).groupBy("region_id").agg(
+    active = serving.active_at(v.intervals, AT).groupBy("region_id").agg(
         F.lit(True).alias("active"), F.lit("high").alias("threat_level")
     )
     out = serving.overlay_region_status(v.regions.select("region_id", "center_city_en"), active)
@@ -107,7 +113,7 @@ def region_crosswalk(v: Lenses) -> DataFrame:
 
 
 def current_alarms(v: Lenses) -> DataFrame:
-    out = serving.current_alarms(v.alarms, v.regions, forecast(v), AT)
+    out = serving.current_alarms(v.intervals, v.regions, forecast(v), AT)
     return out.withColumns({"active": F.col("active").cast("int"), "since": stamp("since")})
 
 
@@ -130,20 +136,27 @@ def stream_hourly_counts(v: Lenses) -> DataFrame:
 
 # --- the same rules in SQL --------------------------------------------------
 
+_FAULT = f"""
+    (CASE WHEN start_ts IS NULL OR end_ts IS NULL THEN 'no start or end' WHEN start_ts < TIMESTAMP '{FIRST_DAY}' THEN 'too early'
+          WHEN start_ts > TIMESTAMP '{ALARM_UPPER_BOUND}' THEN 'too late' WHEN end_ts < start_ts THEN 'end before start'
+          WHEN end_ts - start_ts > INTERVAL {MAX_ALARM_HOURS} HOUR THEN 'too long' END)"""
+
+
 def grid_views(end: str | None = None) -> dict[str, str]:
     hour = "INTERVAL 1 HOUR"
     stop = f"TIMESTAMP '{end}'" if end else "stop"
     overlap = "a.region_id = g.region_id AND a.start_ts < g.hour_ts + INTERVAL 1 HOUR AND a.end_ts > g.hour_ts AND a.end_ts > a.start_ts"
     return {
+        "sound": f"SELECT * FROM alarms WHERE {_FAULT} IS NULL",
         "bounds": f"""
             SELECT date_trunc('hour', min(start_ts)) AS first_hour,
                    greatest(date_trunc('hour', max(end_ts) - INTERVAL 1 MICROSECOND), date_trunc('hour', min(start_ts))) + {hour} AS stop
-            FROM alarms""",
+            FROM sound""",
         "hours": f"SELECT unnest(range(first_hour, {stop}, {hour})) AS hour_ts FROM bounds",
         "g": "SELECT region_id, hour_ts FROM regions, hours",
         "flags": f"""
             SELECT g.region_id, g.hour_ts, CAST(count(a.id) > 0 AS INT) AS is_alarm
-            FROM g LEFT JOIN alarms a ON {overlap} GROUP BY 1, 2""",
+            FROM g LEFT JOIN sound a ON {overlap} GROUP BY 1, 2""",
         "labels": "SELECT region_id, hour_ts, is_alarm, " + ", ".join(
             f"CASE WHEN count(*) OVER (PARTITION BY region_id ORDER BY hour_ts ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING) = {h} "
             f"THEN max(is_alarm) OVER (PARTITION BY region_id ORDER BY hour_ts ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING) END AS alarm_next_{h}h"
@@ -191,6 +204,8 @@ QUERIES = {
         f"SELECT region_id, {_STAMP.format('hour_ts')} AS hour_ts, is_alarm FROM flags", "alarms", "regions", extra=grid_views())),
     "horizon_labels": (lambda v: hour_stamp(labels(v)), with_views(
         f"SELECT * REPLACE ({_STAMP.format('hour_ts')} AS hour_ts) FROM labels", "alarms", "regions", extra=grid_views())),
+    "interval_faults": (interval_faults, with_views(f"""
+        SELECT reason, count(*) AS alarms FROM (SELECT {_FAULT} AS reason FROM alarms) WHERE reason IS NOT NULL GROUP BY 1""", "alarms")),
     "lagged_features": (
         lambda v: round_columns(hour_stamp(lagged(v)), *ROUNDED),
         with_views(f"SELECT * REPLACE ({_STAMP.format('hour_ts')} AS hour_ts) FROM lagged",
@@ -207,7 +222,7 @@ QUERIES = {
         lambda v: round_columns(forecast(v), *[f"probability_{h}h" for h in HORIZONS]),
         with_views(f"SELECT region_id, hour, {_PROBABILITIES} FROM forecast", "alarms", "regions", extra=FORECAST_VIEWS)),
     "threat_mix": (
-        lambda v: round_columns(serving.threat_mix(v.alarms, CUTOFF), "share"),
+        lambda v: round_columns(serving.threat_mix(v.intervals, CUTOFF), "share"),
         with_views("SELECT region_id, alert_type, round(share, 6) AS share FROM mix", "alarms", "regions", extra=FORECAST_VIEWS)),
     "prediction": (prediction, with_views(f"""
         SELECT region_id, center_city_en AS region_name, {_LEVEL} AS threat_level, {_PROBABILITIES}, '{AT}' AS updated_at,
@@ -215,7 +230,7 @@ QUERIES = {
         FROM forecast JOIN mix USING (region_id) JOIN regions USING (region_id) WHERE hour = {int(AT[11:13])}""",
         "alarms", "regions", extra=FORECAST_VIEWS)),
     "timeline": (
-        lambda v: round_columns(serving.timeline(forecast(v), serving.threat_mix(v.alarms, CUTOFF), TYPES), "probability", *TYPES),
+        lambda v: round_columns(serving.timeline(forecast(v), serving.threat_mix(v.intervals, CUTOFF), TYPES), "probability", *TYPES),
         with_views("""
         SELECT region_id, concat(lpad(CAST(hour AS VARCHAR), 2, '0'), ':00') AS hour, round(probability_1h, 6) + 0.0 AS probability, """
         + ", ".join(f"round(probability_1h * coalesce(max(share) FILTER (alert_type = '{t}'), 0), 6) + 0.0 AS {t}" for t in TYPES)
@@ -235,7 +250,7 @@ QUERIES = {
         SELECT id, region_city AS name, CASE region_city WHEN 'NATION_1' THEN 'one' WHEN 'NATION_2' THEN 'two'
                WHEN 'NATION_11' THEN 'eleven' ELSE region_city END AS region FROM alarms""", "alarms")),
     "alarms_today_stats": (
-        lambda v: round_columns(serving.alarms_today_stats(v.alarms, v.regions, forecast(v), AT), "avg_threat_level", "total_duration_today_hours"),
+        lambda v: round_columns(serving.alarms_today_stats(v.intervals, v.regions, forecast(v), AT), "avg_threat_level", "total_duration_today_hours"),
         with_views(f"""
         SELECT (SELECT count(DISTINCT region_id) FROM alarms WHERE {_ACTIVE}) AS active_alarms_count,
                (SELECT count(*) FROM regions) AS total_regions,

@@ -27,24 +27,29 @@ class Lenses:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     @cached_property
-    def alarms(self) -> DataFrame:
-        events, nation = self.table("events"), self.table("nation")
+    def intervals(self) -> DataFrame:
+        """Alarms by region id, without the region's name."""
         minutes = F.when(F.col("event_type") == "error", 1200).otherwise(60)
         seconds = F.when(F.col("event_id") % 97 == 0, 0).otherwise(
             F.round(F.col("value") * minutes).cast("long") - 600
         )
         start = F.col("ts").cast("timestamp")
         span = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)"))
-        return events.join(nation, F.col("n_nationkey") == F.col("user_id") % 25).select(
+        return self.table("events").select(
             F.col("event_id").alias("id"),
             ((F.col("user_id") % 25).cast("int") + 1).alias("region_id"),
-            F.col("n_name").alias("region_city"),
             F.when(F.col("event_type") == "view", 0).otherwise(1).alias("all_region"),
             F.col("event_type").alias("alert_type"),
             start.alias("start"),
             (start + span).alias("end"),
         )
 
+    @cached_property
+    def alarms(self) -> DataFrame:
+        nation = self.table("nation")
+        return self.intervals.join(nation, F.col("n_nationkey") == F.col("region_id") - 1).select(
+            "id", "region_id", F.col("n_name").alias("region_city"), "all_region", "alert_type", "start", "end")
+
     @cached_property
     def regions(self) -> DataFrame:
         return self.table("nation").select(

@@ -299,3 +299,39 @@ def test_crosswalk_passes_unknown_names_through(spark):
     assert got == {"Odessa Oblast": "odesa", "Atlantis": "Atlantis"}
     cities = serving.region_crosswalk(spark.createDataFrame([("Crimea",), ("Lutsk",)], "name string"), serving.crosswalk(spark, REGION_LOCATIONS))
     assert {r["name"]: r["region"] for r in cities.collect()} == {"Crimea": "Simferopol, Ukraine", "Lutsk": "Lutsk"}
+
+
+def test_overlapping_alarms_leave_the_sweep_once(spark):
+    """Random intervals against every hour they touch; a crowd of equal alarms, gaps of days and clipping among them."""
+    import datetime as dt
+    import random
+
+    pick = random.Random(12)
+    base = dt.datetime(2024, 1, 1)
+    rows = [(pick.randrange(3), base + dt.timedelta(seconds=pick.randrange(-90_000, 1_200_000)), pick.choice([0, 1, 1800, 3600, 7200, 90_000, 300_000]))
+            for _ in range(120)] + [(3, base + dt.timedelta(hours=5), 3600 * 60)] * 1000 + [(4, base + dt.timedelta(days=40), 3600)]
+    df = spark.createDataFrame([(r, s, s + dt.timedelta(seconds=n)) for r, s, n in rows], "region_id int, start timestamp, end timestamp").repartition(5)
+    first, last = base + dt.timedelta(hours=3), base + dt.timedelta(days=12, hours=7)
+    want = set()
+    for r, s, n in rows:
+        hour = s.replace(minute=0, second=0)
+        while n and hour < s + dt.timedelta(seconds=n):
+            if first <= hour < last:
+                want.add((r, hour))
+            hour += dt.timedelta(hours=1)
+    got = [(r["region_id"], r["hour_ts"]) for r in grid.active_hours(df, str(first), str(last)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_bad_dates_stay_off_the_grid(spark):
+    rows = [(1, 1, "2024-01-01 05:30:00", "2024-01-01 06:10:00"), (2, 1, "2024-01-01 08:00:00", "9999-12-31 00:00:00"), (3, 1, "1900-01-01 00:00:00", "1900-01-01 01:00:00"),
+            (4, 2, "2024-01-01 09:00:00", "2024-01-01 08:00:00"), (5, 2, None, "2024-01-01 08:00:00"), (6, 2, "9999-01-01 00:00:00", "9999-01-01 01:00:00")]
+    alarms = spark.createDataFrame(rows, "id int, region_id int, start string, end string").withColumns(
+        {c: F.col(c).cast("timestamp") for c in ("start", "end")})
+    regions = spark.createDataFrame([(1,), (2,)], "region_id int")
+    sound = grid.sound_intervals(alarms)
+    flags = grid.region_hour_flags(sound, regions, *grid.alarm_range(sound))
+    assert sorted((r["region_id"], r["hour_ts"].hour, r["is_alarm"]) for r in flags.collect()) == [(1, 5, 1), (1, 6, 1), (2, 5, 0), (2, 6, 0)]
+    assert {r["id"]: r["reason"] for r in grid.rejected_intervals(alarms).collect()} == {
+        2: "too long", 3: "too early", 4: "end before start", 5: "no start or end", 6: "too late"}
+    assert {r["id"] for r in grid.rejected_intervals(alarms, latest="9999-12-31").collect()} == {2, 3, 4, 5}
