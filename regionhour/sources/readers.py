@@ -8,10 +8,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regionhour import schemas
+from regionhour.operators.running import running_totals
+from regionhour.session import stored
+from regionhour.sources.versions import VersionedTable
 
+BLANKS = " \t\r\n"
 
-def _read_csv(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",") -> DataFrame:
-    """Columns of ``schema`` by their names in the header, in any order; others are ignored.
+
+def file_order() -> Column:
+    """Place of a row in its files: path, first byte of the split, row in it.
+
+    Spark packs splits into tasks by size, so row numbers alone follow sizes, not names. Inside a split
+    the task's own numbers grow with the lines; between splits the path and the first byte decide.
+    """
+    return F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")
+    )
+
+
+def _read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType, sep: str = ",", **more: Column) -> DataFrame:
+    """Columns of ``schema`` by their names in the header, in any order, then ``more``; others are ignored.
 
     A missing column and files whose headers differ are errors; a value that cannot be read is null.
     """
@@ -19,7 +35,8 @@ def _read_csv(spark: SparkSession, path: str, schema: T.StructType, sep: str = "
     missing = [name for name in schema.names if name not in rows.columns]
     if missing:
         raise ValueError(f"{path}: no column {', '.join(missing)}")
-    return rows.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
+    return rows.select(
+        *[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields], *[column.alias(name) for name, column in more.items()])
 
 
 def read_alarms(spark: SparkSession, path: str) -> DataFrame:
@@ -30,10 +47,9 @@ def read_regions(spark: SparkSession, path: str) -> DataFrame:
     return _read_csv(spark, path, schemas.REGIONS)
 
 
-def read_weather_csv(spark: SparkSession, path: str, schema: T.StructType = schemas.WEATHER_CSV) -> DataFrame:
-    """Wide rows as text, with ``line_no`` growing in file order. A missing path is an error."""
-    rows = _read_csv(spark, path, schema)
-    return rows.withColumn("line_no", F.monotonically_increasing_id())
+def read_weather_csv(spark: SparkSession, path: str | list[str], schema: T.StructType = schemas.WEATHER_CSV) -> DataFrame:
+    """Wide rows as text, with ``line_no`` (``file_order``) growing by file name, then by line. A missing path is an error."""
+    return _read_csv(spark, path, schema, line_no=file_order())
 
 
 def _file_name() -> Column:
@@ -164,7 +180,7 @@ def read_url_cache(spark: SparkSession, path: str) -> DataFrame:
     """Entries of a JSON object keyed by address, or of a table of entries; a missing or corrupt one is empty.
 
     The single-object form is read for migration. Caches kept by this package
-    are tables, which have no size limit.
+    are versioned tables, which have no size limit; their newest complete version counts.
     """
     try:
         return _read_cache(spark, path)
@@ -175,15 +191,60 @@ def read_url_cache(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _read_cache(spark: SparkSession, path: str) -> DataFrame:
-    if not path.endswith(".json"):
-        return spark.read.schema(schemas.SOURCE_ENTRY).parquet(path)
-    entries = F.from_json("value", T.MapType(T.StringType(), schemas.SOURCE_ENTRY))
-    return (
-        spark.read.text(path, wholetext=True)
-        .select(F.explode(entries).alias("key", "entry"))
-        .where(F.col("entry").isNotNull())
-        .select(F.coalesce("entry.url", "key").alias("url"), *[F.col(f"entry.{c}") for c in schemas.SOURCE_ENTRY.names[1:]])
-    )
+    if path.endswith(".json"):
+        return read_json_object(spark, path, schemas.SOURCE_ENTRY).where(F.col("entry").isNotNull()).select(
+            F.coalesce("entry.url", "key").alias("url"), *[F.col(f"entry.{c}") for c in schemas.SOURCE_ENTRY.names[1:]])
+    table = VersionedTable(spark, path)
+    if table.newest() is not None:
+        return table.read(schema=schemas.SOURCE_ENTRY)
+    return spark.read.schema(schemas.SOURCE_ENTRY).parquet(path)
+
+
+def read_json_object(spark: SparkSession, path: str, entry: T.StructType) -> DataFrame:
+    """``file, key, entry`` for each member of one JSON object per file, however long; a file that is not one object gives no rows.
+
+    The text is cut at every closing brace, which Spark can do from the middle of a file, so many tasks read one object. Whether
+    a piece begins inside a string follows from the quotes before it, and how deep it lies from the braces before it: both are sums
+    over the order of the pieces, taken inside each split and carried over the splits. A member ends where the depth is one
+    again; its pieces are put together (one, unless its strings hold braces or its values are nested) and parsed on their own. A member
+    that can't be parsed gives no row.
+    """
+    texts = spark.read.text(path, lineSep="}").select("value", file_order().alias("at"), F.col("_metadata.file_size").alias("size"))
+    # Escaped characters can't change the state, and no escape crosses a cut: a backslash before a brace is itself escaped.
+    runs = F.split(F.regexp_replace("value", r"\\.", ""), '"')
+    opened = F.transform(runs, lambda run: F.length(run) - F.length(F.replace(run, F.lit("{"), F.lit(""))))
+
+    def opens(odd: int) -> Column:
+        return F.aggregate(F.filter(opened, lambda n, k: k % 2 == odd), F.lit(0), lambda total, n: total + n)
+
+    pieces = stored(texts.select(
+        F.col("at.file").alias("file"), F.col("at.block").alias("block"), F.col("at.row").alias("row"), "value", "size",
+        (F.size(runs) - 1).alias("quotes"), opens(0).alias("opens_outside"), opens(1).alias("opens_inside")), "json_pieces")
+    # Every piece but perhaps the last has a brace behind it: the file's size tells.
+    ended = pieces.groupBy("file").agg(
+        F.max(F.struct("block", "row")).alias("last"), (F.sum(F.octet_length("value") + 1) == F.max("size")).alias("shut"))
+    order, chunk = ["block", "row"], F.col("block")
+    quoted = running_totals(pieces, {"quotes_upto": F.col("quotes")}, order, chunk, ["file"]).join(ended, "file")
+    inside = (F.col("quotes_upto") - F.col("quotes")) % 2 == 1
+    braced = (F.struct("block", "row") != F.col("last")) | F.col("shut")
+    marked = quoted.withColumns({
+        "closes": (braced & (F.col("quotes_upto") % 2 == 0)).cast("int"), "opens": F.when(inside, F.col("opens_inside")).otherwise(F.col("opens_outside"))})
+    deep = running_totals(marked, {"depth": F.col("opens") - F.col("closes")}, order, chunk, ["file"]).withColumn(
+        "ends", ((F.col("closes") == 1) & (F.col("depth") == 1)).cast("int"))
+    numbered = running_totals(deep, {"upto": F.col("ends")}, order, chunk, ["file"]).withColumn("member", F.col("upto") - F.col("ends"))
+    # One object: it begins with a brace and is shut once, with nothing but blanks behind it.
+    at, text = F.struct("block", "row"), F.trim(F.col("value"), F.lit(BLANKS))
+    sound = numbered.groupBy("file").agg(
+        F.startswith(F.min_by(text, at), F.lit("{")).alias("begins"), F.max_by("depth", at).alias("depth"), F.min("depth").alias("least"),
+        (F.max_by("quotes_upto", at) % 2).alias("open_string"), F.count_if((F.col("depth") == 0) & (F.col("closes") == 1)).alias("shut"),
+        F.max_by(F.when(F.col("closes") == 1, "").otherwise(text), at).alias("behind"),
+    ).where("begins AND depth = 0 AND least = 0 AND open_string = 0 AND shut = 1 AND behind = ''")
+    members = numbered.join(sound.select("file"), "file", "left_semi").groupBy("file", "member").agg(
+        F.array_sort(F.collect_list(F.struct("block", "row", "value"))).alias("parts"), F.max("ends").alias("whole")).where("whole = 1")
+    joined = F.array_join(F.col("parts.value"), "}")
+    body = F.regexp_replace(joined, r"\A[\s{,]*", "")
+    parsed = F.from_json(F.concat(F.lit("{"), body, F.lit("}}")), T.MapType(T.StringType(), entry))
+    return members.select("file", F.explode(parsed).alias("key", "entry"))
 
 
 def read_alert_snapshots(spark: SparkSession, directory: str, streaming: bool = False) -> DataFrame:

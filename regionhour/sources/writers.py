@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from regionhour.sources.versions import VersionedTable
+
 SPREAD = 4
 
 
@@ -67,8 +69,8 @@ def write_report_sources(documents: DataFrame, zone: str) -> str:
     )
 
 
-def write_cache(entries: DataFrame, zone: str, version: int) -> str:
-    """Next version of the cache table. A run reads one version and writes the next."""
-    path = processed_path(zone, f"url_cache/version={version}")
-    entries.write.mode("overwrite").parquet(path)
+def write_cache(entries: DataFrame, zone: str, version: int | None = None) -> str:
+    """Next version of the cache table, or ``version`` if nobody has begun it; readers take the newest complete one."""
+    path = processed_path(zone, "url_cache")
+    VersionedTable(entries.sparkSession, path).write(entries, version)
     return path
