@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +13,6 @@ from regionhour.plans.alarm_queries import round_columns, stamp
 from regionhour.plans.lenses import Lenses, with_views
 from regionhour.plans.report_queries import ARTICLE, LEXICON, daily_scores, plain_text
 from regionhour.plans.weather_queries import READINGS
-from regionhour.session import shared_dir
-from regionhour.streaming import alerts as streams
 
 CUTOFF = "2024-01-22"
 AT = "2024-01-22 13:30:00"
@@ -121,19 +117,6 @@ def first_alerts(v: Lenses) -> DataFrame:
     return serving.first_alert_per_region(v.alerts, "snapshot")
 
 
-def stream_hourly_counts(v: Lenses) -> DataFrame:
-    """The stream job over the events table, run to its end in update mode."""
-    schema = v.table("events").schema
-    events = (
-        v.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(v.sf_dir)
-        .select((F.col("user_id") % 25 + 1).alias("region_id"), F.col("ts").cast("timestamp").alias("ts"))
-    )
-    base = f"{shared_dir(v.spark)}/stream_hourly_counts/{uuid.uuid4().hex}"
-    counts = streams.hourly_counts(events, "region_id", "ts")
-    streams.write_updates(counts, f"{base}/table", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return hour_stamp(streams.read_updates(v.spark, f"{base}/table", ["hour_ts", "region_id"]))
-
-
 # --- the same rules in SQL --------------------------------------------------
 
 _FAULT = f"""
@@ -265,7 +248,4 @@ QUERIES = {
     "active_count": (
         lambda v: serving.active_count(first_alerts(v), "snapshot"),
         with_views("SELECT snapshot, count(*) AS active_count FROM f GROUP BY 1", "alerts", extra={"f": _FIRST_ALERTS})),
-    "stream_hourly_counts": (stream_hourly_counts, """
-        SELECT user_id % 25 + 1 AS region_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour_ts, count(*) AS alarms
-        FROM events GROUP BY 1, 2"""),
 }

@@ -2,25 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from regionhour.constants import VALIDATION_PHRASE
 from regionhour.functions.calendar import text_date
 from regionhour.operators import grid, links, quality, reports, weather
+from regionhour.schemas import SOURCE_ENTRY
 from regionhour.session import stored
+from regionhour.sources.readers import decode_body
+from regionhour.sources.versions import VersionedTable
+from regionhour.sources.writers import processed_path
 
 
-def report_job(captured: DataFrame, existing: DataFrame | None = None, force: bool = False) -> DataFrame:
-    """Captured pages (report_date, url, html) to classified reports.
+def report_job(
+    captured: DataFrame, existing: DataFrame | None = None, force: bool = False, phrase: str = VALIDATION_PHRASE
+) -> DataFrame:
+    """Captured pages (report_date, url, html) to classified reports; an accepted one holds ``phrase``.
 
     Pages of dates already present are not parsed; one join marks them for the parser and the status.
     """
     if existing is None or force:
-        return reports.classify_report(reports.extract_report_text(captured))
+        return reports.classify_report(reports.extract_report_text(captured), phrase=phrase)
     marked = reports.mark_present(captured, existing)
     fresh = F.when(~F.col(reports.PRESENT), F.col("html"))
     parsed = reports.extract_report_text(marked.withColumn("_fresh", fresh), "_fresh").drop("_fresh")
-    return reports.classify_report(parsed)
+    return reports.classify_report(parsed, phrase=phrase)
 
 
 def source_job(
@@ -32,6 +40,54 @@ def source_job(
     return entries, links.upsert_cache(cache, entries, force)
 
 
+def keep_cache(spark: SparkSession, path: str, entries: DataFrame, force: bool = False, keep: int = 2) -> int:
+    """Takes entries into the newest complete version of the cache and commits the result as the next one; returns its number."""
+    table = VersionedTable(spark, path)
+    version = table.write(links.upsert_cache(table.read(schema=SOURCE_ENTRY), entries, force))
+    table.remove_old(keep=keep)
+    return version
+
+
+def decoded_log(log: DataFrame) -> DataFrame:
+    """A raw fetch log (``content`` bytes and declared ``charset``) with ``body`` as text; only bodies that a title is read from are decoded."""
+    readable = F.col("failure").isNull() & (F.col("http_code") == 200)
+    return log.withColumn("body", F.when(readable, decode_body(F.col("content"), F.col("charset")))).drop("content", "charset")
+
+
+def _run_schema(report: T.StructField) -> T.StructType:
+    return T.StructType([report, T.StructField("pos", T.LongType()), *SOURCE_ENTRY.fields, T.StructField("origin", T.StringType())])
+
+
+def source_run(spark: SparkSession, zone: str, pages: DataFrame, log: DataFrame, report: str, force: bool = False) -> int | None:
+    """One run of the link job over captured pages and the raw log of fetches; returns the number of the run.
+
+    Reports that an earlier run has put out are left alone, unless ``force``. The others are parsed once; bodies are decoded and shrink to
+    titles where they are read, attempts collapse to one entry per address, and known addresses come from the newest cache. The run's
+    entries are committed before the cache takes them in: a run that ends between the two is repeated by nobody, and its
+    addresses are fetched again by the next run that meets them. A run without new reports writes nothing and returns None.
+    """
+    done = VersionedTable(spark, processed_path(zone, "source_runs"))
+    schema = _run_schema(pages.schema[report])
+    fresh = pages if force else pages.join(done.read_all(schema).select(report).distinct(), report, "left_anti")
+    urls = links.unique_report_urls(links.extract_footnote_links(fresh, [report]), report)
+    cache = VersionedTable(spark, processed_path(zone, "url_cache")).read(schema=SOURCE_ENTRY)
+    fetched = links.classify_fetch(links.collapse_attempts(decoded_log(log)))
+    entries = stored(links.resolve_with_cache(urls, cache, fetched, force), "source_entries")
+    if entries.isEmpty():
+        return None
+    run = done.write(entries.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]))
+    keep_cache(spark, processed_path(zone, "url_cache"), entries.select(*SOURCE_ENTRY.names), force)
+    return run
+
+
+def source_entries(spark: SparkSession, zone: str, kind: T.StructField) -> DataFrame:
+    """The entries of all runs, each report as its newest run left it, with ``run``."""
+    schema = _run_schema(kind)
+    rows = VersionedTable(spark, processed_path(zone, "source_runs")).read_all(schema).withColumnRenamed("version", "run")
+    newest = rows.groupBy(kind.name).agg(F.max("run").alias("run"))
+    return rows.join(newest, [kind.name, "run"], "left_semi")
+
+
 def weather_quality_job(rows: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """(status per city, issues) of wide weather rows. The day table, read three times, is stored."""
     kept = quality.weather_rows(rows)

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from regionhour.plans import alarm_queries, grid_queries, link_queries, report_queries, weather_queries
+from regionhour.plans import alarm_queries, grid_queries, link_queries, report_queries, storage_queries, stream_queries, weather_queries
 from regionhour.plans.lenses import Lenses
 
 _ALL: dict[str, tuple] = {}
-for _module in (alarm_queries, weather_queries, report_queries, link_queries, grid_queries):
+for _module in (alarm_queries, weather_queries, report_queries, link_queries, grid_queries, stream_queries, storage_queries):
     _ALL |= _module.QUERIES
 
 

@@ -63,6 +63,13 @@ class VersionedTable:
         finally:
             source.close()
 
+    def children(self, below: str, prefix: str) -> list[int]:
+        """Numbers of the folders ``<prefix><number>`` below a folder."""
+        return sorted(int(name[len(prefix):]) for name in self._names(below) if name.startswith(prefix) and name[len(prefix):].isdigit())
+
+    def remove(self, below: str) -> None:
+        self._fs.delete(self._at(below), True)
+
     def versions(self) -> list[int]:
         """Complete versions, oldest first."""
         return sorted(int(name[:-5]) for name in self._names("log") if name.endswith(".json") and name[:-5].isdigit())
@@ -112,6 +119,15 @@ class VersionedTable:
         own = schema or T.StructType.fromJson(json.loads(self.manifest(version).schema))
         return self.spark.read.schema(own).parquet(f"{self.path}/data/version={version}")
 
+    def read_all(self, schema: T.StructType) -> DataFrame:
+        """Rows of all complete versions with their ``version``, for tables that grow by a version a run."""
+        full = T.StructType([*schema.fields, T.StructField("version", T.LongType())])
+        complete = self.versions()
+        if not complete:
+            return self.spark.createDataFrame([], full)
+        paths = [f"{self.path}/data/version={version}" for version in complete]
+        return self.spark.read.schema(full).option("basePath", f"{self.path}/data").parquet(*paths)
+
     def remove_old(self, keep: int = 2, seconds: float = 0.0) -> list[int]:
         """Removes versions written more than ``seconds`` ago, but never the newest ``keep``; unfinished ones of that age below the newest go too.
 
@@ -127,6 +143,6 @@ class VersionedTable:
                 old = newest is not None and version < newest and now - float(self._read(f"log/{version}.claim")) >= seconds
             if old:
                 for below in (f"log/{version}.json", f"data/version={version}", f"log/{version}.claim"):
-                    self._fs.delete(self._at(below), True)
+                    self.remove(below)
                 gone.append(version)
         return gone

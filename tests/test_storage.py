@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regionhour import schemas
+from regionhour.plans import jobs
 from regionhour.sources import readers, versions, writers
 
 
@@ -120,3 +121,52 @@ def test_the_cache_goes_through_versions(spark, folder):
         writers.write_cache(cache, f"{folder}/processed", 2)
     with pytest.raises(ValueError):
         writers.write_cache(cache, f"{folder}/raw")
+
+
+def captured(spark, pages: dict[int, list[str]]):
+    """Pages whose endnotes list the addresses."""
+    html = {k: "<html><body><article><p>x</p><h3>Endnotes</h3><ol>" + "".join(f'<li><a href="{u}">[{i}] s</a></li>' for i, u in enumerate(v)) + "</ol></article></body></html>"
+            for k, v in pages.items()}
+    return spark.createDataFrame(list(html.items()), "page_id long, html string")
+
+
+LOG = "page_id long, attempt int, url string, http_code int, content_type string, content_length long, failure string, failure_detail string, final_url string, content binary, charset string"
+
+
+def test_the_link_job_goes_on_where_it_stopped(spark, folder):
+    title = "<html><title>Žluť é</title></html>"
+    log = spark.createDataFrame([
+        (1, 1, "http://a.org/x", 503, "text/html", None, None, None, None, b"", None), (1, 2, "http://a.org/x", 200, "text/html", None, None, None, "http://a.org/y", title.encode("utf-16"), "UTF-16"),
+        (1, 1, "http://b.org/x", 200, "text/html", None, None, None, None, "<title>caf\xe9</title>".encode("latin-1"), "iso-8859-1"),
+        (1, 1, "http://c.org/x", None, None, None, "timeout", "slow", None, None, None)], LOG)
+    zone = f"{folder}/processed"
+    one = captured(spark, {1: ["http://a.org/x", "http://b.org/x"], 2: ["http://c.org/x"]})
+    assert jobs.source_run(spark, zone, one, log, "page_id") == 1
+    assert jobs.source_run(spark, zone, one, log, "page_id") is None, "nothing new: nothing is written"
+    both = captured(spark, {1: ["http://changed.org/"], 2: ["http://c.org/x"], 3: ["http://a.org/x", "http://new.org/x"]})
+    assert jobs.source_run(spark, zone, both, log.limit(0), "page_id") == 2
+
+    def entries() -> list[tuple]:
+        rows = jobs.source_entries(spark, zone, one.schema["page_id"]).collect()
+        return sorted((r["page_id"], r["url"], r["title"], r["status"], r["origin"], r["run"]) for r in rows)
+
+    assert entries() == [
+        (1, "http://a.org/x", "Žluť é", "ok", "fetch", 1), (1, "http://b.org/x", "café", "ok", "fetch", 1), (2, "http://c.org/x", "[TIMEOUT]", "timeout", "fetch", 1),
+        (3, "http://a.org/x", "Žluť é", "ok", "cache", 2), (3, "http://new.org/x", "[UNRESOLVED]", "unresolved", "none", 2)]
+    assert jobs.source_run(spark, zone, both.where("page_id = 1"), log, "page_id", force=True) == 3
+    assert [e for e in entries() if e[0] == 1] == [(1, "http://changed.org", "[UNRESOLVED]", "unresolved", "none", 3)]
+    cache = readers.read_url_cache(spark, f"{zone}/url_cache")
+    assert {r["url"] for r in cache.collect()} == {"http://a.org/x", "http://b.org/x", "http://c.org/x", "http://new.org/x", "http://changed.org"}
+
+
+def test_stored_tables_are_read_by_partition(spark, folder):
+    days = [f"2024-01-{d:02d}" for d in range(1, 31)]
+    reports = spark.createDataFrame([(d, "u", "ok", 1, "t") for d in days for _ in range(3)], "date string, url string, status string, char_count int, text string")
+    path = writers.write_reports(reports, f"{folder}/processed")
+    table = readers.read_stored_reports(spark, path)
+    some = table.where(F.col("date").between("2024-01-05", "2024-01-06"))
+    assert some.count() == 6
+    scan = next(line for line in some._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")).splitlines() if "PartitionFilters" in line)
+    assert "2024-01-05" in scan
+    read = {f for r in some.select(F.input_file_name().alias("f")).distinct().collect() for f in [r["f"]]}
+    assert all("date=2024-01-05" in f or "date=2024-01-06" in f for f in read) and len(read) <= 2 * writers.SPREAD
