@@ -49,19 +49,12 @@ def forecast_file_quality(hours: DataFrame, keys: list[str], ranges: dict[str, t
 def forecast_document_quality(
     forecasts: DataFrame, keys: list[str], ranges: dict[str, tuple[float, float]] = RANGES
 ) -> DataFrame:
-    """The same counts from the array of each document: nothing is exploded or shuffled. ``keys`` name one document."""
-    hours = F.coalesce("forecast", F.array().cast(forecasts.schema["forecast"].dataType))
+    """The same counts from documents; ``keys`` name one document.
 
-    def total(of_hour) -> Column:
-        return F.aggregate(F.transform(hours, of_hour), F.lit(0).cast("bigint"), lambda a, b: a + b)
-
-    counted = forecasts.select(
-        *keys,
-        F.size(F.filter(hours, lambda h: h.isNotNull())).cast("bigint").alias("hours"),
-        total(lambda h: F.when(h.isNotNull(), _sum([h[f].isNull().cast("int") for f in ranges])).otherwise(0)).alias("nulls"),
-        total(lambda h: _sum([F.coalesce(~between_inclusive(h[f], b), F.lit(False)).cast("int") for f, b in ranges.items()])).alias("out_of_range"),
-    )
-    return _with_verdict(counted)
+    Hours leave their array inside generated code and are added up before the shuffle, which moves
+    one row per document. Counting inside the array would run every rule interpreted, at a third of the speed.
+    """
+    return forecast_file_quality(forecast_hours(forecasts, keys), keys, ranges)
 
 
 def _with_verdict(counted: DataFrame) -> DataFrame:

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BINS = 4096
+EDGES = 255  # one less than a power of two
+SKETCH = 2000
 
 
 def one_row(facts: DataFrame) -> Column:
@@ -89,43 +91,38 @@ def _rank(p: float) -> Column:
     return (F.col("total") - 1) * F.lit(p)
 
 
-def _narrow(values: DataFrame, by: list[str], value: str, probs: list[float], bin_name: str) -> DataFrame:
-    """Cut each range ``low .. high`` into bins and keep the bins that hold a wanted rank.
-
-    ``start`` is the number of rows before the range; range and start of the
-    result are those of its bin. Per group and quantile at most two bins stay,
-    so the table of kept bins is broadcast and drops everything else.
-    """
-    binned = values.withColumn(bin_name, value_bin(F.col(value), F.col("low"), F.col("high")))
-    to_here = Window.partitionBy(*by).orderBy(bin_name).rowsBetween(Window.unboundedPreceding, 0)
-    bins = (
-        binned.groupBy(*by, bin_name)
-        .agg(
-            F.sum("n").alias("_rows"), F.max("total").alias("total"), F.max("start").alias("start"),
-            F.min(value).alias("_low"), F.max(value).alias("_high"),
-        )
-        .withColumn("_end", F.col("start") + F.sum("_rows").over(to_here))
-        .withColumn("_start", F.col("_end") - F.col("_rows"))
-    )
-    holds_rank = [(F.col("_start") <= F.ceil(_rank(p))) & (F.col("_end") > F.floor(_rank(p))) for p in probs]
-    kept = bins.where(reduce(lambda x, y: x | y, holds_rank)).select(
-        *by, bin_name, F.col("_low").alias("low"), F.col("_high").alias("high"), F.col("_start").alias("start")
-    )
-    return binned.drop("low", "high", "start").join(F.broadcast(kept), [*by, bin_name])
+def _edge_bin(df: DataFrame, value: str, edges: str, name: str) -> DataFrame:
+    """Add the number of ``edges`` (sorted, ``EDGES`` of them) that are not above the value, by binary search."""
+    df = df.withColumn(name, F.lit(0))
+    step = (EDGES + 1) // 2
+    while step:
+        df = df.withColumn(name, F.col(name) + F.when(F.get(edges, F.col(name) + (step - 1)) <= F.col(value), step).otherwise(0))
+        step //= 2
+    return df
 
 
 def exact_quantiles(counts: DataFrame, by: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Linearly interpolated quantiles per group from ``value_counts``, named as in ``probs``.
 
-    The search narrows twice to the bins that hold a wanted rank, so even when
-    an outlier stretches the range only a sliver of the distinct values is
-    sorted, and each bin in its own task.
+    A mergeable sketch of the distinct values places the edges of ``EDGES + 1`` bins, so outliers and infinities don't stretch
+    them and a bin holds a small part of the distinct values wherever they crowd. The bins' exact row counts tell which of
+    them hold a wanted rank, at most two per quantile; only those are sorted, each in its own task.
     """
-    ranges = with_facts(counts, group_moments(counts, by, value).drop("mean"), by).withColumn("start", F.lit(0).cast("long"))
-    wide = _narrow(ranges, by, value, list(probs.values()), "_bin")
-    fine = _narrow(wide, [*by, "_bin"], value, list(probs.values()), "_sub_bin")
-    in_bin = Window.partitionBy(*by, "_bin", "_sub_bin").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = fine.withColumn("_end", F.col("start") + F.sum("n").over(in_bin)).withColumn("_start", F.col("_end") - F.col("n"))
+    marks = [(k + 1) / (EDGES + 1) for k in range(EDGES)]
+    sketch = counts.groupBy(*by).agg(F.percentile_approx(value, marks, SKETCH).alias("_edges"), F.sum("n").alias("total"))
+    binned = _edge_bin(with_facts(counts, sketch, by), value, "_edges", "_bin").drop("_edges")
+    to_here = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+    bins = (
+        binned.groupBy(*by, "_bin")
+        .agg(F.sum("n").alias("_rows"), F.max("total").alias("total"))
+        .withColumn("_upto", F.sum("_rows").over(to_here))
+        .withColumn("start", F.col("_upto") - F.col("_rows"))
+    )
+    holds_rank = [(F.col("start") <= F.ceil(_rank(p))) & (F.col("_upto") > F.floor(_rank(p))) for p in probs.values()]
+    kept = bins.where(reduce(lambda x, y: x | y, holds_rank)).select(*by, "_bin", "start")
+    in_bin = Window.partitionBy(*by, "_bin").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = binned.join(F.broadcast(kept), [*by, "_bin"]).withColumn("_end", F.col("start") + F.sum("n").over(in_bin)).withColumn(
+        "_start", F.col("_end") - F.col("n"))
 
     def at(position: Column) -> Column:
         return F.max(F.when((F.col("_start") <= position) & (position < F.col("_end")), F.col(value)))
@@ -135,11 +132,10 @@ def exact_quantiles(counts: DataFrame, by: list[str], value: str, probs: dict[st
         *[at(F.floor(_rank(p))).alias(f"_lo_{name}") for name, p in probs.items()],
         *[at(F.ceil(_rank(p))).alias(f"_hi_{name}") for name, p in probs.items()],
     )
+    low, high = (lambda name: F.col(f"_lo_{name}")), (lambda name: F.col(f"_hi_{name}"))
     return picked.select(*by, *[
-        (
-            F.col(f"_lo_{name}")
-            + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * (_rank(p) - F.floor(_rank(p)))
-        ).alias(name)
+        # Between two equal infinities nothing is added.
+        F.when(low(name) == high(name), low(name)).otherwise(low(name) + (high(name) - low(name)) * (_rank(p) - F.floor(_rank(p)))).alias(name)
         for name, p in probs.items()
     ])
 

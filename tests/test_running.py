@@ -108,3 +108,23 @@ def test_nan_is_missing(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (4.0,), (float("nan"),), (None,)], "x double")
     row = profile.describe(df, ["x"]).first()
     assert (row["count"], row["mean"], row["min"], row["median"], row["max"]) == (3, 7 / 3, 1.0, 2.0, 4.0)
+
+
+def test_quantiles_with_infinities_ties_and_crowds(spark):
+    """Exact where values crowd in one place, repeat by the thousand, or are infinite."""
+
+    pick = random.Random(21)
+    groups = {
+        "crowd": [1000 + pick.random() * 1e-6 for _ in range(1500)] + [1e300, -1e300], "ties": [0.0] * 3000 + [1.0] * 10 + [float(k) for k in range(20)],
+        "infinite": [float("-inf")] * 5 + [float(k) for k in range(7)] + [float("inf")] * 9, "single": [4.5], "all infinite": [float("inf")] * 3}
+    df = spark.createDataFrame([(g, x) for g, xs in groups.items() for x in xs], "g string, x double").repartition(4)
+    probs = {"p01": 0.01, "q1": 0.25, "median": 0.5, "q3": 0.75, "p99": 0.99}
+    got = {r["g"]: r for r in exact_quantiles(value_counts(df, ["g"], "x"), ["g"], "x", probs).collect()}
+    for g, xs in groups.items():
+        xs = sorted(xs)
+        for name, p in probs.items():
+            at = (len(xs) - 1) * p
+            low, high = xs[int(at)], xs[min(int(at) + (at > int(at)), len(xs) - 1)]
+            want = low if low == high else low + (high - low) * (at - int(at))
+            assert got[g][name] == pytest.approx(want, rel=1e-12), (g, name)
+    assert exact_quantiles(value_counts(df.limit(0), ["g"], "x"), ["g"], "x", probs).count() == 0
