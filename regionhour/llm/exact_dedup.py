@@ -1,17 +1,16 @@
-"""Exact deduplication: digests of groups of partitions merged in rounds, by hash aggregation.
-
-The entries of the input partitions with one number modulo ``runs`` are a run: one
-entry per digest with its best identifier and its count. Round by round, ``fan_in``
-neighbouring runs are exchanged and aggregated to one, until one run is left; that one
-stays spread over the cluster by digest. Runs are not sorted and not merged in order:
-hash aggregation stands in for a binomial merge of sorted runs. A group of copies is cut
-down to one entry per partition before it is first shuffled and shrinks in every round,
-so its size never matters.
+"""Exact deduplication: a binomial tree-merge of sorted runs of digests.
+
+The entries of the input partitions with one number modulo ``runs`` are a run. A run is sorted by digest and holds one entry per
+text: its proof, its best identifier and its number of copies. In round r the runs whose number has bit r set are exchanged to those without it,
+and two sorted runs are merged into one: Spark's sort aggregate walks the merged order and folds neighbours of equal proof, keeping the
+best identifier, which carries whether it is known. Equal digests are one text only if length and a second hash agree, at every level. A run
+is spread over the cluster by digest, also the last one, so no task ever holds a run. A group of copies is one
+entry per run after the first fold and halves with every round, so its size never matters.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regionhour.llm.common import digest, table
@@ -19,6 +18,7 @@ from regionhour.llm.common import digest, table
 # An entry is identified by its SHA-256, checked by byte length and a second hash:
 # texts that differ in one of the three are never merged, at any level.
 PROOF = ["sha", "octets", "check"]
+RUNS = 64  # six rounds
 
 
 def _entries(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -29,33 +29,37 @@ def _entries(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def merged_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest",
-                runs: int = 64, fan_in: int = 8) -> DataFrame:
-    """One row per distinct text: proof columns, ``best`` identifier, ``copies``.
+def _folded(level: DataFrame, run: Column, best) -> DataFrame:
+    """Entries of a run in order of their proof, neighbours of equal proof folded into one.
+
+    A struct can't be kept in a hash aggregate's buffer, so Spark sorts the run where it lies, folds it, exchanges it, and merges and folds what arrives.
+    """
+    return level.groupBy(run.alias("run"), *PROOF).agg(best("best").alias("best"), F.sum("copies").alias("copies"))
+
+
+def merged_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", runs: int = RUNS) -> DataFrame:
+    """One row per distinct text: proof columns, ``best`` identifier, ``copies``. ``runs`` is a power of two.
 
     Null identifiers lose against any other; a group of null identifiers has a null best.
     """
-    best = {"smallest": F.min, "largest": F.max}[keep]
-    level = _entries(docs, id_col, text_col).select(
-        (F.spark_partition_id() % runs).alias("run"), *PROOF, F.col("id").alias("best"), F.lit(1).cast("long").alias("copies"))
-    width = runs
-    level = level.groupBy("run", *PROOF).agg(best("best").alias("best"), F.sum("copies").alias("copies"))
-    while width > fan_in:
-        width = -(-width // fan_in)
-        level = level.groupBy(F.floor(F.col("run") / fan_in).alias("run"), *PROOF).agg(
-            best("best").alias("best"), F.sum("copies").alias("copies"))
-    return level.groupBy(*PROOF).agg(best("best").alias("best"), F.sum("copies").alias("copies"))
-
-
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest",
-                 runs: int = 64, fan_in: int = 8) -> DataFrame:
+    best, known = {"smallest": (F.min, F.col("id").isNull()), "largest": (F.max, F.col("id").isNotNull())}[keep]
+    entries = _entries(docs, id_col, text_col).select(
+        (F.spark_partition_id() % runs).alias("run"), *PROOF, F.struct(known.alias("known"), "id").alias("best"), F.lit(1).cast("long").alias("copies"))
+    level = _folded(entries, F.col("run"), best)
+    for bit in range(runs.bit_length() - 1):
+        # The other partner of a pair, i + 2^bit, brings its run to i.
+        level = _folded(level, F.col("run").bitwiseAND(F.lit(runs - 1 - (1 << bit))), best)
+    return level.select(*PROOF, F.col("best.id").alias("best"), "copies")
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", runs: int = RUNS) -> DataFrame:
     """One row per document: id, ``keep_id``, ``group_size`` (rows), ``kept``, ``text_sha256``.
 
     Null text counts as empty. Rows repeated with the id that stays are one
     document: all are marked kept. In a group whose ids are all null the rows
     are kept. Further columns are not read.
     """
-    final = merged_runs(docs, id_col, text_col, keep, runs, fan_in).select(
+    final = merged_runs(docs, id_col, text_col, keep, runs).select(
         F.lower(F.hex("sha")).alias("text_sha256"), F.col("octets").alias("_octets"), F.col("check").alias("_check"),
         F.col("best").alias("keep_id"), F.col("copies").alias("group_size"))
     text = F.coalesce(F.col(text_col), F.lit(""))

@@ -428,3 +428,15 @@ def test_toxic_spans_follow_the_text_as_it_is(spark):
     df = spark.createDataFrame([(1, text), (2, "aİb")], "doc_id bigint, text string")
     got = {r["doc_id"]: [text[p["start"]:p["stop"]] for p in r["passages"]] for r in toxicity.score(df, toxicity.Model(scores, 1.0, 0.1, (0.0, 1.0))).collect()}
     assert got == {1: ["Vile VILE"], 2: []}
+
+
+def test_runs_are_sorted_and_merged_in_binomial_rounds(spark):
+    """Each of the folds (one of the runs, six of pairs) sorts by run and digest on both sides of its exchange; nothing is hash-aggregated."""
+    docs = common.table(spark, SMALL, "documents", "doc_id", "text").repartition(70)
+    merged = exact_dedup.merged_runs(docs)
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortAggregate") == 14 and "HashAggregate" not in plan
+    assert plan.count("Exchange hashpartitioning(run") + plan.count("Exchange hashpartitioning((run") + plan.count("Exchange hashpartitioning(_groupingexpression") == 7
+    assert sum(r["copies"] for r in merged.collect()) == docs.count()
+    few = {(bytes(r["sha"]), r["best"], r["copies"]) for r in exact_dedup.merged_runs(docs, runs=2).collect()}
+    assert few == {(bytes(r["sha"]), r["best"], r["copies"]) for r in merged.collect()}
