@@ -106,7 +106,7 @@ def loose_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     found = []
     if "(" in text or "[" in text:
         for at in SPELLED_AT.finditer(text):
-            start = _local_start(text, at.start(), max(0, at.start() - 64))
+            start = _local_start(text, at.start(), 0)
             host = SPELLED_DOMAIN.match(text, at.end())
             if start < at.start() and host:
                 found.append((EMAIL, start, host.end()))
