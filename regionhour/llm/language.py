@@ -4,7 +4,8 @@ A suffix automaton of each language's training text finds longest matches: a tex
 is cut greedily into the longest phrases that occur there. The language that needs
 the fewest phrases, times the bits to point at one (log2 of its training length),
 wins. Texts are parsed in windows of ``WINDOW`` characters, side by side as numpy
-lanes, over their whole length; a phrase ends at a window's border.
+lanes, over their whole length; a phrase ends at a window's border. Greedy phrases are the fewest there are and parts of phrases are phrases,
+so a text gets at most one phrase more for each border, in every language alike.
 """
 
 from __future__ import annotations
@@ -22,11 +23,15 @@ from regionhour.llm.common import held_out, table
 
 WINDOW = 512
 ROWS_PER_LANGUAGE = 24  # training rows of a language, the least by hash, one in each of so many buckets
-LONGEST_TRAINING_ROW = 4096  # characters; of longer rows only the beginning is learned from, and only if a language has no others
+LONGEST_TRAINING_ROW = 4096  # characters; of a longer row a span of so many is learned from, at a place given by its hash
 LETTERS = 95  # the most frequent characters of the training texts have columns of a table; rarer ones are looked up
 SHARPNESS = 0.7
 UNDETERMINED = "und"
-LETTER = re.compile(r"[^\W\d_]")
+MAYBE_LETTER = re.compile(r"[^\W\d_]")  # also superscripts and fractions, which are none
+
+
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in MAYBE_LETTER.finditer(text))
 
 
 class SuffixAutomaton:
@@ -152,20 +157,18 @@ class Parser:
 def training_texts(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE, longest: int = LONGEST_TRAINING_ROW) -> dict[str, str]:
     """Texts to learn from by language, at most ``rows`` x ``longest`` characters each.
 
-    Of the rows that are not held out and have a language and a text of at most
-    ``longest`` characters, the least by hash in each of ``rows`` buckets. A language
-    that has longer rows only is learned from the first ``longest`` characters of such rows.
+    Of the rows that are not held out and have a language and a text that is not empty, the least by hash in each of ``rows``
+    buckets, whatever their length; of a text over ``longest`` characters a span of so many counts, at a place its hash gives.
     The choice covers all rows and takes one pass without their texts being moved.
     """
+    key = F.xxhash64("doc_id", "text")
+    begin = F.pmod(key, F.greatest(F.length("text") - longest, F.lit(0)) + 1) + 1
     able = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") >= 1)).select(
-        "lang", F.substring("text", 1, longest).alias("text"), (F.length("text") > longest).alias("long"), F.xxhash64("doc_id", "text").alias("key"))
-    # At most languages x rows x 2 numbers.
-    least = able.groupBy("lang", "long", F.pmod("key", F.lit(rows)).alias("bucket")).agg(F.min("key").alias("key")).select("lang", "long", "key")
-    first = least.groupBy("lang").agg(F.min("long").alias("long"))
-    chosen = least.join(first, ["lang", "long"])
-    out: dict[str, set[str]] = {}
+        "lang", F.substring("text", begin.cast("int"), F.lit(longest)).alias("text"), key.alias("key"))
+    # At most languages x rows numbers.
+    chosen = able.groupBy("lang", F.pmod("key", F.lit(rows)).alias("bucket")).agg(F.min("key").alias("key")).select("lang", "key")
     out: dict[str, set[str]] = {}
-    for r in able.join(F.broadcast(chosen), ["lang", "long", "key"]).collect():
+    for r in able.join(F.broadcast(chosen), ["lang", "key"]).collect():
         out.setdefault(r["lang"], set()).add(r["text"])
     return {name: "\n".join(sorted(texts)) for name, texts in out.items()}
 
@@ -193,7 +196,7 @@ def identify(docs: DataFrame, training: dict[str, str], slice_chars: int = 4_000
     def predicted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parser = _parser(shared.value)
         for batch in batches:
-            texts = [t if isinstance(t, str) and LETTER.search(t) else None for t in batch.text]
+            texts = [t if isinstance(t, str) and has_letter(t) else None for t in batch.text]
             names, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
             todo = [i for i, t in enumerate(texts) if t is not None] if parser.languages else []
             while todo:

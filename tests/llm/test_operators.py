@@ -200,7 +200,8 @@ def test_languages_with_long_rows_only_are_learned(spark):
     rows = [(i, text * n, name) for i, (text, n, name) in enumerate(6 * [("the word is here ", 9, "en"), ("das Wort ist hier ", 9, "de"), ("das Wort ist lang ", 900, "de"), ("la palabra larga ", 900, "es")])]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     got = language.training_texts(docs)
-    assert set(got) == {"en", "de", "es"} and "lang" not in got["de"] and got["es"].startswith("la palabra larga la") and len(max(got["es"].split("\n"), key=len)) == 4096
+    # Length decides nothing: long rows count beside short ones, by a span of the same length wherever it lies.
+    assert set(got) == {"en", "de", "es"} and "lang" in got["de"] and "hier" in got["de"] and {len(t) for t in got["es"].split("\n")} == {4096}
     assert {r["lang_pred"] for r in language.identify(docs.filter("lang = 'es'"), got).collect()} == {"es"}
 
 
