@@ -31,5 +31,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    own = {"op8_exact_dedup": exact_dedup.OP8_SQL, "op11_conversation_repair": conversation_repair.OP11_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    own = {"op4_warc": warc.OP4_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL, "op11_conversation_repair": conversation_repair.OP11_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
     return {name: sql for name, sql in own.items() if sql}

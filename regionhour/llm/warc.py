@@ -4,7 +4,8 @@ Archives are plain files in any store that Spark reaches. The writer gives
 Spark's text sink one value per frame; the separator it puts behind a value is an
 empty skippable frame, which every Zstandard reader passes over. The reader
 takes whole archives (``archive_bytes`` bounds them), loads the dictionary and
-decodes record by record.
+decodes record by record, each frame from the bytes that its own block headers span. What is damaged becomes a row
+with the ``error``; reading goes on at the next frame.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ SAMPLE_ROWS = 1024
 RECORD = T.StructType([
     T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("record_type", T.StringType()),
     T.StructField("payload_bytes", T.LongType()), T.StructField("payload_digest", T.StringType()),
-    T.StructField("refers_to", T.LongType()), T.StructField("payload", T.BinaryType()),
+    T.StructField("refers_to", T.LongType()), T.StructField("payload", T.BinaryType()), T.StructField("error", T.StringType()),
 ])
 
 
@@ -176,51 +177,87 @@ def write_archives(records: DataFrame, path: str, archive_bytes: int = ARCHIVE_B
         "maxRecordsPerFile", archive_rows).text(path)
 
 
-def frames_of(archive: bytes) -> Iterator[bytes]:
-    """Uncompressed content of each frame; the dictionary comes from the leading skippable frame."""
-    at, reader, book = 0, zstandard.ZstdDecompressor(), None
+def frame_end(archive: bytes, at: int) -> int:
+    """Where the frame at ``at`` ends: its header, blocks up to the last one, and a checksum if it says so."""
+    def need(stop: int) -> int:
+        if stop > len(archive):
+            raise ValueError(f"the archive ends inside the frame at byte {at}")
+        return stop
+
+    flags = archive[need(at + 5) - 1]
+    single, name, size = flags >> 5 & 1, (0, 1, 2, 4)[flags & 3], flags >> 6
+    place = at + 5 + (1 - single) + name + ((1 << size) if size else single)
+    last = False
+    while not last:
+        header = int.from_bytes(archive[place:need(place + 3)], "little")
+        last, kind, length = bool(header & 1), header >> 1 & 3, header >> 3
+        if kind == 3:
+            raise ValueError(f"a block of no known kind at byte {place}")
+        place = need(place + 3 + (1 if kind == 1 else length))
+    return need(place + (4 if flags & 4 else 0))
+
+
+def frames_of(archive: bytes) -> Iterator[bytes | ValueError]:
+    """Uncompressed content of each frame, or what is wrong with it; the dictionary comes from the leading skippable frame."""
+    at, reader = 0, zstandard.ZstdDecompressor()
     while at < len(archive):
         magic = archive[at:at + 4]
-        if SKIPPABLE.fullmatch(magic):
-            length = int.from_bytes(archive[at + 4:at + 8], "little")
-            body = archive[at + 8:at + 8 + length]
-            if len(archive) < at + 8 + length:
-                raise ValueError("the archive ends inside a skippable frame")
-            if magic == DICTIONARY:
-                if at:
-                    raise ValueError("a dictionary must lead the archive")
-                if body[:4] == FRAME:  # the dictionary may itself be compressed
-                    body = zstandard.ZstdDecompressor().decompress(body)
-                book = zstandard.ZstdCompressionDict(body, dict_type=zstandard.DICT_TYPE_FULLDICT)
-                reader = zstandard.ZstdDecompressor(dict_data=book)
-            at += 8 + length
-        elif magic == FRAME:
-            one = reader.decompressobj()
-            content = one.decompress(memoryview(archive)[at:])
-            if not one.eof:
-                raise ValueError("the archive ends inside a frame")
-            yield content
-            at = len(archive) - len(one.unused_data)
-        else:
-            raise ValueError(f"no frame at byte {at}")
+        try:
+            if SKIPPABLE.fullmatch(magic):
+                length = int.from_bytes(archive[at + 4:at + 8], "little")
+                stop = at + 8 + length
+                if len(archive) < max(stop, at + 8):
+                    raise ValueError(f"the archive ends inside the skippable frame at byte {at}")
+                if magic == DICTIONARY:
+                    if at:
+                        raise ValueError("a dictionary must lead the archive")
+                    body = archive[at + 8:stop]
+                    if body[:4] == FRAME:  # the dictionary may itself be compressed
+                        body = zstandard.ZstdDecompressor().decompress(body)
+                    reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(body, dict_type=zstandard.DICT_TYPE_FULLDICT))
+            elif magic == FRAME:
+                stop = frame_end(archive, at)
+                one = reader.decompressobj()
+                content = one.decompress(memoryview(archive)[at:stop])
+                if not one.eof:
+                    raise ValueError(f"the frame at byte {at} is not whole")
+                yield content
+            else:
+                raise ValueError(f"no frame at byte {at}")
+            at = stop
+        except (ValueError, zstandard.ZstdError) as wrong:
+            yield ValueError(f"{wrong} (frame at byte {at})")
+            # The next frame begins with the magic number; a place that only looks like it fails again and is passed over.
+            at = archive.find(FRAME, at + 1)
+            if at < 0:
+                return
+
+
+def _row(raw: bytes | ValueError) -> tuple:
+    if isinstance(raw, bytes):
+        try:
+            return (*parse_record(raw), None)
+        except ValueError as wrong:  # also text that is not UTF-8
+            raw = wrong
+    return (*[None] * 7, str(raw)[:500])
 
 
 def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = RECORD.fieldNames()
+    names, whole = RECORD.fieldNames(), ["page_id", "payload_bytes", "refers_to"]
     for batch in batches:
         for archive in batch.content:
             rows, size = [], 0
             for raw in frames_of(bytes(archive)):
-                rows.append(parse_record(raw))
-                size += len(raw)
+                rows.append(_row(raw))
+                size += len(raw) if isinstance(raw, bytes) else 0
                 if size > 4 << 20:
-                    yield pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+                    yield pd.DataFrame(rows, columns=names).astype(dict.fromkeys(whole, "Int64"))
                     rows, size = [], 0
-            yield pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+            yield pd.DataFrame(rows, columns=names).astype(dict.fromkeys(whole, "Int64"))
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """All records of the archives under ``path``; a damaged record stops the job with what is wrong with it."""
+    """All records of the archives under ``path``; a damaged one is a row of nulls with the ``error``."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     # One archive to a batch and no more: archives are the unit of memory.
     return files.select("content").mapInPandas(_records, RECORD)
@@ -230,3 +267,11 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = step_path(spark, "archives")
     write_archives(choose_records(table(spark, sf_dir, "pages", "page_id", "url", "html")), path)
     return read_archives(spark, path).drop("payload", "url")
+
+
+# Nothing is damaged, so no row has an error.
+OP4_SQL = f"""
+    SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, sha256(payload) AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN again THEN first_id END AS refers_to, CAST(NULL AS VARCHAR) AS error
+    FROM (SELECT *, strlen(payload) >= {LEAST_REVISIT} AND page_id IS DISTINCT FROM first_id AS again
+          FROM (SELECT page_id, coalesce(html, '') AS payload, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id FROM pages))"""
