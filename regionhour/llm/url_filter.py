@@ -21,6 +21,7 @@ RULES = [
     ("com", "/fr/", "allow"), ("com", "/de/", "block"),
 ]
 TRAINING_ROWS = 20_000  # labelled addresses that the trees are fitted on, chosen by hash
+FOLDS = 5  # hosts are dealt to folds by hash
 SUFFIX_BUCKETS = 1024  # suffixes are hashed, so their table has a fixed size
 FEATURES = ["length", "host_length", "path_length", "depth", "labels", "digit_ratio", "entropy", "parameters", "hyphens",
             "suffix_rate", "suffix_seen"]
@@ -71,31 +72,67 @@ def features(pages: DataFrame, url_col: str = "url") -> DataFrame:
     })
 
 
+def _rates(known: DataFrame, *by: str) -> DataFrame:
+    """Blocked and all labelled addresses per suffix (and fold); at most SUFFIX_BUCKETS x FOLDS rows."""
+    return known.groupBy("suffix", *by).agg(F.sum("label").alias("blocked"), F.count(F.lit(1)).alias("n"))
+
+
+def _assembled(rows: DataFrame, blocked: Column, n: Column) -> DataFrame:
+    """Adds the feature vector; a suffix's rate is pulled towards one half."""
+    both = rows.withColumns({"suffix_rate": (blocked + 1) / (n + 2), "suffix_seen": F.log1p(n)})
+    return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(both)
+
+
+def labelled(seen: DataFrame) -> DataFrame:
+    """The addresses that a rule decides, with ``label`` (1: block) and the ``fold`` of their host."""
+    return seen.filter(F.col("found").isNotNull()).withColumns({
+        "label": (F.col("found.verdict") == "block").cast("double"), "fold": F.pmod(F.xxhash64("host"), F.lit(FOLDS))})
+
+
+class Judge:
+    """Trees fitted on labelled addresses. While they are fitted, a row's suffix statistics come from the hosts of other folds, so they never hold its own label."""
+
+    def __init__(self, known: DataFrame, training_rows: int = TRAINING_ROWS):
+        self.rates = _rates(known)
+        own = _rates(known, "fold").select("suffix", "fold", F.col("blocked").alias("own_blocked"), F.col("n").alias("own_n"))
+        chosen = known.orderBy(F.xxhash64("url"), "page_id").limit(training_rows)
+        joined = chosen.join(F.broadcast(self.rates), "suffix").join(F.broadcast(own), ["suffix", "fold"])
+        sample = _assembled(joined, F.col("blocked") - F.col("own_blocked"), F.col("n") - F.col("own_n")).select("features", "label").persist()
+        labels = {r["label"] for r in sample.select("label").distinct().collect()}
+        self.constant = None if labels == {0.0, 1.0} else max(labels, default=0.0)
+        if self.constant is None:
+            self.model = GBTClassifier(maxIter=12, maxDepth=3, stepSize=0.3, seed=7, maxBins=32, subsamplingRate=1.0).fit(sample)
+        sample.unpersist()
+
+    def score(self, seen: DataFrame) -> DataFrame:
+        """``seen`` with ``block_score``: the trees' probability, or the only label there is."""
+        if self.constant is not None:
+            return seen.withColumn("block_score", F.lit(self.constant))
+        rated = seen.join(F.broadcast(self.rates), "suffix", "left").fillna({"blocked": 0.0, "n": 0})
+        return self.model.transform(_assembled(rated, F.col("blocked"), F.col("n"))).withColumn("block_score", vector_to_array("probability")[1])
+
+
+def held_out_agreement(pages: DataFrame, rules=RULES, training_rows: int = TRAINING_ROWS) -> tuple[int, int]:
+    """(addresses judged as their rule says, all) of the hosts of one fold, by trees that saw neither these hosts nor their labels."""
+    known = labelled(_seen(pages, rules))
+    scored = Judge(known.filter("fold <> 0"), training_rows).score(known.filter("fold = 0"))
+    row = scored.agg(F.count_if((F.col("block_score") >= 0.5) == (F.col("label") == 1)).alias("same"), F.count(F.lit(1)).alias("n")).first()
+    return row["same"], row["n"]
+
+
+def _seen(pages: DataFrame, rules) -> DataFrame:
+    return features(pages.select("page_id", "url")).withColumn("found", match_rule(F.col("host"), F.col("path"), rules))
+
+
 def judge(pages: DataFrame, rules=RULES, training_rows: int = TRAINING_ROWS) -> DataFrame:
-    """``page_id, host, path, rule, verdict, block_score`` per row of ``pages`` (page_id, url).
+    """``page_id, host, path, rule, verdict, block_score`` per row of ``pages`` (page_id, url; further columns are not read).
 
     Null addresses have empty host and path and are judged by the trees. If the
     labelled addresses are all of one verdict, the rest get it too; if there are
     none, the rest are allowed. Repeated rows are judged alike.
     """
-    seen = features(pages).withColumn("found", match_rule(F.col("host"), F.col("path"), rules))
-    known = seen.filter(F.col("found").isNotNull()).withColumn("label", (F.col("found.verdict") == "block").cast("double"))
-    # Rates over all labelled rows, pulled towards one half; at most SUFFIX_BUCKETS rows.
-    rates = known.groupBy("suffix").agg(((F.sum("label") + 1) / (F.count(F.lit(1)) + 2)).alias("suffix_rate"), F.log1p(F.count(F.lit(1))).alias("suffix_seen"))
-
-    def with_rates(df: DataFrame) -> DataFrame:
-        both = df.join(F.broadcast(rates), "suffix", "left").fillna({"suffix_rate": 0.5, "suffix_seen": 0.0})
-        return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(both)
-
-    sample = with_rates(known.orderBy(F.xxhash64("url"), "page_id").limit(training_rows)).select("features", "label").persist()
-    labels = {r["label"] for r in sample.select("label").distinct().collect()}
-    ready = with_rates(seen)
-    if labels == {0.0, 1.0}:
-        model = GBTClassifier(maxIter=12, maxDepth=3, stepSize=0.3, seed=7, maxBins=32, subsamplingRate=1.0).fit(sample)
-        scored = model.transform(ready).withColumn("block_score", vector_to_array("probability")[1])
-    else:
-        scored = ready.withColumn("block_score", F.lit(max(labels, default=0.0)))
-    sample.unpersist()
+    seen = _seen(pages, rules)
+    scored = Judge(labelled(seen), training_rows).score(seen)
     own = F.when(F.col("block_score") >= 0.5, "block").otherwise("allow")
     return scored.select("page_id", "host", "path", F.col("found.rule").alias("rule"),
                          F.coalesce("found.verdict", own).alias("verdict"), "block_score")
