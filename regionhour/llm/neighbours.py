@@ -34,7 +34,7 @@ BITS = 62
 TREES = 8
 CELL_ROWS = 65_536
 CELL = ["dim", "tree", "prefix"]
-BLOCK_VALUES = 1 << 22  # numbers of a block's rows, and of its queries, which bounds a task's memory at any vector length
+BLOCK_VALUES = 1 << 19  # numbers of a block's rows, and of its queries: bounds a task's memory at any vector length and stays near the processor's caches
 # Part of the sampled queries' nearest rows that the fitted number of places has to reach.
 RECALL = 0.95
 SAMPLE = 256
