@@ -39,6 +39,7 @@ BLOCK_VALUES = 1 << 19  # numbers of a block's rows, and of its queries: bounds
 RECALL = 0.95
 SAMPLE = 256
 FEWEST_SAMPLED = 32
+MOST_TASKS = 10_000
 TOP = 20
 SEED = 11
 
@@ -228,7 +229,7 @@ def candidates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     held, asked = (by_tree(df, strings).withColumn("query", F.lit(query)) for df, strings, query in ((hashed, "hs", False), (queries, "qs", True)))
     # One row for each cell that holds rows.
     cells = step(held.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n")).withColumn(
-        "parts", F.ceil(F.col("n") * F.col("dim") / block_values).cast("int")), "cells")
+        "parts", F.ceil(F.col("n") / block_values).cast("int")), "cells")  # strings only, one number a row
     gains = _dealt(held, asked, cells, CELL, block_values).groupBy(*CELL, "part", "chunk").applyInPandas(
         _descend(first), "vec_id bigint, dim int, tree int, level int, n bigint")
     if first:
@@ -260,8 +261,11 @@ def candidates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     goes = reach.withColumn("query", F.lit(True)).join(visits, ["vec_id", "dim"])
     sized = cells.filter("tree = 0").select("dim", F.col("prefix").alias("home"), F.ceil(
         F.col("n") * (F.col("dim") + trees) / block_values).cast("int").alias("parts"))
-    return _dealt(places, goes.select(*places.columns), sized, ["dim", "home"], block_values).groupBy(
-        "dim", "home", "part", "chunk").applyInPandas(_ascend(top), "query_id bigint, vec_id bigint, score double, scored bigint")
+    # Few bytes mean much work here, so adaptive execution may not merge these tasks.
+    tasks = min(MOST_TASKS, 4 * sum(math.ceil(r["n"] * (r["dim"] + trees) / block_values) for r in sizes))
+    block = ["dim", "home", "part", "chunk"]
+    return _dealt(places, goes.select(*places.columns), sized, ["dim", "home"], block_values).repartition(tasks, *block).groupBy(
+        *block).applyInPandas(_ascend(top), "query_id bigint, vec_id bigint, score double, scored bigint")
 
 
 def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, top: int = TOP,
