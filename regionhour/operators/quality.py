@@ -131,17 +131,17 @@ def split_day_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     return days, hours
 
 
-def _issue(condition: Column, category: str, message: Column) -> Column:
-    return F.when(
-        condition, F.struct(F.lit("ERROR").alias("severity"), F.lit(category).alias("category"), message.alias("message"))
-    )
+# Condition, category and message of one check; a null condition is no issue.
+Rule = tuple[Column, str, Column]
 
 
 def _text(*parts: str | Column) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
-def _explode_issues(df: DataFrame, issues: list[Column]) -> DataFrame:
+def _explode_issues(df: DataFrame, rules: list[Rule]) -> DataFrame:
+    issues = [F.when(condition, F.struct(F.lit("ERROR").alias("severity"), F.lit(category).alias("category"), message.alias("message")))
+              for condition, category, message in rules]
     return (
         df.select(*DAY_KEY, "file", F.explode(F.array(*issues)).alias("issue"))
         .where(F.col("issue").isNotNull())
@@ -149,66 +149,76 @@ def _explode_issues(df: DataFrame, issues: list[Column]) -> DataFrame:
     )
 
 
-def day_level_issues(days: DataFrame, strict: bool = False) -> DataFrame:
-    """Wrong number of hours and coordinates outside the area.
+def _count_issues(df: DataFrame, rules: list[Rule]) -> DataFrame:
+    """``city, issues`` straight from the conditions: no message is built and no row is made for an issue."""
+    met = _sum([F.coalesce(condition, F.lit(False)).cast("long") for condition, _, _ in rules])
+    return df.groupBy("city").agg(F.sum(met).alias("issues"))
 
-    A coordinate of exactly 0 passes unless ``strict``.
-    """
-    issues = [_issue(
-        F.col("n_hours") != EXPECTED_HOURS,
-        "CHRONOLOGY",
-        _text(f"Expected {EXPECTED_HOURS}h, found ", F.col("n_hours"), "h"),
-    )]
+
+def _day_rules(strict: bool) -> list[Rule]:
+    rules = [(F.col("n_hours") != EXPECTED_HOURS, "CHRONOLOGY", _text(f"Expected {EXPECTED_HOURS}h, found ", F.col("n_hours"), "h"))]
     for name, column, bounds in (("Lat", "latitude", LATITUDE), ("Lon", "longitude", LONGITUDE)):
         c = safe_double(F.col(column))
         tested = c.isNotNull() if strict else c.isNotNull() & (c != 0)
-        issues.append(_issue(tested & ~between_inclusive(c, bounds), "GEOGRAPHY", _text(f"{name} ", c, " outside Ukraine")))
-    return _explode_issues(days, issues)
+        rules.append((tested & ~between_inclusive(c, bounds), "GEOGRAPHY", _text(f"{name} ", c, " outside Ukraine")))
+    return rules
 
 
-def hour_level_issues(hours: DataFrame) -> DataFrame:
-    """Hours beyond the day's extremes, and missing or impossible required values; one pass over the hours."""
-    numbers = hours.select(*DAY_KEY, "file", "hour_datetime", *[
-        safe_double(F.col(c)).alias(c) for c in ("day_tempmax", "day_tempmin", *REQUIRED_HOURLY)
-    ])
+def _numbers(hours: DataFrame, *columns: str) -> DataFrame:
+    return hours.select(*columns, *[safe_double(F.col(c)).alias(c) for c in ("day_tempmax", "day_tempmin", *REQUIRED_HOURLY)])
+
+
+def _hour_rules() -> list[Rule]:
+    """Rules over ``_numbers``, with the clock in ``hour_datetime``."""
     temp, top, bottom = F.col("hour_temp"), F.col("day_tempmax"), F.col("day_tempmin")
-    comparable = ~F.isnan(temp) & ~F.isnan(top)
-    comparable_low = ~F.isnan(temp) & ~F.isnan(bottom)
     clock = F.coalesce("hour_datetime", F.lit("None"))
-    issues = [
-        _issue(
-            comparable & (temp > top + DAY_TOLERANCE), "CONSISTENCY",
-            _text("Hour ", clock, ": ", temp, " > Day Max ", top),
-        ),
-        _issue(
-            comparable_low & (temp < bottom - DAY_TOLERANCE), "CONSISTENCY",
-            _text("Hour ", clock, ": ", temp, " < Day Min ", bottom),
-        ),
+    rules = [
+        (~F.isnan(temp) & ~F.isnan(top) & (temp > top + DAY_TOLERANCE), "CONSISTENCY", _text("Hour ", clock, ": ", temp, " > Day Max ", top)),
+        (~F.isnan(temp) & ~F.isnan(bottom) & (temp < bottom - DAY_TOLERANCE), "CONSISTENCY", _text("Hour ", clock, ": ", temp, " < Day Min ", bottom)),
     ]
     for name in REQUIRED_HOURLY:
         bounds = RANGES[name.removeprefix("hour_")]
         value = F.col(name)
-        issues.append(_issue(value.isNull(), "NULL", F.lit(f"Empty {name}")))
-        issues.append(_issue(
-            value.isNotNull() & ~between_inclusive(value, bounds), "RANGE",
-            _text(f"{name}=", value, f" out of {bounds[0]}..{bounds[1]}"),
-        ))
-    return _explode_issues(numbers, issues)
+        rules.append((value.isNull(), "NULL", F.lit(f"Empty {name}")))
+        rules.append((value.isNotNull() & ~between_inclusive(value, bounds), "RANGE", _text(f"{name}=", value, f" out of {bounds[0]}..{bounds[1]}")))
+    return rules
+
+
+def day_level_issues(days: DataFrame, strict: bool = False) -> DataFrame:
+    """Wrong number of hours and coordinates outside the area.
+
+    A coordinate of exactly 0 passes unless ``strict``.
+    """
+    return _explode_issues(days, _day_rules(strict))
+
+
+def hour_level_issues(hours: DataFrame) -> DataFrame:
+    """Hours beyond the day's extremes, and missing or impossible required values; one pass over the hours."""
+    return _explode_issues(_numbers(hours, *DAY_KEY, "file", "hour_datetime"), _hour_rules())
 
 
 def weather_day_issues(days: DataFrame, hours: DataFrame, strict: bool = False) -> DataFrame:
     return day_level_issues(days, strict).unionByName(hour_level_issues(hours))
 
 
+def _with_bounds(rows: DataFrame, days: DataFrame) -> DataFrame:
+    return weather_hour_rows(rows).join(days.select(*DAY_KEY, "day_tempmax", "day_tempmin"), DAY_KEY)
+
+
 def csv_day_issues(rows: DataFrame, days: DataFrame, strict: bool = False) -> DataFrame:
     """Issues straight from wide rows; hours meet their day through an equi-join, nothing is nested.
 
     ``days`` is the table of ``weather_day_table``. It is read more than once, so
     long runs hand in a stored one.
     """
-    filed = days.withColumn("file", F.concat("date", F.lit(".json")))
-    hours = weather_hour_rows(rows).join(filed.select(*DAY_KEY, "file", "day_tempmax", "day_tempmin"), DAY_KEY)
-    return weather_day_issues(filed, hours, strict)
+    file = F.concat("date", F.lit(".json")).alias("file")
+    return weather_day_issues(days.select("*", file), _with_bounds(rows, days).select("*", file), strict)
+
+
+def csv_issue_counts(rows: DataFrame, days: DataFrame, strict: bool = False) -> DataFrame:
+    """``city, issues``: how many rows ``csv_day_issues`` has per city, for every city that has a day."""
+    of_hours = _count_issues(_numbers(_with_bounds(rows, days), "city", "hour_datetime"), _hour_rules())
+    return _count_issues(days, _day_rules(strict)).unionByName(of_hours).groupBy("city").agg(F.sum("issues").alias("issues"))
 
 
 def city_coverage(days: DataFrame, date: Column) -> DataFrame:
@@ -227,6 +237,15 @@ def city_quality_status(coverage: DataFrame, issues: DataFrame) -> DataFrame:
     counted = issues.groupBy("city").agg(
         F.count(F.lit(1)).alias("issues"), F.count_if(F.col("severity") == "ERROR").alias("errors")
     )
+    return _with_counts(coverage, counted)
+
+
+def city_status_of_counts(coverage: DataFrame, counts: DataFrame) -> DataFrame:
+    """The same from ``csv_issue_counts``; all of its issues are errors."""
+    return _with_counts(coverage, counts.withColumn("errors", F.col("issues")))
+
+
+def _with_counts(coverage: DataFrame, counted: DataFrame) -> DataFrame:
     return (
         coverage.join(counted, "city", "left")
         .fillna(0, ["issues", "errors"])

@@ -88,13 +88,24 @@ def source_entries(spark: SparkSession, zone: str, kind: T.StructField) -> DataF
     return rows.join(newest, [kind.name, "run"], "left_semi")
 
 
+def weather_issues(rows: DataFrame, strict: bool = False) -> DataFrame:
+    """All issues of wide weather rows."""
+    kept = quality.weather_rows(rows)
+    return quality.csv_day_issues(kept, quality.weather_day_table(kept), strict)
+
+
+def weather_issue_counts(rows: DataFrame, strict: bool = False) -> DataFrame:
+    """The number of issues per city, without making the issues."""
+    kept = quality.weather_rows(rows)
+    return quality.csv_issue_counts(kept, quality.weather_day_table(kept), strict)
+
+
 def weather_quality_job(rows: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(status per city, issues) of wide weather rows. The day table, read three times, is stored."""
+    """(status per city, issues) of wide weather rows. The day table, read three times, is stored; issues are counted from their conditions."""
     kept = quality.weather_rows(rows)
     days = stored(quality.weather_day_table(kept), "weather_days")
-    issues = quality.csv_day_issues(kept, days, strict)
     coverage = quality.city_coverage(days, text_date(F.col("date")))
-    return quality.city_quality_status(coverage, issues), issues
+    return quality.city_status_of_counts(coverage, quality.csv_issue_counts(kept, days, strict)), quality.csv_day_issues(kept, days, strict)
 
 
 def feature_table(

@@ -155,7 +155,7 @@ def nest_weather_days(v: Lenses) -> DataFrame:
 
 
 def weather_day_issues(v: Lenses) -> DataFrame:
-    return quality.csv_day_issues(rows(v), quality.weather_day_table(rows(v)))
+    return jobs.weather_issues(v.weather_text)
 
 
 def coverage(v: Lenses) -> DataFrame:
@@ -278,7 +278,7 @@ QUERIES = {
     "global_issues": (lambda v: quality.global_issues(weather_day_issues(v)).select("severity", "city", "category", "message", "file"), with_views(
         "SELECT severity, city, category, message, file FROM (" + _ISSUE_ROWS + ") ORDER BY severity, city",
         "weather_text", extra=ISSUE_VIEWS)),
-    "issue_total": (lambda v: quality.issue_total(weather_day_issues(v)), with_views(
+    "issue_total": (lambda v: jobs.weather_issue_counts(v.weather_text).agg(F.coalesce(F.sum("issues"), F.lit(0)).alias("total")), with_views(
         "SELECT count(*) AS total FROM issues", "weather_text", extra=ISSUE_VIEWS)),
     "sorted_issues": (lambda v: quality.sorted_issues(weather_day_issues(v)).select("city", "severity", "category", "message"), with_views(
         "SELECT city, 'ERROR' AS severity, category, message FROM issues ORDER BY 1, 2", "weather_text", extra=ISSUE_VIEWS)),

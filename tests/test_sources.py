@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from regionhour.constants import DAILY_FIELDS, HOURLY_FIELDS
 from regionhour.operators import links, quality, weather
+from regionhour.plans import jobs
 from regionhour.sources import readers, writers
 
 
@@ -68,6 +69,25 @@ def test_weather_csv_to_days_and_back(spark, folder):
         ("Bila_Tserkva", "2024-01-01", True, "Bila Tserkva", 2)]
 
 
+def test_issues_are_counted_as_they_are_listed(spark, folder):
+    """Counts from conditions against listed issues: bounds, unreadable and NaN values, odd coordinates, a clean city, no rows."""
+    good = dict(city_latitude="49.8", city_longitude="30.1", day_datetime="2024-01-01", day_tempmax="10", day_tempmin="-5",
+                hour_humidity="50", hour_windspeed="5", hour_pressure="1000", hour_cloudcover="1")
+    hours = [dict(good, hour_datetime=f"{h:02d}:00:00", hour_temp="1") for h in range(24)]
+    odd = [dict(good, hour_datetime="00:00:00", hour_temp=t, hour_pressure=p) for t, p in (("10.6", "1000"), ("-5.6", ""), ("nan", "bad"), ("", "1"), ("60", "2000"))]
+    lines = [",".join(WEATHER_HEADER), *[weather_line(city_address="Clean, Ukraine", **h) for h in hours],
+             *[weather_line(city_address="Odd, Ukraine", **h) for h in odd],
+             weather_line(city_address="Far, Ukraine", **(hours[0] | {"city_latitude": "60", "city_longitude": "-1", "hour_datetime": ""}))]
+    wide = readers.read_weather_csv(spark, str(put(Path(folder, "w.csv"), "\n".join(lines) + "\n")))
+    for strict in (False, True):
+        listed = {r["city"]: r["count"] for r in jobs.weather_issues(wide, strict).groupBy("city").count().collect()}
+        counted = {r["city"]: r["issues"] for r in jobs.weather_issue_counts(wide, strict).collect()}
+        assert counted == {"Clean": 0, **listed} and set(listed) == {"Odd", "Far"} and listed["Far"] == 3
+        status = {r["city"]: (r["issues"], r["errors"], r["clean"]) for r in jobs.weather_quality_job(wide, strict)[0].collect()}
+        assert status == {c: (n, n, n == 0) for c, n in counted.items()}
+    assert jobs.weather_issue_counts(wide.limit(0)).count() == 0
+
+
 def test_several_documents_of_a_partition_come_back(spark, folder):
     texts = [("2024-01-01", "u", "ok", i, "t" * i) for i in range(40)]
     reports = spark.createDataFrame(texts, "date string, url string, status string, char_count int, text string")
