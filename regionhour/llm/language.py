@@ -25,6 +25,7 @@ WINDOW = 512
 ROWS_PER_LANGUAGE = 24  # training rows of a language, the least by hash, one in each of so many buckets
 LONGEST_TRAINING_ROW = 4096  # characters; of a longer row a span of so many is learned from, at a place given by its hash
 LETTERS = 95  # the most frequent characters of the training texts have columns of a table; rarer ones are looked up
+MOST_CELLS = 1 << 27  # of all languages' tables, 4 bytes each: with many languages fewer characters have columns, which changes no count
 SHARPNESS = 0.7
 UNDETERMINED = "und"
 MAYBE_LETTER = re.compile(r"[^\W\d_]")  # also superscripts and fractions, which are none
@@ -74,9 +75,13 @@ class Parser:
         self.code = np.zeros(max(map(ord, letters), default=0) + 2, np.int32)  # 0: in no training text, matches nothing
         for n, c in enumerate(letters, 1):
             self.code[ord(c)] = n
-        self.width = width = min(len(letters), LETTERS) + 1
+        # An automaton has at most twice as many states as its text has characters.
+        states = sum(2 * len(t.lower()) + 1 for t in training.values())
+        self.width = width = max(1, min(min(len(letters), LETTERS) + 1, MOST_CELLS // max(1, states)))
+        if states * width >= 1 << 31:
+            raise ValueError(f"{states} states of training texts do not fit; give fewer rows for each language")
         tables, self.roots, self.bits = [], [], []
-        rare: dict[int, int] = {}  # transitions by characters without a column
+        rare_keys, rare_cells = [], []  # transitions by characters without a column
         self.rare_starts = np.zeros((len(self.languages), len(letters) + 1 - width), np.int32)
         offset = 0
         for name in self.languages:
@@ -88,20 +93,25 @@ class Parser:
                 start[c] = ~(offset + to * width)
             self.rare_starts[len(tables)] = start[width:]
             cells = np.tile(start[:width], (len(automaton.next), 1))
+            keys, targets = [], []
             for state, following in enumerate(automaton.next[1:], 1):
                 for c, to in following.items():
                     if c < width:
                         cells[state, c] = offset + to * width
                     else:
-                        rare[offset + state * width << 21 | c] = offset + to * width
+                        keys.append(offset + state * width << 21 | c)
+                        targets.append(offset + to * width)
+            order = np.argsort(np.array(keys, np.int64))
+            rare_keys.append(np.array(keys, np.int64)[order])
+            rare_cells.append(np.array(targets, np.int32)[order])
             tables.append(cells.ravel())
             self.roots.append(offset)
             self.bits.append(np.log2(max(2, len(codes))))
             offset += cells.size
         self.cells = np.concatenate(tables) if tables else np.zeros(0, np.int32)
-        # Sorted by state and character, with a last key that nothing equals.
-        self.rare_keys = np.array([*sorted(rare), np.iinfo(np.int64).max], np.int64)
-        self.rare_cells = np.array([*(rare[k] for k in self.rare_keys[:-1].tolist()), 0], np.int32)
+        # Sorted by state (languages follow each other) and character, with a last key that nothing equals.
+        self.rare_keys = np.concatenate([*rare_keys, [np.iinfo(np.int64).max]]).astype(np.int64)
+        self.rare_cells = np.concatenate([*rare_cells, [0]]).astype(np.int32)
 
     def codes(self, text: str) -> np.ndarray:
         points = np.frombuffer(text.encode("utf-32-le"), np.uint32)

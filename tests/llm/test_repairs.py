@@ -6,6 +6,7 @@ import hashlib
 import random
 import time
 
+import numpy as np
 import zstandard
 
 from regionhour.llm import language, personal_data, registry, warc
@@ -96,3 +97,24 @@ def test_a_spelled_out_address_is_taken_whole():
     began = time.perf_counter()
     personal_data.loose_spans(("x" * 5000 + " [at] ") * 400, [])
     assert time.perf_counter() - began < 5
+
+
+def test_sixty_languages_in_few_columns(monkeypatch):
+    """Columns left out for memory change no count; held-out texts of 60 languages of one alphabet are told apart."""
+    rng = np.random.default_rng(60)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyzäöüß"))
+    words = {f"l{k:02d}": ["".join(rng.choice(letters, rng.integers(2, 9))) for _ in range(150)] for k in range(60)}
+
+    def text(name, n):
+        return " ".join(rng.choice(words[name], n))
+
+    training, tests = {name: text(name, 250) for name in words}, {name: text(name, 15) for name in words}
+    wide = language.Parser(training)
+    monkeypatch.setattr(language, "MOST_CELLS", 8 * sum(2 * len(t) + 1 for t in training.values()))
+    narrow = language.Parser(training)
+    assert wide.width == 32 and narrow.width == 8 and narrow.cells.size < language.MOST_CELLS
+    assert (wide.phrases(list(tests.values())) == narrow.phrases(list(tests.values()))).all()
+    assert narrow.predict(list(tests.values()))[0] == list(tests)
+    monkeypatch.setattr(language, "MOST_CELLS", 1)
+    bare = language.Parser({"a": "aba", "b": ""})
+    assert bare.width == 1 and bare.phrases(["abab", ""]).tolist() == [[2, 4], [0, 0]]
