@@ -308,8 +308,8 @@ def test_pieces_agree_with_the_library(documents):
     library, model = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString()), pieces.PieceModel(own)
     encoder = pieces.Encoder(model)
     for text in documents.text:
-        ids, _ = encoder.encode([text[:300]])
-        assert ids.tolist() == library.encode(text[:300])
+        ids, _ = encoder.encode([text])
+        assert ids.tolist() == library.encode(text)
     for word in (" x" * 5, " " + "ab" * 60, " 中文☃é"):
         assert model.search(word) == model.search_lanes([word])[0].tolist()
 
