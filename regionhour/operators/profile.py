@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations_with_replacement
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regionhour.operators.running import exact_quantiles, group_moments, sample_std, value_counts, with_facts
@@ -109,10 +109,22 @@ def union_labeled(a: DataFrame, b: DataFrame, labels: tuple[str, str], label: st
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pearson correlation of every pair in long form; a row counts for a pair when both sides are filled. NaN is missing."""
+    """Pearson correlation of every pair in long form; a row counts for a pair when both sides are filled. NaN is missing.
+
+    A pair without such rows is null; one with a side that never changes has no correlation: NaN. Spark's ``corr`` divides by zero there.
+    """
     pairs = list(combinations_with_replacement(columns, 2))
     numbers = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c) for c in columns])
-    row = numbers.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+
+    def spread(a: str, b: str) -> Column:
+        return F.stddev_pop(F.when(F.col(b).isNotNull(), F.col(a)))
+
+    row = numbers.agg(*[
+        F.struct(F.covar_pop(a, b).alias("both"), (spread(a, b) * spread(b, a)).alias("apart")).alias(f"p{i}") for i, (a, b) in enumerate(pairs)
+    ]).select(*[
+        F.when(F.col(f"p{i}.apart") == 0, float("nan")).otherwise(F.col(f"p{i}.both") / F.col(f"p{i}.apart")).alias(f"r{i}")
+        for i in range(len(pairs))
+    ])
     cells = [
         F.struct(F.lit(x).alias("column_a"), F.lit(y).alias("column_b"), F.col(f"r{i}").alias("corr"))
         for i, (a, b) in enumerate(pairs)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from datetime import datetime, timedelta
 
@@ -235,6 +236,15 @@ def test_nan_is_missing_in_correlations(spark):
     assert got["a", "b"] == pytest.approx(1.0) and got["a", "a"] == pytest.approx(1.0)
 
 
+def test_constant_column_has_no_correlation(spark):
+    rows = spark.createDataFrame([(1.0, 1, None, 2.0), (2.0, 1, None, 1.0), (4.0, 1, 3.0, 0.0)], "a double, b int, c double, d double")
+    got = {(r["column_a"], r["column_b"]): r["corr"] for r in profile.correlation_matrix(rows, ["a", "b", "c", "d"]).collect()}
+    assert all(math.isnan(got[pair]) for pair in (("a", "b"), ("b", "a"), ("b", "b"), ("a", "c"), ("c", "c")))
+    assert got["a", "a"] == pytest.approx(1.0) and got["a", "d"] == got["d", "a"] == pytest.approx(-3 / math.sqrt(28 / 3), abs=1e-12)
+    empty = profile.correlation_matrix(rows.where("a > 9"), ["a", "b"]).collect()
+    assert len(empty) == 4 and all(r["corr"] is None for r in empty)
+
+
 def test_stats_of_a_day_with_odd_alarms(spark):
     rows = [(1, "2024-01-01 23:00:00", "2024-01-02 01:00:00"), (1, "2024-01-02 10:00:00", "2024-01-02 12:00:00"), (2, "2024-01-02 11:00:00", "2024-01-02 10:00:00"),
             (2, "2024-01-02 11:30:00", "2024-01-03 12:00:00"), (2, "2024-01-03 00:00:00", "2024-01-03 01:00:00"), (3, "2024-01-01 01:00:00", "2024-01-01 02:00:00")]
