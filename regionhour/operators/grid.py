@@ -26,7 +26,7 @@ def _hour_number(moment: Column) -> Column:
 
 
 def interval_fault(earliest: str = FIRST_DAY, latest: str = ALARM_UPPER_BOUND, max_hours: int = MAX_ALARM_HOURS) -> Column:
-    """Why an alarm can't be placed on a grid, else null: the same rules as the counts of date bounds and impossible intervals."""
+    """Why an alarm's dates are implausible, else null: the same rules as the counts of date bounds and impossible intervals."""
     low, high = _timestamp(earliest), _timestamp(latest)
     start, end = F.col("start"), F.col("end")
     seconds = F.unix_micros(end) - F.unix_micros(start)
@@ -40,7 +40,7 @@ def interval_fault(earliest: str = FIRST_DAY, latest: str = ALARM_UPPER_BOUND, m
 
 
 def sound_intervals(alarms: DataFrame, **limits) -> DataFrame:
-    """Alarms that can be placed on a grid; one bad date would stretch it over all years."""
+    """Alarms without a fault."""
     return alarms.where(interval_fault(**limits).isNull())
 
 
@@ -52,7 +52,7 @@ def rejected_intervals(alarms: DataFrame, **limits) -> DataFrame:
 def alarm_range(alarms: DataFrame) -> tuple[Column, Column]:
     """(hour of the first start, hour after the last end), as a scalar subquery over one row; at least one hour.
 
-    Both are null where there are no alarms; the grid is empty then. Pass ``sound_intervals``.
+    Both are null where there are no alarms; the grid is empty then. One bad date stretches it over all years; ``sound_intervals`` leaves such alarms out.
     """
     microsecond = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(0.000001))
     first = F.date_trunc("hour", F.min("start"))
@@ -64,8 +64,10 @@ def alarm_range(alarms: DataFrame) -> tuple[Column, Column]:
 def region_hours(regions: DataFrame, start: str | Column, end: str | Column) -> DataFrame:
     """Every hour of every region, start included, end not."""
     first, last = _timestamp(start), _timestamp(end) - _hours(1)
-    hours = F.when(first <= last, F.sequence(first, last, _hours(1)))
-    return regions.select("region_id", F.explode(hours).alias("hour_ts"))
+    # Days first, so that no array holds all hours of a range of many years.
+    days = regions.select("region_id", F.explode(F.when(first <= last, F.sequence(first, last, _hours(24)))).alias("_day"))
+    day = F.col("_day")
+    return days.select("region_id", F.explode(F.sequence(day, F.least(last, day + _hours(23)), _hours(1))).alias("hour_ts"))
 
 
 def day_sweep(alarms: DataFrame, start: str | Column, end: str | Column) -> DataFrame:
@@ -99,9 +101,11 @@ def active_hours(alarms: DataFrame, start: str | Column, end: str | Column) -> D
     day = F.col("day")
     inside = F.filter(F.transform("open", lambda n, k: F.when(n > 0, day * 24 + k)), lambda hour: hour.isNotNull())
     # Days without an edge up to the next one are open throughout or not at all.
-    between = F.when((F.get("open", F.lit(23)) > 0) & (F.col("next_day") > day + 1), F.sequence((day + 1) * 24, F.col("next_day") * 24 - 1))
-    hours = F.concat(inside, F.coalesce(between, F.array().cast("array<bigint>")))
-    return day_sweep(alarms, start, end).select("region_id", F.explode(hours).alias("hour")).where(F.col("hour") < stop).select(
+    lasting = (F.get("open", F.lit(23)) > 0) & (F.col("next_day") > day + 1)
+    days = day_sweep(alarms, start, end).select(
+        "region_id", "day", "open", F.explode(F.when(lasting, F.sequence(day, F.col("next_day") - 1)).otherwise(F.array(day))).alias("at"))
+    hours = F.when(F.col("at") == day, inside).otherwise(F.sequence(F.col("at") * 24, F.col("at") * 24 + 23))
+    return days.select("region_id", F.explode(hours).alias("hour")).where(F.col("hour") < stop).select(
         "region_id", F.timestamp_seconds(F.col("hour") * 3600).alias("hour_ts"))
 
 
