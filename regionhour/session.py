@@ -20,6 +20,8 @@ DEFAULTS = {
     # Report pages are large: small batches keep Python workers within their memory.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # A folder is listed in a millisecond, a task to list it takes thirty: many folders a task.
+    "spark.sql.sources.parallelPartitionDiscovery.parallelism": "64",
 }
 
 

@@ -170,3 +170,20 @@ def test_stored_tables_are_read_by_partition(spark, folder):
     assert "2024-01-05" in scan
     read = {f for r in some.select(F.input_file_name().alias("f")).distinct().collect() for f in [r["f"]]}
     assert all("date=2024-01-05" in f or "date=2024-01-06" in f for f in read) and len(read) <= 2 * writers.SPREAD
+
+
+def test_many_small_days_use_all_tasks_to_write_and_few_to_list(spark, folder):
+    reports = spark.range(100).select(
+        F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("date"),
+        F.lit("u").alias("url"), F.lit("ok").alias("status"), F.col("id").cast("int").alias("char_count"), F.lit("t").alias("text"))
+    path = writers.write_reports(reports, f"{folder}/processed")
+    assert len({file.name[:10] for file in Path(path).rglob("part-*.json")}) > 1, "bytes are few, folders are not"
+    spark.sparkContext.setJobGroup(folder, "listing")
+    try:
+        table = readers.read_stored_reports(spark, path)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [s for job in tracker.getJobIdsForGroup(folder) for s in tracker.getJobInfo(job).stageIds]
+    assert stages and all(tracker.getStageInfo(s).numTasks < 100 for s in stages)
+    assert {(r["date"], r["char_count"]) for r in table.collect()} == {(r["date"], r["char_count"]) for r in reports.collect()}
