@@ -170,7 +170,8 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHAR
         F.floor(begin / block_words), F.floor((end - 1) / block_words)))).alias("block"))
     low = F.greatest(begin, F.col("block") * block_words)
     high = F.least(end, (F.col("block") + 1) * block_words)
-    segments = pieces.join(plan, ["key", "block"], "left").select(
+    # Spark's estimate of the plan doesn't count the rows that exploding makes, so a broadcast would grow with the words: both sides are sorted.
+    segments = pieces.join(plan.hint("merge"), ["key", "block"], "left").select(
         "doc_id", "source", "key", "mark", "chunk", "nth", "size", "shard", "pass", "block",
         F.when(F.col("shard").isNotNull(), low - begin).alias("from_word"), F.when(F.col("shard").isNotNull(), high - low).alias("n_words"))
     return goals, segments

@@ -78,6 +78,18 @@ def test_mixing_odd_rows_and_reruns(spark, odd):
     assert odd.columns == list(out[0].asDict()) and all(r["text"].strip() for r in out)
 
 
+def test_drawn_blocks_are_not_broadcast(spark, documents):
+    """A row per drawn block comes of exploding few small rows: by Spark's estimate it would always fit the driver."""
+    docs = spark.createDataFrame([(i, f"{t} {i}", s) for i, (t, s) in enumerate(zip(documents.text, documents.source))], "doc_id long, text string, source string")
+    _, segments = mixing.mix(docs, block_words=8)
+    drawn = [(r["key"], r["block"], r["pass"]) for r in segments.where("shard IS NOT NULL").select("key", "block", "pass").distinct().collect()]
+    assert len(drawn) > 1000 and segments.count() > len(drawn)
+    segments.collect()
+    plan = segments._jdf.queryExecution().executedPlan().toString()
+    joins = re.findall(r"(\w+Join) \[key#\d+, block#", plan)
+    assert joins and set(joins) == {"SortMergeJoin"}
+
+
 def test_walk_is_a_permutation(spark):
     for n in (1, 2, 7, 30, 1024):
         step = spark.range(1).select(mixing._keyed_walk(F.lit(n).cast("long"), F.lit("k")).alias("w")).first()["w"]
