@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 from regionhour import schemas
 from regionhour.operators.running import running_totals
 from regionhour.session import stored
-from regionhour.sources.versions import VersionedTable
+from regionhour.sources.versions import Folder, VersionedTable
+from regionhour.sources.writers import GROUPED
 
 BLANKS = " \t\r\n"
 
@@ -60,6 +61,13 @@ def _with_corrupt(schema: T.StructType) -> T.StructType:
     return T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
 
 
+def _read_stored(spark: SparkSession, directory: str, schema: T.StructType, keys: list[str]) -> DataFrame:
+    """JSON lines of ``writers.write_partitioned``; ``keys`` come from the folders, in a grouped table from the lines."""
+    if not Folder(spark, directory).exists(GROUPED):
+        return spark.read.json(directory, schema=schema)
+    return spark.read.json(f"{directory.rstrip('/')}/{GROUPED}", schema=schema).select(*[c for c in schema.names if c not in keys], *keys)
+
+
 def read_forecasts(spark: SparkSession, directory: str) -> DataFrame:
     """Landed forecasts: one document per ``*.json`` file."""
     documents = spark.read.json(directory, schema=schemas.FORECAST, multiLine=True, pathGlobFilter="*.json")
@@ -69,7 +77,7 @@ def read_forecasts(spark: SparkSession, directory: str) -> DataFrame:
 def read_stored_forecasts(spark: SparkSession, directory: str) -> DataFrame:
     """Documents of ``writers.write_forecasts``, with ``file`` as a landed file would be named."""
     schema = T.StructType([*schemas.FORECAST.fields, T.StructField("request_hour", T.StringType())])
-    documents = spark.read.json(directory, schema=schema)
+    documents = _read_stored(spark, directory, schema, ["request_hour", "region"])
     return documents.select(F.concat_ws("_", "request_hour", "region").alias("file"), *schema.names)
 
 
@@ -108,9 +116,9 @@ def read_weather_days(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def read_stored_weather_days(spark: SparkSession, directory: str) -> DataFrame:
-    """Days of ``writers.write_weather_days``, in the form of ``read_weather_days``; city and date come from the folders."""
+    """Days of ``writers.write_weather_days``, in the form of ``read_weather_days``."""
     keys = [T.StructField("city", T.StringType()), T.StructField("date", T.StringType())]
-    documents = spark.read.json(directory, schema=T.StructType([*_with_corrupt(schemas.WEATHER_DAY).fields, *keys]))
+    documents = _read_stored(spark, directory, T.StructType([*_with_corrupt(schemas.WEATHER_DAY).fields, *keys]), ["city", "date"])
     return documents.select(
         "city", "date", F.concat("date", F.lit(".json")).alias("file"), F.col("_corrupt_record").isNull().alias("readable"), "daily", "hours",
         F.to_date(F.try_to_timestamp("date", F.lit("yyyy-MM-dd"))).alias("day_date"),
@@ -149,8 +157,8 @@ def read_reports(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def read_stored_reports(spark: SparkSession, directory: str) -> DataFrame:
-    """Reports of ``writers.write_reports``: one document a line, the date from the folder."""
-    return spark.read.json(directory, schema=schemas.REPORT)
+    """Reports of ``writers.write_reports``: one document a line."""
+    return _read_stored(spark, directory, schemas.REPORT, ["date"])
 
 
 def read_source_json(spark: SparkSession, directory: str) -> DataFrame:
@@ -161,11 +169,11 @@ def read_source_json(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def read_stored_sources(spark: SparkSession, directory: str) -> DataFrame:
-    """Source entries of ``writers.write_report_sources``: one document a line, the report's date from the folder.
+    """Source entries of ``writers.write_report_sources``: one document a line.
 
     Fields that the writer leaves out come back as null.
     """
-    return _source_entries(spark.read.json(directory, schema=_with_corrupt(schemas.REPORT_SOURCES)))
+    return _source_entries(_read_stored(spark, directory, _with_corrupt(schemas.REPORT_SOURCES), ["report_date"]))
 
 
 def _source_entries(documents: DataFrame) -> DataFrame:

@@ -33,8 +33,8 @@ class Manifest:
     notes: dict = field(default_factory=dict)
 
 
-class VersionedTable:
-    """One table of numbered versions below ``path``."""
+class Folder:
+    """A folder on any file system that Spark can write."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -44,10 +44,23 @@ class VersionedTable:
     def _at(self, below: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{below}" if below else self.path)
 
-    def _names(self, below: str) -> list[str]:
+    def names(self, below: str = "") -> list[str]:
         where = self._at(below)
         return [status.getPath().getName() for status in self._fs.listStatus(where)] if self._fs.exists(where) else []
 
+    def exists(self, below: str = "") -> bool:
+        return self._fs.exists(self._at(below))
+
+    def rename(self, below: str, to: str) -> bool:
+        return self._fs.rename(self._at(below), self._at(to))
+
+    def remove(self, below: str) -> None:
+        self._fs.delete(self._at(below), True)
+
+
+class VersionedTable(Folder):
+    """One table of numbered versions below ``path``."""
+
     def _create(self, below: str, text: str) -> None:
         """A new file with this text; an error if it exists."""
         out = self._fs.create(self._at(below), False)
@@ -65,18 +78,15 @@ class VersionedTable:
 
     def children(self, below: str, prefix: str) -> list[int]:
         """Numbers of the folders ``<prefix><number>`` below a folder."""
-        return sorted(int(name[len(prefix):]) for name in self._names(below) if name.startswith(prefix) and name[len(prefix):].isdigit())
-
-    def remove(self, below: str) -> None:
-        self._fs.delete(self._at(below), True)
+        return sorted(int(name[len(prefix):]) for name in self.names(below) if name.startswith(prefix) and name[len(prefix):].isdigit())
 
     def versions(self) -> list[int]:
         """Complete versions, oldest first."""
-        return sorted(int(name[:-5]) for name in self._names("log") if name.endswith(".json") and name[:-5].isdigit())
+        return sorted(int(name[:-5]) for name in self.names("log") if name.endswith(".json") and name[:-5].isdigit())
 
     def claims(self) -> list[int]:
         """Versions that a writer has begun, complete or not."""
-        return sorted(int(name[:-6]) for name in self._names("log") if name.endswith(".claim") and name[:-6].isdigit())
+        return sorted(int(name[:-6]) for name in self.names("log") if name.endswith(".claim") and name[:-6].isdigit())
 
     def newest(self) -> int | None:
         return max(self.versions(), default=None)
@@ -103,7 +113,7 @@ class VersionedTable:
                     "written": time.time(), "notes": notes or {}}
         # A half-written manifest would be a commit: it is made under another name and moved.
         self._create(f"log/{version}.json.tmp", json.dumps(manifest))
-        if not self._fs.rename(self._at(f"log/{version}.json.tmp"), self._at(f"log/{version}.json")):
+        if not self.rename(f"log/{version}.json.tmp", f"log/{version}.json"):
             raise VersionTaken(f"{self.path}: version {version} is committed")
         return version
 

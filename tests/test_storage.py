@@ -187,3 +187,61 @@ def test_many_small_days_use_all_tasks_to_write_and_few_to_list(spark, folder):
     stages = [s for job in tracker.getJobIdsForGroup(folder) for s in tracker.getJobInfo(job).stageIds]
     assert stages and all(tracker.getStageInfo(s).numTasks < 100 for s in stages)
     assert {(r["date"], r["char_count"]) for r in table.collect()} == {(r["date"], r["char_count"]) for r in reports.collect()}
+
+
+REPORT = "date string, url string, status string, char_count int, text string"
+
+
+def report_rows(spark, path: str) -> list[tuple]:
+    return sorted((tuple(r) for r in readers.read_stored_reports(spark, path).select(*schemas.REPORT.names).collect()), key=str)
+
+
+def test_folders_do_not_follow_the_days_of_a_write(spark, folder):
+    days = spark.range(1_200).select(
+        F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("date"),
+        F.lit("u").alias("url"), F.lit("ok").alias("status"), F.col("id").cast("int").alias("char_count"), F.lit("t").alias("text"))
+    path = writers.write_reports(days, f"{folder}/processed")
+    held = [p for p in Path(path).rglob("*") if p.is_dir()]
+    assert len(held) < 200 and len(list(Path(path).rglob("part-*"))) < 600
+    assert report_rows(spark, path) == sorted((tuple(r) for r in days.collect()), key=str)
+    some = readers.read_stored_reports(spark, path).where(F.col("date").between("2024-01-05", "2024-01-06"))
+    assert sorted(r["date"] for r in some.collect()) == ["2024-01-05", "2024-01-06"]
+
+
+def test_a_grouped_table_is_written_and_read_like_folders(spark, folder, monkeypatch):
+    """The same writes with and without groups: days replaced, kept and new; odd and empty keys, several rows of a day, repeated rows."""
+    def write(zone: str, *rows: tuple) -> str:
+        return writers.write_reports(spark.createDataFrame(list(rows), REPORT), f"{folder}/{zone}")
+
+    first = [("d1", "u", "ok", 1, "a"), ("d2", "u", "ok", 2, 'q " } { \\ \n'), (None, "u", None, None, None), ("x=/ %y}", "u", "ok", 4, "é中"), ("d2", "u", "ok", 2, "b"), ("d2", "u", "ok", 2, "b")]
+    many = [(f"m{i}", "u", "ok", i, None) for i in range(8)] + [("d1", "v", "ok", 9, "new"), ("x=/ %y}", "v", "ok", 9, "new")]
+    few = [("m3", "w", "ok", 30, "one"), ("m3", "w", "ok", 31, "two"), ("d2", "w", "ok", 32, "gone over"), ("", "w", "ok", 33, "no day"), ("n1", None, None, None, None)]
+    for write_nr, rows in enumerate((first, many, few)):
+        plain = write("plain", *rows)
+        monkeypatch.setattr(writers, "FOLDERS", 6)
+        grouped = write("grouped", *rows)
+        monkeypatch.undo()
+        assert any("=" in p.name for p in Path(grouped).iterdir()) == (write_nr == 0), "folders by day go when groups come"
+        assert report_rows(spark, grouped) == report_rows(spark, plain)
+        assert readers.read_stored_reports(spark, grouped).schema == readers.read_stored_reports(spark, plain).schema
+
+
+def test_other_stored_tables_in_groups(spark, folder, monkeypatch):
+    hour = "array<struct<hour_datetime string, hour_temp string>>"
+    days = spark.createDataFrame([(c, f"2024-01-0{d}", {"city": c, "day_tempmax": str(d)}, [{"hour_datetime": "00:00:00", "hour_temp": "1"}] * d) for c in ("Bila Tserkva", "Lviv") for d in (1, 2)],
+                                 f"city string, date string, daily struct<city string, day_tempmax string>, hours {hour}")
+    forecasts = spark.createDataFrame([(f"r{k}", f"2024-01-0{d}_00", f"2024-01-0{d}_00", [{"datetime": "00:00:00", "temp": k + 0.1, "conditions": None}]) for k in (1, 2) for d in (1, 2)],
+                                      "region string, request_hour string, request_timestamp string, forecast array<struct<datetime string, temp double, conditions string>>")
+    entry = "array<struct<url string, title string, status string, http_code int, content_type string, final_url string, error_detail string>>"
+    sources = spark.createDataFrame([(f"p{k}", f"p{k}.html", k, [("http://a.org", "A", "ok", 0, "", "http://a.org", None)] * k) for k in range(3)],
+                                    f"report_date string, html_file string, sources_count int, sources {entry}")
+    cases = [(writers.write_weather_days, readers.read_stored_weather_days, days), (writers.write_forecasts, readers.read_stored_forecasts, forecasts),
+             (writers.write_report_sources, readers.read_stored_sources, sources)]
+    for write, read, table in cases:
+        plain = write(table, f"{folder}/plain")
+        monkeypatch.setattr(writers, "FOLDERS", 0)
+        grouped = write(table, f"{folder}/grouped")
+        monkeypatch.undo()
+        assert Path(grouped, writers.GROUPED).is_dir() and not Path(plain, writers.GROUPED).exists()
+        one, two = read(spark, plain), read(spark, grouped)
+        assert one.schema == two.schema and sorted(map(str, one.collect())) == sorted(map(str, two.collect())) and one.count() > 2
